@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from marketlens.rules.items import RECOMB_CATEGORIES, RECOMB_TAG_PARTS
 
+# Fixed value: the written form of a market time.
+MARKET_TIME = r"(?i)^(\d{1,2}/\d{1,2}/\d{2}) (\d{1,2}:\d{2})(?: (AM|PM))?$"
+
 
 def hex_to_long(text: Column) -> Column:
     """A hexadecimal number of up to 16 digits as signed 64-bit."""
@@ -52,12 +55,19 @@ def rgb_packed(text: Column) -> Column:
 
 
 def market_time(text: Column) -> Column:
-    """A time written as "6/3/20 5:07 PM", as "6/3/20 5:07" or as epoch milliseconds."""
-    return F.coalesce(
-        F.try_to_timestamp(text, F.lit("M/d/yy h:mm a")),
-        F.try_to_timestamp(F.concat(text, F.lit(" AM")), F.lit("M/d/yy h:mm a")),
-        F.timestamp_millis(text.try_cast("bigint")),
+    """A time written as "6/3/20 5:07 PM", as "6/3/20 5:07" (before noon) or as epoch milliseconds."""
+    day = F.regexp_extract(text, MARKET_TIME, 1)
+    clock = F.regexp_extract(text, MARKET_TIME, 2)
+    half = F.upper(F.regexp_extract(text, MARKET_TIME, 3))
+    read = F.try_to_timestamp(F.concat_ws(" ", F.nullif(day, F.lit("")), clock), F.lit("M/d/yy H:mm"))
+    hour, noon = F.hour(read), F.expr("INTERVAL 12 HOUR")
+    written = (
+        F.when((half == "PM") & (hour < 12), read + noon)
+        .when(half == "PM", read)
+        .when(hour == 12, read - noon)
+        .when(hour < 12, read)
     )
+    return F.coalesce(written, F.timestamp_millis(text.try_cast("bigint")))
 
 
 def has_flag(flags: Column, mask: int) -> Column:

@@ -7,6 +7,7 @@ from importlib import import_module
 QUERY_MODULES = [
     "price_queries",
     "listing_queries",
+    "attribute_queries",
 ]
 
 

@@ -131,3 +131,52 @@ def component_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").cast("int").alias("count"),
         F.col("l_shipdate").alias("end"),
     )
+
+
+def attribute_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items with nested attributes: one JSON text per event, its shape chosen by the event type."""
+    events = read(spark, sf_dir, "events")
+    k = F.get_json_object("props", "$.k")
+    digest = F.md5(F.col("event_id").cast("string"))
+    uuid = F.concat_ws("-", *[F.substr(digest, F.lit(a), F.lit(n)) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    short = F.left(digest, F.lit(12))
+    user = F.col("user_id").cast("string")
+
+    def js(template: str) -> Column:
+        """Fill {k}, {uuid}, {short} and {user} into a JSON template written with ' for "."""
+        out = [F.lit("")]
+        text = template.replace("'", '"')
+        values = {"k": k, "uuid": uuid, "short": short, "user": user}
+        while text:
+            places = [(text.find("<" + n + ">"), n) for n in values if "<" + n + ">" in text]
+            if not places:
+                out.append(F.lit(text))
+                break
+            place, name = min(places)
+            out += [F.lit(text[:place]), values[name]]
+            text = text[place + len(name) + 2 :]
+        return F.concat(*out)
+
+    common = "'uuid':'<uuid>','modifier':'odd','timestamp':5,'hot_potato_count':<k>,'exp':<k>.25,'color':'<k>:0:7'"
+    shapes = {
+        "error": "{'id':'PET'," + common + ",'petInfo':'{\\'type\\':\\'BEE\\',\\'heldItem\\':\\'HELD_<user>\\',\\'uuid\\':\\'x\\',"
+        "\\'hideInfo\\':false,\\'extraData\\':{\\'blaze_kills\\':<k>}}','skin':'BEE_BLUE'}",
+        "click": "{'id':'DIVAN_HELMET'," + common + ",'gems':{'JADE_0':{'quality':'FINE','uuid':'<short>'},'RUBY_1':'FLAWED',"
+        "'unlocked_slots':['A_0','B_0']},'enchantments':{'growth':5,'Duplex':2,'mana_pool':3,'wise':1,'zzz':300}}",
+        "view": "{'id':'RUNE'," + common + ",'runes':{'ZAP':<k>},'ability_scroll':['WITHER','IMPLODE']}",
+        "signup": "{'id':'POTION','potion':'speed'," + common + ",'hook':{'part':'HOOK_<user>','uuid':'<short>'},"
+        "'engine':{'id':'ENGINE_1','uuid':'<short>','speed':<k>},'uniqueId':'gone'}",
+        "purchase": "{'id':'ENCHANTED_BOOK'," + common + ",'level':99,'necromancer_souls':[{'mob':'ZOMBIE'},{'mob':'ZOMBIE'},{'mob':'SKELETON'}],"
+        "'effects':[{'effect':'SPEED','level':<k>}],'cake_owner':'a<user>ዞ','note':'n<user>','enchantments':{'sharpness':7}}",
+    }
+    first, *rest = shapes.items()
+    body = F.when(F.col("event_type") == first[0], js(first[1]))
+    for kind, template in rest:
+        body = body.when(F.col("event_type") == kind, js(template))
+    return events.select(F.col("event_id").alias("auction_id"), body.alias("attributes"))
+
+
+def known_types(spark: SparkSession) -> DataFrame:
+    """Type names the test attributes know."""
+    names = ["growth", "sharpness", "ultimate_wise", "ultimate_reiterate", "efficiency", "unknown"]
+    return spark.createDataFrame([(n,) for n in names], "name string")
