@@ -8,6 +8,7 @@ QUERY_MODULES = [
     "price_queries",
     "listing_queries",
     "attribute_queries",
+    "search_queries",
 ]
 
 
