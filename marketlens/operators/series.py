@@ -15,6 +15,7 @@ from marketlens.operators.skew import earlier_rows, hot_join
 HISTORY_DAYS = 400
 NEIGHBOUR_DAYS = 2
 LAST_FEW = 5
+NO_HISTORY = 1
 GAME_EPOCH = 1560275700  # 2019-06-11 17:55 UTC
 GAME_YEAR_SECONDS = 446400  # 5 days and 4 hours
 COLOR_SIGHTINGS = 3
@@ -98,7 +99,7 @@ def dated_prices(prices: DataFrame, wanted: DataFrame, key: str, days: int = HIS
     An observed day gives its smoothed price. Any other day is filled as in
     :func:`gap_filled` with that day as the last of the range, found here by
     carrying the last five observations forward instead of laying out a calendar.
-    Keys without history have no price.
+    Keys without history have no row.
     """
     smoothed = centered_median(prices, key)
     observed = _with_last_few(smoothed, key)
@@ -117,14 +118,18 @@ def dated_prices(prices: DataFrame, wanted: DataFrame, key: str, days: int = HIS
     )
 
 
-def price_at(rows: DataFrame, prices: DataFrame, key: str, hot_rows: int = 1_000_000) -> DataFrame:
-    """Add the dated market price to rows with ``key`` and ``day``; no history counts as 0."""
-    priced = dated_prices(prices, rows, key)
-    return hot_join(rows, priced, [key, "day"], "left", hot_rows=hot_rows).withColumn(
-        "price", F.coalesce("price", F.lit(0)).cast("bigint")
+def with_price(rows: DataFrame, dated: DataFrame, key: str, hot_rows: int = 1_000_000) -> DataFrame:
+    """Add the price from a table of dated prices to rows with ``key`` and ``day``; without any history it is 1."""
+    return hot_join(rows, dated, [key, "day"], "left", hot_rows=hot_rows).withColumn(
+        "price", F.coalesce("price", F.lit(NO_HISTORY)).cast("bigint")
     )
 
 
+def price_at(rows: DataFrame, prices: DataFrame, key: str, hot_rows: int = 1_000_000) -> DataFrame:
+    """Add the dated market price to rows with ``key`` and ``day``."""
+    return with_price(rows, dated_prices(prices, rows, key), key, hot_rows)
+
+
 def keep_since(points: DataFrame, cut: str) -> DataFrame:
     """Retention: points from ``cut`` on."""
     return points.filter(F.col("date") >= F.lit(cut))

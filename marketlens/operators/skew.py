@@ -27,7 +27,7 @@ def hot_join(
     ``rows(left) / hot_rows`` such keys, so the broadcast list of hot keys is
     small by construction. Rows with a null key match nothing and are spread too.
     """
-    spread = spread or left.columns
+    spread = spread or [name for name, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
     hot = (
         left.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("__n"))

@@ -9,6 +9,7 @@ QUERY_MODULES = [
     "listing_queries",
     "attribute_queries",
     "search_queries",
+    "valuation_queries",
 ]
 
 

@@ -266,7 +266,7 @@ o AS (SELECT k.item_id, k.day, coalesce(list({{'day': p.day, 'price': p.price}}
   FROM k LEFT JOIN p ON p.item_id = k.item_id AND p.day < k.day AND p.day >= k.day - 400 GROUP BY k.item_id, k.day),
 f AS (SELECT o.item_id, o.day, list_sort(list_transform(list_reverse_sort(list_concat(seed.seed, o.obs))[1:5], lambda x: x.price)) AS buf
   FROM o JOIN seed ON seed.item_id = o.item_id)
-SELECT w.auction_id, w.line, w.item_id, w.day, coalesce(smooth.smoothed, greatest(1, f.buf[len(f.buf) // 2 + 1]), 0)::BIGINT AS price
+SELECT w.auction_id, w.line, w.item_id, w.day, coalesce(smooth.smoothed, greatest(1, f.buf[len(f.buf) // 2 + 1]))::BIGINT AS price
 FROM w LEFT JOIN f ON f.item_id = w.item_id AND f.day = w.day LEFT JOIN smooth ON smooth.item_id = w.item_id AND smooth.day = w.day"""
 
 

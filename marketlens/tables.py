@@ -17,6 +17,7 @@ NAME_WORDS = [
 COMPONENT_TAGS = [
     "HOT_POTATO_BOOK", "FUMING_POTATO_BOOK", "RECOMBOBULATOR_3000", "FIRST_MASTER_STAR", "SECOND_MASTER_STAR",
     "RUNE_ZAP", "RUNE_ZAP_1", "RUNE_ZAP_2", "RUNE_ZAP_3", "UNIQUE_RUNE_ZAP", "FINE_JADE_GEM", "SIL_EX",
+    "MIDAS_JEWEL", "JADERALD",
 ]
 
 
@@ -180,3 +181,102 @@ def known_types(spark: SparkSession) -> DataFrame:
     """Type names the test attributes know."""
     names = ["growth", "sharpness", "ultimate_wise", "ultimate_reiterate", "efficiency", "unknown"]
     return spark.createDataFrame([(n,) for n in names], "name string")
+
+
+SLOT_TYPES = ["JADE", "RUBY", "COMBAT"]
+SET_NAMES = ["SNOW_SUIT", "Crimson_Hunter", "DRAGON"]
+CATEGORIES = ["BOOTS", "HELMET", "SWORD"]
+COLORS = ["255:153:255", "31,0,48", "0:0:0", "204:85:0"]
+
+
+TAG_HEADS = ["FAIRY_", "CRYSTAL_", "SHARK_SCALE_", "GREAT_SPOOK_", "LEATHER_", "PLAIN_", "WITHER_"]
+
+
+def catalogue_tag(key: Column) -> Column:
+    return F.concat(pick(TAG_HEADS, key), F.lit("ITEM_"), key.cast("string"))
+
+
+def catalogue_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One catalogue document per part, numbers partly as text; parts of size 1 have no id."""
+    size, key = F.col("p_size"), F.col("p_partkey")
+    tag = F.when(key % 9 == 4, F.concat(F.lit("STARRED_"), catalogue_tag(key - 4))).otherwise(catalogue_tag(key))
+
+    def level(i: Column) -> Column:
+        essence = F.struct(
+            F.lit("WITHER").alias("essence_type"), ((i + 1) * 10).cast("string").alias("amount"), F.lit(None).cast("string").alias("item_id"), F.lit("ESSENCE").alias("type")
+        )
+        item = F.struct(
+            F.lit(None).cast("string").alias("essence_type"), size.cast("string").alias("amount"), F.concat(F.lit("STAR_"), i.cast("string")).alias("item_id"), F.lit("ITEM").alias("type")
+        )
+        return F.array(essence, item)
+
+    levels = F.transform(F.filter(F.sequence(F.lit(0), F.lit(6)), lambda i: i < size % 7), level)
+
+    def slot(i: Column) -> Column:
+        coins = F.struct(F.lit("COINS").alias("type"), (size * 1000).alias("coins"), F.lit(None).cast("string").alias("item_id"), F.lit(None).cast("int").alias("amount"))
+        gem = F.struct(F.lit("ITEM").alias("type"), F.lit(None).cast("int").alias("coins"), F.lit("FINE_JADE_GEM").alias("item_id"), (i + 1).alias("amount"))
+        costs = F.when((size + i) % 4 != 0, F.array(coins, gem))
+        return F.struct(pick(SLOT_TYPES, size + i * i).alias("slot_type"), costs.alias("costs"))
+
+    slots = F.transform(F.filter(F.sequence(F.lit(0), F.lit(3)), lambda i: i < size % 5), slot)
+    sets = F.create_map(pick(SET_NAMES, size), F.lit("5"))
+    document = F.struct(
+        F.when(size != 1, tag).alias("id"),
+        pick(["common", "RARE", "LEGENDARY", "odd"], size).alias("tier"),
+        pick(COLORS, size).alias("color"),
+        F.when(size % 6 != 5, pick(CATEGORIES, size)).alias("category"),
+        F.when(size % 3 != 2, levels).alias("upgrade_costs"),
+        slots.alias("gemstone_slots"),
+        F.struct(F.when(size % 4 == 0, sets).alias("armor_set_donation_xp")).alias("museum_data"),
+    )
+    return read(spark, sf_dir, "part").select(key.alias("id"), "p_size", F.to_json(document).alias("document"))
+
+
+def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One attribute per lineitem row: the kind by line number, the value by quantity, the base by supplier."""
+    line = read(spark, sf_dir, "lineitem")
+    n, q, supp, part = F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.col("l_suppkey"), F.col("l_partkey")
+    tenth = F.ceil(F.col("l_quantity") / 5).cast("int")
+    last = F.when(supp % 3 == 0, "farming_for_dummies_count").when(supp % 3 == 1, "COMBAT_0").otherwise("unlocked_slots")
+    last_value = F.when(supp % 3 == 0, q.cast("string")).when(supp % 3 == 1, "FINE").otherwise("JADE_0,RUBY_1")
+    key = (
+        F.when(n == 1, "hpc")
+        .when(n == 2, "upgrade_level")
+        .when(n == 3, F.when(supp % 2 == 0, "RUNE_ZAP").otherwise("RUNE_SPELLBOUND"))
+        .when(n == 4, "ability_scroll")
+        .when(n == 5, "talisman_enrichment")
+        .when(n == 6, "hotpc")
+        .otherwise(last)
+    )
+    value = (
+        F.when(n == 1, (q % 15 + 1).cast("string"))
+        .when(n == 2, tenth.cast("string"))
+        .when(n == 3, (q % 3 + 1).cast("string"))
+        .when(n == 4, F.when(q % 2 == 0, "WITHER 12,IMPLODE").otherwise("IMPLODE"))
+        .when(n == 5, F.when(q % 2 == 0, "yes").otherwise("speed"))
+        .when(n == 6, pick(["0", "0.1", "1"], q))
+        .otherwise(last_value)
+    )
+    tag = F.when(part % 5 == 0, "HOT_CRIMSON_HELMET").otherwise(catalogue_tag(part))
+    return line.select(
+        F.col("l_orderkey").alias("auction_id"),
+        n.alias("line"),
+        part.alias("part"),
+        supp.alias("supp"),
+        tag.alias("tag"),
+        F.col("l_shipdate").alias("end"),
+        key.alias("key"),
+        value.alias("value"),
+        pick(["", "3", "9", "12"], supp).alias("base"),
+        F.create_map(F.lit("COMBAT_0_gem"), F.lit("RUBY"), key, value).alias("flat"),
+    )
+
+
+def book_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly mean prices of enchanted books (finished sales) and of upgrade components."""
+    books = enchantments(spark, sf_dir).filter("status = 'F'")
+    tag = F.concat(F.lit("ENCHANTMENT_"), F.upper("type"), F.lit("_"), F.col("level").cast("string"))
+    sold = books.select(tag.alias("tag"), "end", F.col("highest_bid").alias("price"))
+    parts = component_sales(spark, sf_dir).select("tag", "end", F.col("highest_bid").alias("price"))
+    week = F.floor(F.unix_date(F.col("end").cast("date")) / 7).cast("int")
+    return sold.unionByName(parts).groupBy("tag", week.alias("day")).agg(F.avg("price").cast("bigint").alias("price"))
