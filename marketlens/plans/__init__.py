@@ -10,6 +10,8 @@ QUERY_MODULES = [
     "attribute_queries",
     "search_queries",
     "valuation_queries",
+    "stream_queries",
+    "history_queries",
 ]
 
 
