@@ -65,22 +65,33 @@ def _unnest(entries: Column) -> Column:
     )
 
 
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _kind(value: Column) -> Column:
+    """Type name of a variant without its parameters."""
+    return F.substring_index(F.substring_index(F.schema_of_variant(value), "<", 1), "(", 1)
+
+
+def _written(value: Column, kind: Column) -> Column:
+    """A value as text: lists join by comma, booleans are written True and False."""
+    joined = F.array_join(F.transform(_list(value), _text), ",")
+    return F.when(kind == "ARRAY", joined).when(kind == "BOOLEAN", F.when(_text(value) == "true", "True").otherwise("False")).otherwise(_text(value))
+
+
 def _plain(entries: Column) -> Column:
-    """Variants to (key, type, text); lists join by comma, booleans are written True and False."""
+    """Variants to (key, type, text)."""
     def one(e: Column) -> Column:
-        kind = F.substring_index(F.substring_index(F.schema_of_variant(e["value"]), "<", 1), "(", 1)
-        joined = F.array_join(F.transform(_list(e["value"]), _text), ",")
-        text = F.when(kind == "ARRAY", joined).when(kind == "BOOLEAN", F.initcap(_text(e["value"]))).otherwise(_text(e["value"]))
-        return F.struct(e["key"].alias("key"), kind.alias("type"), text.alias("text"))
+        return _once(
+            _kind(e["value"]),
+            lambda kind: F.struct(e["key"].alias("key"), kind.alias("type"), _written(e["value"], kind).alias("text")),
+        )
 
     return F.filter(F.transform(entries, one), lambda e: e["text"].isNotNull())
 
 
-def _once(value: Column, use) -> Column:
-    """``use(value)`` with the value computed once, however often ``use`` refers to it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def first_wins(entries: Column) -> Column:
     """The first entry of every key."""
     def pick(all_: Column) -> Column:
@@ -194,9 +205,12 @@ def _expand(entry: Column) -> Column:
         .when((key == "gems") & _object(value).isNotNull(), _once(_entries(value), _gems))
         .when(key == "runes", _lifted(_plain(runes)))
     )
-    nested = F.schema_of_variant(value).startswith("OBJECT")
-    usual = F.when(nested, _placed(_flat(itself))).otherwise(_placed(_plain(itself)))
-    return F.when(key.isin(SPECIAL_KEYS), F.coalesce(special, usual)).otherwise(usual)
+
+    def usual(kind: Column) -> Column:
+        scalar = F.struct(F.lit(False).alias("lifted"), key.alias("key"), kind.alias("type"), _written(value, kind).alias("text"))
+        return F.when(kind == "OBJECT", _placed(_flat(itself))).otherwise(F.filter(F.array(scalar), lambda e: e["text"].isNotNull()))
+
+    return F.coalesce(F.when(key.isin(SPECIAL_KEYS), special), _once(_kind(value), usual))
 
 
 def flat_entries(attributes: Column) -> Column:

@@ -75,21 +75,32 @@ def gap_filled(prices: DataFrame, key: str, as_of: str, days: int = HISTORY_DAYS
 
     A day without sales takes the median of the last five observed days of the
     range; the five oldest prices of the whole history stand in until there are five.
+    That median changes only with an observed day, so it is computed once per
+    observed day and laid out over the gap that follows.
     """
     last_day = day_number(F.lit(as_of).cast("timestamp"))
-    inside = prices.filter(F.col("day").between(last_day - days, last_day))
-    calendar = _first_few(prices, key).withColumn("day", F.explode(F.sequence(last_day - days, last_day)))
-    before = Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    none = F.slice(F.col("__seed"), 1, 0)
-    return (
-        calendar.join(_with_last_few(inside, key), [key, "day"], "left")
-        .withColumn("__carried", F.coalesce(F.last("__last", ignorenulls=True).over(before), none))
-        .select(
-            key,
-            "day",
-            F.col("price").isNotNull().alias("observed"),
-            F.coalesce("price", _buffer_median(F.col("__seed"), F.col("__carried"))).alias("price"),
-        )
+    first_day = last_day - days
+    inside = _with_last_few(prices.filter(F.col("day").between(first_day, last_day)), key)
+    seeds = _first_few(prices, key)
+    # a row before the range, so days ahead of the first observation are laid out too
+    kind = dict(inside.dtypes)
+    lead_in = seeds.select(
+        key,
+        (first_day - 1).alias("day"),
+        F.lit(None).cast(kind["price"]).alias("price"),
+        F.array().cast(kind["__last"]).alias("__last"),
+    )
+    following = F.lead("day").over(Window.partitionBy(key).orderBy("day"))
+    stretches = (
+        inside.unionByName(lead_in)
+        .withColumn("__until", F.coalesce(following - 1, last_day))
+        .join(seeds, [key])
+        .select(key, F.col("day").alias("__day"), "price", "__until", _buffer_median(F.col("__seed"), F.col("__last")).alias("__fill"))
+        .withColumn("day", F.explode(F.sequence("__day", "__until")))
+    )
+    observed = F.col("day") == F.col("__day")
+    return stretches.filter(F.col("day") >= first_day).select(
+        key, "day", observed.alias("observed"), F.when(observed, F.col("price")).otherwise(F.col("__fill")).alias("price")
     )
 
 

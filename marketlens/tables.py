@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.session import configure
+from marketlens.session import configure, spread
 
 # Fixed values of the role mapping.
 BOOK_TYPES = ["efficiency", "scavenger", "venomous", "ender_slayer", "cultivating", "ultimate_wise", "growth"]
@@ -136,7 +136,7 @@ def component_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attribute_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Items with nested attributes: one JSON text per event, its shape chosen by the event type."""
-    events = read(spark, sf_dir, "events")
+    events = spread(read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"))
     k = F.get_json_object("props", "$.k")
     digest = F.md5(F.col("event_id").cast("string"))
     uuid = F.concat_ws("-", *[F.substr(digest, F.lit(a), F.lit(n)) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
@@ -229,12 +229,12 @@ def catalogue_json(spark: SparkSession, sf_dir: str) -> DataFrame:
         slots.alias("gemstone_slots"),
         F.struct(F.when(size % 4 == 0, sets).alias("armor_set_donation_xp")).alias("museum_data"),
     )
-    return read(spark, sf_dir, "part").select(key.alias("id"), "p_size", F.to_json(document).alias("document"))
+    return spread(read(spark, sf_dir, "part")).select(key.alias("id"), "p_size", F.to_json(document).alias("document"))
 
 
 def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One attribute per lineitem row: the kind by line number, the value by quantity, the base by supplier."""
-    line = read(spark, sf_dir, "lineitem")
+    line = spread(read(spark, sf_dir, "lineitem"))
     n, q, supp, part = F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.col("l_suppkey"), F.col("l_partkey")
     tenth = F.ceil(F.col("l_quantity") / 5).cast("int")
     last = F.when(supp % 3 == 0, "farming_for_dummies_count").when(supp % 3 == 1, "COMBAT_0").otherwise("unlocked_slots")
