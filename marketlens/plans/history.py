@@ -8,6 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.functions.ids import uuid_to_long
 from marketlens.operators.enchants import has_enchant, has_two_enchants, without_enchants
 from marketlens.operators.listings import FILTER_DAYS, active_listings, listing_board, named_filters, plain_filters, recent_sales, with_player_name
 from marketlens.operators.lookups import tag_lookup
@@ -140,9 +141,11 @@ def lowest_bin(tag: str, tables: MarketTables, as_of: datetime, tier: str | None
 
 
 def auction_by_id(auctions: DataFrame, uuid: str, shape=lambda df: df) -> DataFrame:
-    """One auction by uuid, in the shape the caller wants (a function from frame to frame)."""
-    from marketlens.functions.ids import uuid_to_long
+    """One auction by uuid, else by the text read as its number, in the shape the caller wants.
 
+    ``shape`` is a function from frame to frame.
+    """
     wanted = uuid_to_long(F.lit(uuid))
     number = F.lit(uuid).try_cast("bigint")
-    return auctions.filter((F.col("uid") == wanted) | (F.col("uid") == F.coalesce(number, wanted))).transform(shape)
+    either = auctions.filter((F.col("uid") == wanted) | (F.col("uid") == F.coalesce(number, wanted)))
+    return either.orderBy(F.col("uid") != wanted).limit(1).transform(shape)
