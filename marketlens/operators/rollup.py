@@ -114,6 +114,11 @@ def append_missing(existing: DataFrame, new: DataFrame, keys: list[str]) -> Data
     return existing.unionByName(new.join(existing.select(*keys), keys, "left_anti"))
 
 
+def with_live_point(series: DataFrame, live: DataFrame) -> DataFrame:
+    """A stored series and the point of the running period, left out while it has no volume."""
+    return series.unionByName(live.filter("volume <> 0").select(*series.columns))
+
+
 def backfill(sales: DataFrame, existing: DataFrame, start: str, as_of: str, days: int = BACKFILL_DAYS) -> DataFrame:
     """Daily price rows for every item-week that has none.
 

@@ -25,11 +25,11 @@ def day_number(ts: Column) -> Column:
     return F.unix_date(ts.cast("date"))
 
 
-def upper_median(values: Column) -> Column:
-    """Element n/2 of the sorted values, so the upper one of an even count; zero becomes one."""
-    ordered = F.array_sort(values)
-    middle = F.element_at(ordered, F.floor(F.size(ordered) / 2).cast("int") + 1)
-    return F.when(middle == 0, F.lit(1)).otherwise(middle)
+def with_upper_median(df: DataFrame, values: Column, out: str) -> DataFrame:
+    """Add element n/2 of the sorted values, so the upper one of an even count; none or zero becomes one."""
+    ordered = df.withColumn("__values", F.sort_array(values))
+    middle = F.get("__values", F.floor(F.size("__values") / 2).cast("int"))
+    return ordered.withColumn(out, F.greatest(middle, F.lit(1))).drop("__values")
 
 
 def daily_prices(sales: DataFrame, key: str) -> DataFrame:
@@ -45,7 +45,7 @@ def daily_prices(sales: DataFrame, key: str) -> DataFrame:
 def centered_median(prices: DataFrame, key: str) -> DataFrame:
     """Median over the prices present from two days before to two days after."""
     around = Window.partitionBy(key).orderBy("day").rangeBetween(-NEIGHBOUR_DAYS, NEIGHBOUR_DAYS)
-    return prices.withColumn("smoothed", upper_median(F.collect_list("price").over(around)))
+    return with_upper_median(prices, F.collect_list("price").over(around), "smoothed")
 
 
 def _first_few(prices: DataFrame, key: str) -> DataFrame:
@@ -64,10 +64,10 @@ def _with_last_few(prices: DataFrame, key: str) -> DataFrame:
     return prices.withColumn("__last", F.collect_list(F.struct("day", "price")).over(newest))
 
 
-def _buffer_median(seed: Column, last: Column) -> Column:
-    """Median of the five latest days among the seed and the last observations."""
+def _latest(seed: Column, last: Column) -> Column:
+    """Prices of the five latest days among the seed and the last observations."""
     latest = F.slice(F.sort_array(F.concat(seed, last), asc=False), 1, LAST_FEW)
-    return upper_median(F.transform(latest, lambda p: p["price"]))
+    return latest["price"]
 
 
 def gap_filled(prices: DataFrame, key: str, as_of: str, days: int = HISTORY_DAYS) -> DataFrame:
@@ -95,9 +95,10 @@ def gap_filled(prices: DataFrame, key: str, as_of: str, days: int = HISTORY_DAYS
         inside.unionByName(lead_in)
         .withColumn("__until", F.coalesce(following - 1, last_day))
         .join(seeds, [key])
-        .select(key, F.col("day").alias("__day"), "price", "__until", _buffer_median(F.col("__seed"), F.col("__last")).alias("__fill"))
-        .withColumn("day", F.explode(F.sequence("__day", "__until")))
     )
+    stretches = with_upper_median(stretches, _latest(F.col("__seed"), F.col("__last")), "__fill")
+    stretches = stretches.select(key, F.col("day").alias("__day"), "price", "__until", "__fill")
+    stretches = stretches.withColumn("day", F.explode(F.sequence("__day", "__until")))
     observed = F.col("day") == F.col("__day")
     return stretches.filter(F.col("day") >= first_day).select(
         key, "day", observed.alias("observed"), F.when(observed, F.col("price")).otherwise(F.col("__fill")).alias("price")
@@ -108,25 +109,23 @@ def dated_prices(prices: DataFrame, wanted: DataFrame, key: str, days: int = HIS
     """The market price of each wanted (key, day).
 
     An observed day gives its smoothed price. Any other day is filled as in
-    :func:`gap_filled` with that day as the last of the range, found here by
-    carrying the last five observations forward instead of laying out a calendar.
-    Keys without history have no row.
+    :func:`gap_filled` with that day as the last of the range: every wanted day
+    looks back to the last observation and the five prices it carries, so no
+    calendar is laid out. Keys without history have no row.
     """
-    smoothed = centered_median(prices, key)
-    observed = _with_last_few(smoothed, key)
     asked = wanted.select(key, "day").distinct().withColumn("__asked", F.lit(True))
-    before = Window.partitionBy(key).orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    line = asked.join(observed, [key, "day"], "full_outer").withColumn(
-        "__carried", F.last("__last", ignorenulls=True).over(before)
-    )
-    line = line.filter("__asked").join(_first_few(prices, key), [key], "inner")
+    line = prices.select(key, "day", F.lit(False).alias("__asked")).unionByName(asked)
+    up_to_day = Window.partitionBy(key).orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = F.max(F.when(~F.col("__asked"), F.col("day"))).over(up_to_day)
+    looking = line.withColumn("__seen", seen).filter("__asked").drop("__asked")
+    observed = _with_last_few(centered_median(prices, key), key).select(key, F.col("day").alias("__seen"), "smoothed", "__last")
+    found = looking.join(observed, [key, "__seen"], "left").join(_first_few(prices, key), [key])
     none = F.slice(F.col("__seed"), 1, 0)
-    recent = F.filter(F.coalesce("__carried", none), lambda p: p["day"] >= F.col("day") - days)
-    return line.select(
-        key,
-        "day",
-        F.coalesce("smoothed", _buffer_median(F.col("__seed"), recent)).alias("price"),
-    )
+    recent = F.filter(F.coalesce("__last", none), lambda p: p["day"] >= F.col("day") - days)
+    on_day = F.col("__seen") == F.col("day")
+    # an observed day needs no fill, so nothing is sorted for it
+    filled = with_upper_median(found, F.when(~F.coalesce(on_day, F.lit(False)), _latest(F.col("__seed"), recent)), "__fill")
+    return filled.select(key, "day", F.when(on_day, F.col("smoothed")).otherwise(F.col("__fill")).alias("price"))
 
 
 def with_price(rows: DataFrame, dated: DataFrame, key: str, hot_rows: int = 1_000_000) -> DataFrame:

@@ -149,14 +149,19 @@ def star_costs(asked: DataFrame, catalogue: DataFrame, hot_rows: int = 1_000_000
     return priced.select(*asked.columns, F.explode(parts).alias("p")).select(*asked.columns, "p.item", "p.n")
 
 
+def new_entries(rows: DataFrame, existing: str, result: str, out: str) -> DataFrame:
+    """One row per distinct entry of a list that another list does not have."""
+    return rows.withColumn(out, F.explode(F.array_except(result, existing)))
+
+
 def _slot_table(catalogue: DataFrame) -> DataFrame:
-    """Per tag its slots and those of its starred form."""
+    """Per tag its star costs, its slots and the slots of its starred form."""
     starred = catalogue.filter(F.col("tag").startswith("STARRED_")).select(
         F.substr("tag", F.lit(len("STARRED_") + 1)).alias("tag"),
         F.col("gemstone_slots").alias("__starred"),
         F.lit(True).alias("__has_starred"),
     )
-    own = catalogue.select("tag", F.col("gemstone_slots").alias("__slots"), F.lit(True).alias("__known"))
+    own = catalogue.select("tag", "upgrade_costs", F.col("gemstone_slots").alias("__slots"), F.lit(True).alias("__known"))
     return own.join(starred, ["tag"], "left")
 
 
@@ -223,7 +228,7 @@ def property_items(properties: DataFrame, catalogue: DataFrame, keys: list[str],
     """
     key, value = F.col("key"), F.col("value")
     by_catalogue = F.when(key.isin("upgrade_level", "unlocked_slots"), F.col("tag")).alias("__cat")
-    lookup = _slot_table(catalogue).join(catalogue.select("tag", "upgrade_costs"), ["tag"]).withColumnRenamed("tag", "__cat")
+    lookup = _slot_table(catalogue).withColumnRenamed("tag", "__cat")
     joined = hot_join(properties.select("*", by_catalogue), lookup, ["__cat"], "left", hot_rows=hot_rows)
     tier = F.coalesce(value.try_cast("int"), F.lit(0))
     none = F.array().cast("array<string>")

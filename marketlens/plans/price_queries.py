@@ -339,3 +339,23 @@ def color_consensus(spark, d):
         "event_id", "user_id", F.concat(F.expr("cast(k div 25 as string)"), F.lit(":0:0")).alias("color")
     )
     return s.color_consensus(seen, "user_id", "event_id", event_block())
+
+
+@query(
+    "series_with_live_point",
+    f"""WITH h AS (SELECT product_id, date_trunc('hour', date) AS date, round(avg(avg), 6) AS avg, max(max) AS max, min(min) AS min, sum(volume)::BIGINT AS volume
+  FROM {POINTS} GROUP BY 1, 2) SELECT * FROM h WHERE date < '2024-01-20' UNION ALL
+SELECT product_id, min(date), round(sum(avg) FILTER (WHERE hit) / count(*), 6), max(max) FILTER (WHERE hit), min(min) FILTER (WHERE hit), sum(volume) FILTER (WHERE hit)::BIGINT
+FROM (SELECT *, date >= '2024-01-20' AND avg > 0 AS hit FROM {POINTS}) WHERE hit IS NOT NULL GROUP BY product_id HAVING coalesce(sum(volume) FILTER (WHERE hit), 0) <> 0""".replace(
+        "SELECT product_id, min(date),", "SELECT product_id, min(date) FILTER (WHERE hit),"
+    ),
+)
+def series_with_live_point(spark, d):
+    points = r.bazaar_points(t.feed(spark, d))
+    hours = (
+        points.groupBy("product_id", F.date_trunc("hour", "date").alias("date"))
+        .agg(F.avg("avg").alias("avg"), F.max("max").alias("max"), F.min("min").alias("min"), F.sum("volume").alias("volume"))
+        .filter(F.col("date") < "2024-01-20")
+    )
+    running = r.combine_points(points, ["product_id"], "2024-01-20 00:00:00", "2024-12-31 00:00:00")
+    return rounded(r.with_live_point(hours, running), "avg")

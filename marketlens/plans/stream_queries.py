@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketlens import tables as t
 from marketlens.operators import events as e
 from marketlens.operators import rollup as r
+from marketlens.operators import series as s
 from marketlens.plans.price_queries import FEED, HOURLY, LIVE, POINTS
 from marketlens.plans.registry import query
 from marketlens.session import new_folder
@@ -98,6 +99,28 @@ def stream_newer_points(spark, d):
     return live.batches(spark, f"{path}/points").select("event_id", "product_id", "date", F.col("accepted").cast("boolean").alias("accepted"))
 
 
+@query(
+    "stream_sale_hours",
+    f"""SELECT item_id, hour, min("end") AS date, avg(highest_bid) AS avg, max(highest_bid) AS max, min(highest_bid) AS min, sum(cnt)::BIGINT AS volume
+FROM (SELECT *, date_trunc('hour', "end") AS hour FROM {LIVE}) WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 MINUTE GROUP BY item_id, hour""",
+)
+def stream_sale_hours(spark, d):
+    return through_file(spark, live.hour_points(r.sale_points(live_sale_stream(spark, d)), ["item_id"]), "sale-hours")
+
+
+@query(
+    "stream_color_consensus",
+    f"""WITH c AS (SELECT event_id, user_id, (k // 25)::VARCHAR || ':0:0' AS color FROM {FEED}),
+l AS (SELECT *, row_number() OVER w AS rn, lag(color) OVER w AS prev FROM c WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, arg_min(color, event_id) AS color, min(event_id) AS event_id FROM l WHERE rn > 3 AND prev = color GROUP BY user_id""",
+)
+def stream_color_consensus(spark, d):
+    color = F.concat(F.expr("cast(k div 25 as string)"), F.lit(":0:0"))
+    sightings = feed_stream(spark, d).select("event_id", "user_id", color.alias("color"))
+    path = through_batches(spark, sightings, "colors", live.batch_folder)
+    return s.color_consensus(live.batches(spark, path), "user_id", "event_id", F.floor(F.col("event_id") / 100000))
+
+
 KINDS = {"view": "new", "click": "bid", "purchase": "sold", "error": "cancelled", "signup": "ended"}
 KIND_SQL = "CASE event_type WHEN 'view' THEN 'new' WHEN 'click' THEN 'bid' WHEN 'purchase' THEN 'sold' WHEN 'error' THEN 'cancelled' ELSE 'ended' END"
 

@@ -100,6 +100,17 @@ def slot_costs(spark, d):
     return v.slot_costs(asked, catalogue(spark, d)).select("auction_id", "slot", "item", "n")
 
 
+@query(
+    "new_slots",
+    f"""SELECT DISTINCT p_partkey AS id, slot FROM part, (SELECT unnest([{words(WANTED_SLOTS)}]) AS slot) WHERE NOT (p_size % 2 = 0 AND slot = 'RUBY_0')""",
+)
+def new_slots(spark, d):
+    existing = F.when(F.col("hit_count") % 2 == 0, F.array(F.lit("RUBY_0"))).otherwise(F.array().cast("array<string>"))
+    wanted = F.array(*[F.lit(s) for s in WANTED_SLOTS])
+    rows = t.items(spark, d).select("id", existing.alias("existing"), wanted.alias("result"))
+    return v.new_entries(rows, "existing", "result", "slot").select("id", "slot")
+
+
 @query("unlockable_slots", f"SELECT tag, slot_type || '_' || (row_number() OVER (PARTITION BY tag, slot_type ORDER BY i) - 1) AS slot FROM {SLOTS} WHERE priced")
 def unlockable_slots(spark, d):
     return v.unlockable_slots(catalogue(spark, d))
@@ -239,7 +250,7 @@ def ingredient_counts(spark, d):
 
 def property_parts(spark, d):
     rows = with_day(t.properties(spark, d))
-    return v.property_items(rows, catalogue(spark, d), ["auction_id", "line", "day"])
+    return v.property_items(rows, stored(catalogue(spark, d), "catalogue"), ["auction_id", "line", "day"])
 
 
 def dated(prices: str, asked: str, key: str) -> str:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamReader, StreamingQuery
 from pyspark.sql.types import StructType
 
+from marketlens.operators.skew import earlier_rows, hot_join
 from marketlens.session import configure
 
 # Fixed values of the stream contract.
@@ -144,15 +145,13 @@ def newer_points_writer(path: str, keys: list[str], order: str) -> Callable[[Dat
     gives the same result.
     """
     def write(batch: DataFrame, number: int) -> None:
-        from marketlens.operators.skew import earlier_rows
-
         spark = batch.sparkSession
         seen = earlier_rows(batch, keys, [order], F.floor(F.col(order) / 100_000), {"__newest": ("max", F.col("date"))})
         if number > 0:
             before = spark.read.parquet(f"{path}/youngest/batch_id={number - 1}")
         else:
             before = batch.limit(0).select(*keys, F.col("date").alias("youngest"))
-        known = seen.join(before, keys, "left")
+        known = hot_join(seen, before, keys, "left")
         bar = F.greatest("__newest", "youngest")
         verdict = known.withColumn("accepted", bar.isNull() | (F.col("date") > bar)).drop("__newest", "youngest")
         verdict.write.mode("overwrite").partitionBy("accepted").parquet(f"{path}/points/batch_id={number}")
