@@ -395,7 +395,7 @@ def encoded(routed_rows: DataFrame, keys: DataFrame, values: DataFrame, items: D
 
 def with_attribute(auctions: DataFrame, lookup: DataFrame, key_id: int | Column, value: int | Column) -> DataFrame:
     """Auctions that carry an attribute value."""
-    ids = lookup.filter((F.col("key_id") == key_id) & (F.col("value") == value)).select("auction_id")
+    ids = lookup.filter((F.col("key_id") == key_id) & (F.col("value") == value)).select("auction_id").distinct()
     return auctions.join(ids, ["auction_id"], "left_semi")
 
 

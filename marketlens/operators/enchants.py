@@ -19,7 +19,7 @@ def of_item(enchants: DataFrame, item_id: int | None) -> DataFrame:
 
 
 def has_enchant(auctions: DataFrame, enchants: DataFrame, type_: str, level: int, item_id: int | None = None) -> DataFrame:
-    ids = of_item(enchants, item_id).filter(wanted(type_, level)).select("auction_id")
+    ids = of_item(enchants, item_id).filter(wanted(type_, level)).select("auction_id").distinct()
     return auctions.join(ids, ["auction_id"], "left_semi")
 
 
@@ -56,7 +56,7 @@ def without_enchants(auctions: DataFrame, enchants: DataFrame, item_id: int | No
 
 def newest_with_enchant(auctions: DataFrame, enchants: DataFrame, type_: str, level: int, order: list[Column], n: int) -> DataFrame:
     """Auctions behind the newest ``n`` matching enchantment rows; the rows are limited before the join."""
-    ids = enchants.filter(wanted(type_, level)).orderBy(*order).limit(n).select("auction_id")
+    ids = enchants.filter(wanted(type_, level)).orderBy(*order).limit(n).select("auction_id").distinct()
     return auctions.join(ids, ["auction_id"], "left_semi")
 
 

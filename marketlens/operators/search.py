@@ -128,15 +128,16 @@ def item_search(terms: DataFrame, items: DataFrame, names: DataFrame, n: int = S
 def shaped_results(found: DataFrame, names: DataFrame) -> DataFrame:
     """What to show for a found item: its name that starts with the text, else its name, else its tag made readable."""
     candidates = names.filter(F.col("name").isNotNull() & ~F.col("name").isin(HIDDEN_NAMES)).select("item_id", "name")
+    wanted = found.select("item_id", F.lower("cleaned").alias("prefix")).distinct()
     matching = (
-        found.select("term", "cleaned", "item_id")
-        .join(candidates, ["item_id"])
-        .filter(F.startswith(F.lower("name"), F.lower("cleaned")))
-        .groupBy("term", "item_id")
+        prefixes(candidates, F.col("name"), lengths_of(wanted))
+        .join(wanted, ["item_id", "prefix"], "left_semi")
+        .groupBy("item_id", "prefix")
         .agg(F.min("name").alias("__shown"))
     )
     own = F.when(F.col("main") == F.col("tag"), tag_to_name(F.col("tag"))).otherwise(F.col("main"))
-    return found.join(matching, ["term", "item_id"], "left").withColumn("shown", F.coalesce("__shown", own)).drop("__shown")
+    asked = found.withColumn("prefix", F.lower("cleaned"))
+    return asked.join(matching, ["item_id", "prefix"], "left").withColumn("shown", F.coalesce("__shown", own)).drop("__shown", "prefix")
 
 
 def correction_patterns(text: str) -> list[str]:

@@ -273,7 +273,10 @@ def reforge_costs(rows: DataFrame, stones: DataFrame | None = None) -> DataFrame
     stone, cost = F.col("__stone"), F.col("__cost")
     if stones is not None:
         # at most one row per reforge name, a fixed list
-        table = stones.groupBy("reforge").agg(F.max("item").alias("__item"), F.map_from_entries(F.collect_set(F.struct("tier", "cost"))).alias("__by_tier"))
+        per_tier = stones.groupBy("reforge", "tier").agg(F.max("item").alias("item"), F.max_by("cost", "item").alias("cost"))
+        table = per_tier.groupBy("reforge").agg(
+            F.max("item").alias("__item"), F.map_from_entries(F.collect_list(F.struct("tier", "cost"))).alias("__by_tier")
+        )
         joined = joined.join(F.broadcast(table), ["reforge"], "left")
         listed = F.col("__item").isNotNull()
         stone = F.when(listed, F.col("__item")).otherwise(stone)
