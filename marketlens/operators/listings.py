@@ -67,9 +67,6 @@ def top_per(df: DataFrame, keys: list[str], order: list[Column], n: int) -> Data
     return df.withColumn("position", F.row_number().over(rank)).filter(F.col("position") <= n)
 
 
-LISTING_ORDERS: dict[str, list[Column]] = {}
-
-
 def listing_order(order: str) -> list[Column]:
     if order == "ENDING_SOON":
         return [F.asc("end"), F.asc("auction_id")]

@@ -123,29 +123,35 @@ def property_ingredients(properties: DataFrame) -> DataFrame:
     return ruled.withColumn("ingredients", ingredients).drop("__levels", "__needs", "__below")
 
 
-def star_parts(costs: Column, base: Column, tier: Column) -> Column:
+def star_levels(costs: Column) -> Column:
+    """Catalogue star costs as items per level. Done per catalogue row, not per asked row."""
+    def named(c: Column) -> Column:
+        essence = F.concat(F.lit("ESSENCE_"), c["essence_type"])
+        item = F.when(c["type"] == "ESSENCE", essence).otherwise(c["item_id"])
+        return F.struct(item.alias("item"), c["amount"].cast("bigint").alias("n"))
+
+    known = ["ESSENCE", "ITEM"]
+    return F.transform(costs, lambda level: F.transform(F.filter(level, lambda c: c["type"].isin(known)), named))
+
+
+def star_parts(levels: Column, base: Column, tier: Column) -> Column:
     """Items for raising an item from one star tier to another; master stars where the costs end."""
-    bought = F.flatten(F.slice(costs, base + 1, F.greatest(tier - base, F.lit(0))))
-    named = F.transform(
-        F.filter(bought, lambda c: c["type"].isin("ESSENCE", "ITEM")),
-        lambda c: F.struct(
-            F.when(c["type"] == "ESSENCE", F.concat(F.lit("ESSENCE_"), c["essence_type"])).otherwise(c["item_id"]).alias("item"),
-            c["amount"].cast("bigint").alias("n"),
-        ),
-    )
+    bought = F.flatten(F.slice(levels, base + 1, F.greatest(tier - base, F.lit(0)))).cast(PART)
     last = max(level for level, _ in item_rules.MASTER_STARS)
     stars = [
         F.when(((tier == level) if level == last else (tier >= level)) & (base < level), F.struct(F.lit(star).alias("item"), F.lit(1).cast("bigint").alias("n")))
         for level, star in item_rules.MASTER_STARS
     ]
-    extra = F.when(tier > F.size(costs), F.array_compact(F.array(*stars)).cast(PART)).otherwise(F.array().cast(PART))
-    return F.when(costs.isNotNull(), F.concat(named.cast(PART), extra)).otherwise(F.array().cast(PART))
+    none = F.array().cast(PART)
+    extra = F.when(tier > F.size(levels), F.array_compact(F.array(*stars)).cast(PART)).otherwise(none)
+    return F.when(levels.isNotNull(), F.concat(bought, extra)).otherwise(none)
 
 
 def star_costs(asked: DataFrame, catalogue: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
     """(…, item, n) for rows with ``tag``, ``base_tier`` and ``tier``."""
-    priced = hot_join(asked, catalogue.select("tag", "upgrade_costs"), ["tag"], "left", hot_rows=hot_rows)
-    parts = star_parts(F.col("upgrade_costs"), F.col("base_tier"), F.col("tier"))
+    levels = catalogue.select("tag", star_levels(F.col("upgrade_costs")).alias("__levels"))
+    priced = hot_join(asked, levels, ["tag"], "inner", hot_rows=hot_rows)
+    parts = star_parts(F.col("__levels"), F.col("base_tier"), F.col("tier"))
     return priced.select(*asked.columns, F.explode(parts).alias("p")).select(*asked.columns, "p.item", "p.n")
 
 
@@ -161,7 +167,8 @@ def _slot_table(catalogue: DataFrame) -> DataFrame:
         F.col("gemstone_slots").alias("__starred"),
         F.lit(True).alias("__has_starred"),
     )
-    own = catalogue.select("tag", "upgrade_costs", F.col("gemstone_slots").alias("__slots"), F.lit(True).alias("__known"))
+    stars = star_levels(F.col("upgrade_costs")).alias("__stars")
+    own = catalogue.select("tag", stars, F.col("gemstone_slots").alias("__slots"), F.lit(True).alias("__known"))
     return own.join(starred, ["tag"], "left")
 
 
@@ -237,7 +244,7 @@ def property_items(properties: DataFrame, catalogue: DataFrame, keys: list[str],
         F.filter(slots, lambda s: s["item"] != "unavailable"), lambda s: F.struct(s["item"].alias("item"), s["n"].alias("n"))
     )
     other = (
-        F.when(key == "upgrade_level", star_parts(F.col("upgrade_costs"), F.lit(0), tier))
+        F.when(key == "upgrade_level", star_parts(F.col("__stars"), F.lit(0), tier))
         .when(value.isin(rules.GEM_QUALITIES), _parts((gem_key(key, value, F.col("flat")), 1)))
         .when((key == "unlocked_slots") & F.col("__known"), priced_slots)
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from marketlens import tables as t
 from marketlens.operators import rollup as r
 from marketlens.plans import history as h
-from marketlens.plans.price_queries import DAILY, HOURLY, LIVE, SALES, live_sales
+from marketlens.plans.price_queries import DAILY, HOURLY, SALES, live_sales
 from marketlens.plans.registry import query
 
 NOW = datetime(2001, 6, 1)

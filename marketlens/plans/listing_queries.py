@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from marketlens import tables as t
 from marketlens.functions import ids
 from marketlens.operators import dedup, enchants, listings, lookups
-from marketlens.plans.price_queries import FEED, SALES, live_sales
+from marketlens.plans.price_queries import FEED, SALES
 from marketlens.plans.registry import query
 from marketlens.rules import enchants as rules
 from marketlens.rules import items as item_rules
