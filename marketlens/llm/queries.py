@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mixing", "quality", "sharding", "byte_bpe", "token_counts"]
+MODULES = ["mixing", "quality", "sharding", "byte_bpe", "token_counts", "simhash", "toxicity", "embeddings", "substrings", "lines"]
 
 
 def load():
@@ -12,4 +12,8 @@ def load():
         import_module(f"marketlens.llm.{name}")
     from marketlens.llm.common import ORACLES, QUERIES
 
-    return dict(QUERIES), dict(ORACLES)
+    pipeline = import_module("corpus_pipeline")
+    queries, oracles = dict(QUERIES) | {"pipeline": pipeline.run}, dict(ORACLES)
+    if pipeline.ORACLE_SQL:
+        oracles["pipeline"] = pipeline.ORACLE_SQL
+    return queries, oracles
