@@ -26,21 +26,19 @@ def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def index_keys(line: Column, edits: int) -> Column:
+def index_keys(line: Column, length: Column, edits: int) -> Column:
     """The line's own segments, keyed by length, number and content."""
-    length = F.length(line)
     return F.array(
         *[F.xxhash64(length, F.lit(i), F.substr(line, start, size)) for i, (start, size) in enumerate(segments(length, edits))]
     )
 
 
-def probe_keys(line: Column, edits: int, shortest: int) -> Column:
+def probe_keys(line: Column, length: Column, edits: int, shortest: int) -> Column:
     """Keys of the segments that an equally long or shorter line within the edits would share with this one.
 
     For each shorter length and segment only those places are read that an alignment can
     leave the segment at, seen from the line's left end as well as from its right end.
     """
-    length = F.length(line)
     keys = []
     for less in range(edits + 1):
         other = length - less
@@ -76,46 +74,50 @@ def within_edits(pairs: DataFrame, edits: int, a: str = "a_text", b: str = "b_te
     long, short = F.when(F.length(a) >= F.length(b), F.col(a)).otherwise(F.col(b)), F.when(F.length(a) >= F.length(b), F.col(b)).otherwise(F.col(a))
     rows = pairs.select("*", long.alias("__long"), short.alias("__short")).filter(F.length("__long") - F.length("__short") <= edits)
     x, y = F.col("__long"), F.col("__short")
-    rows = stored(rows.withColumn("__left", shared(x, y, F.length(y), True)), "compared")  # ends take no edit
+    rows = stored(rows.repartition("a", "b").withColumn("__left", shared(x, y, F.length(y), True)), "compared")  # ends take no edit
     rows = stored(rows.withColumn("__right", shared(x, y, F.length(y) - F.col("__left"), False)), "compared")
     middle = lambda c: F.substr(c, F.col("__left") + 1, F.length(c) - F.col("__left") - F.col("__right"))
     rows = rows.select(*pairs.columns, middle(x).alias("__long"), middle(y).alias("__short"))
-    rows = stored(rows, "compared")
+    rows = stored(rows, "compared").repartition("a", "b")
     rows = rows.withColumn("__m", F.split("__long", "")).withColumn("__n", F.split("__short", ""))
     rows = rows.withColumn("__m", F.when(F.length("__long") == 0, F.array().cast("array<string>")).otherwise(F.col("__m")))
     rows = rows.withColumn("__n", F.when(F.length("__short") == 0, F.array().cast("array<string>")).otherwise(F.col("__n")))
     off = F.length("__long") - F.length("__short")
 
-    def step(state: Column, j: Column) -> Column:
-        letter = F.get("__n", j)
-        equal = F.lit(0).cast("long")
+    def let(value: Column, body) -> Column:
+        return F.transform(F.array(value), body)[0]
+
+    def equal(letter: Column, j: Column) -> Column:
+        """Which cells of the band meet an equal character in column j."""
+        bits = F.lit(0).cast("long")
         for k in range(band):
-            here = F.coalesce(F.get("__m", j + k - edits) == letter, F.lit(False))
-            equal = equal + F.when(here, F.lit(1 << k)).otherwise(0)
-        return F.struct(state["vp"].alias("vp"), state["vn"].alias("vn"), state["score"].alias("score"), equal.alias("x"))
+            bits = bits + F.when(F.coalesce(F.get("__m", j + k - edits) == letter, F.lit(False)), F.lit(1 << k)).otherwise(0)
+        return bits
+
+    keep = lambda c: c.bitwiseAND(F.lit(full))
 
-    def moved(state: Column) -> Column:
-        vp, vn, x = state["vp"], state["vn"], state["x"]
-        keep = lambda c: c.bitwiseAND(F.lit(full))
+    def moved(state: Column, x: Column) -> Column:
+        vp, vn = state["vp"], state["vn"]
         d0 = keep((x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn))
-        hp = keep(vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))))
-        hn = d0.bitwiseAND(vp)
-        down = F.shiftright(d0, 1)
-        free = F.expr("0L")
-        for d in range(edits + 1):
-            free = free + F.when(off == d, F.shiftright(d0, edits + d).bitwiseAND(F.lit(1))).otherwise(0)
-        return F.struct(
-            keep(hn.bitwiseOR(F.bitwise_not(down.bitwiseOR(hp)))).alias("vp"),
-            down.bitwiseAND(hp).alias("vn"),
-            (state["score"] + 1 - free).alias("score"),
-            F.lit(0).cast("long").alias("x"),
-        )
+
+        def with_d0(d0: Column) -> Column:
+            hp = keep(vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))))
+            free = F.getbit(d0, off + edits).cast("long")
+            return let(hp, lambda hp: F.struct(
+                keep(d0.bitwiseAND(vp).bitwiseOR(F.bitwise_not(F.shiftright(d0, 1).bitwiseOR(hp)))).alias("vp"),
+                F.shiftright(d0, 1).bitwiseAND(hp).alias("vn"),
+                (state["score"] + 1 - free).alias("score"),
+            ))
+
+        # Along the diagonal the score never falls: beyond the limit nothing is left to compute.
+        return F.when(state["score"] > edits, state).otherwise(let(d0, with_d0))
 
     zero = F.struct(
-        F.lit(full & ~((1 << edits) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), off.cast("long").alias("score"), F.lit(0).cast("long").alias("x")
+        F.lit(full & ~((1 << edits) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), off.cast("long").alias("score")
     )
     steps = F.when(F.length("__short") > 0, F.sequence(F.lit(0), F.length("__short") - 1)).otherwise(F.array().cast("array<int>"))
-    distance = F.aggregate(steps, zero, lambda s, j: moved(step(s, j)), lambda s: s["score"])
+    equals = F.transform(steps, lambda j: let(F.get("__n", j), lambda letter: equal(letter, j)))
+    distance = F.aggregate(equals, zero, moved, lambda s: s["score"])
     return rows.filter(distance <= edits).drop("__long", "__short", "__m", "__n")
 
 
@@ -126,6 +128,7 @@ def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
         docs.select(F.col(key).alias("doc"), F.xxhash64(text).alias("mark"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
         .withColumn("one", one)
         .withColumn("two", two)
+        .withColumn("length", F.length("line"))
     )
 
 
@@ -138,11 +141,11 @@ def line_decisions(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN
     says that the line differs from the one that stays. ``class_id`` is the smallest line hash of
     the class. Null keys come first; rows equal in key and text share their lines.
     """
-    lines = line_rows(docs, key, text).filter(F.length("line") >= min_chars)
+    lines = line_rows(docs, key, text).filter(F.col("length") >= min_chars)
     place = F.struct("doc", "mark", "line_no")
     narrow = stored(lines.select("doc", "mark", "line_no", "one", "two"), "lines")
     firsts = stored(narrow.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "first-lines")
-    held = lines.select("one", index_keys(F.col("line"), edits).alias("own"), probe_keys(F.col("line"), edits, min_chars).alias("probe"))
+    held = lines.select("one", index_keys(F.col("line"), F.col("length"), edits).alias("own"), probe_keys(F.col("line"), F.col("length"), edits, min_chars).alias("probe"))
     index = held.select(F.col("one").alias("a"), F.explode("own").alias("k"))
     probe = held.select(F.col("one").alias("b"), F.explode("probe").alias("k"))
     pairs = index.join(probe, "k").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
