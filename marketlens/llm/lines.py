@@ -26,14 +26,12 @@ def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     return out
 
 
-def index_keys(line: Column, length: Column, edits: int) -> Column:
+def index_keys(line: Column, length: Column, edits: int) -> list[Column]:
     """The line's own segments, keyed by length, number and content."""
-    return F.array(
-        *[F.xxhash64(length, F.lit(i), F.substr(line, start, size)) for i, (start, size) in enumerate(segments(length, edits))]
-    )
+    return [F.xxhash64(length, F.lit(i), F.substr(line, start, size)) for i, (start, size) in enumerate(segments(length, edits))]
 
 
-def probe_keys(line: Column, length: Column, edits: int, shortest: int) -> Column:
+def probe_keys(line: Column, length: Column, edits: int, shortest: int) -> list[Column]:
     """Keys of the segments that an equally long or shorter line within the edits would share with this one.
 
     For each shorter length and segment only those places are read that an alignment can
@@ -48,7 +46,7 @@ def probe_keys(line: Column, length: Column, edits: int, shortest: int) -> Colum
                 at = start + shift
                 fits = (other >= shortest) & (at >= 1) & (at + size - 1 <= length)
                 keys.append(F.when(fits, F.xxhash64(other, F.lit(i), F.substr(line, at, size))))
-    return F.array_compact(F.array(*keys))
+    return keys
 
 
 def shared(a: Column, b: Column, most: Column, from_left: bool) -> Column:
@@ -96,9 +94,11 @@ def within_edits(pairs: DataFrame, edits: int, a: str = "a_text", b: str = "b_te
 
     keep = lambda c: c.bitwiseAND(F.lit(full))
 
-    def moved(state: Column, x: Column) -> Column:
+    def moved(state: Column, j: Column) -> Column:
         vp, vn = state["vp"], state["vn"]
-        d0 = keep((x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn))
+
+        def with_x(x: Column) -> Column:
+            return let(keep((x.bitwiseAND(vp) + vp).bitwiseXOR(vp).bitwiseOR(x).bitwiseOR(vn)), with_d0)
 
         def with_d0(d0: Column) -> Column:
             hp = keep(vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(vp))))
@@ -110,14 +110,15 @@ def within_edits(pairs: DataFrame, edits: int, a: str = "a_text", b: str = "b_te
             ))
 
         # Along the diagonal the score never falls: beyond the limit nothing is left to compute.
-        return F.when(state["score"] > edits, state).otherwise(let(d0, with_d0))
+        return F.when(state["score"] > edits, state).otherwise(
+            let(F.get("__n", j), lambda letter: let(equal(letter, j), with_x))
+        )
 
     zero = F.struct(
         F.lit(full & ~((1 << edits) - 1)).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), off.cast("long").alias("score")
     )
     steps = F.when(F.length("__short") > 0, F.sequence(F.lit(0), F.length("__short") - 1)).otherwise(F.array().cast("array<int>"))
-    equals = F.transform(steps, lambda j: let(F.get("__n", j), lambda letter: equal(letter, j)))
-    distance = F.aggregate(equals, zero, moved, lambda s: s["score"])
+    distance = F.aggregate(steps, zero, moved, lambda s: s["score"])
     return rows.filter(distance <= edits).drop("__long", "__short", "__m", "__n")
 
 
@@ -145,9 +146,14 @@ def line_decisions(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN
     place = F.struct("doc", "mark", "line_no")
     narrow = stored(lines.select("doc", "mark", "line_no", "one", "two"), "lines")
     firsts = stored(narrow.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "first-lines")
-    held = lines.select("one", index_keys(F.col("line"), F.col("length"), edits).alias("own"), probe_keys(F.col("line"), F.col("length"), edits, min_chars).alias("probe"))
-    index = held.select(F.col("one").alias("a"), F.explode("own").alias("k"))
-    probe = held.select(F.col("one").alias("b"), F.explode("probe").alias("k"))
+    own = index_keys(F.col("line"), F.col("length"), edits)
+    probes = probe_keys(F.col("line"), F.col("length"), edits, min_chars)
+    names = [f"own{i}" for i in range(len(own))], [f"probe{i}" for i in range(len(probes))]
+    held = lines.select("one", *[c.alias(n) for c, n in zip(own + probes, names[0] + names[1])])
+    held = held.groupBy("one").agg(*[F.first(n).alias(n) for n in names[0] + names[1]])  # a copied line once
+    held = stored(held, "line-keys")
+    index = held.select(F.col("one").alias("a"), F.explode(F.array(*names[0])).alias("k"))
+    probe = held.select(F.col("one").alias("b"), F.explode(F.array(*names[1])).alias("k")).filter("k is not null")
     pairs = index.join(probe, "k").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stored(pairs, "candidates")
     wanted = pairs.select(F.col("a").alias("one")).union(pairs.select("b")).distinct()
