@@ -350,7 +350,7 @@ def routed(flat: DataFrame) -> DataFrame:
     )
     tagged = flat.withColumn("route", route).filter("route <> 'drop'")
     number = (
-        F.when(F.col("route") == "number", F.bround(text.try_cast("double")).cast("bigint"))
+        F.when(F.col("route") == "number", F.coalesce(text.try_cast("bigint"), F.bround(text.try_cast("double")).cast("bigint")))
         .when(F.col("route") == "id", attribute_id(text))
         .when(F.col("route") == "color", rgb_packed(text))
     )

@@ -297,6 +297,7 @@ def enchant_price_table(prices: DataFrame) -> DataFrame:
     books = prices.filter(F.col("tag").rlike(pattern)).select(
         F.lower(F.regexp_extract("tag", pattern, 1)).alias("__book"), F.regexp_extract("tag", pattern, 2).cast("int").alias("level"), "day", "price"
     )
+    books = books.groupBy("__book", "day", "level").agg(F.min("price").alias("price"))  # one tag may have two spellings
     return books.groupBy("__book", "day").agg(F.map_from_entries(F.collect_list(F.struct("level", "price"))).alias("__levels"))
 
 

@@ -236,14 +236,14 @@ def enchant_type_rank(spark, d):
 @query(
     "best_enchant",
     f"""WITH l AS ({rank_sql("type, level")}), ty AS ({rank_sql("type")}),
-r AS (SELECT b.auction_id, b.type, b.level, CASE WHEN l.worth_rank <= 30 THEN 0 ELSE 1 END AS tier,
-  CASE WHEN l.worth_rank <= 30 THEN l.worth_rank ELSE ty.worth_rank END AS rnk
-  FROM {BOOK} b JOIN l ON l.type = b.type AND l.level = b.level JOIN ty ON ty.type = b.type)
+r AS (SELECT b.auction_id, b.type, b.level, CASE WHEN l.worth_rank IS NOT NULL THEN 0 ELSE 1 END AS tier,
+  coalesce(l.worth_rank, ty.worth_rank) AS rnk
+  FROM {BOOK} b LEFT JOIN l ON l.type = b.type AND l.level = b.level JOIN ty ON ty.type = b.type)
 SELECT auction_id, type, level FROM (SELECT *, row_number() OVER (PARTITION BY auction_id ORDER BY tier, rnk, level) AS rn FROM r) WHERE rn = 1""",
 )
 def best_enchant(spark, d):
     books, paid = t.enchantments(spark, d), paid_headers(spark, d)
-    by_level = enchants.worth_ranking(books, paid, ["type", "level"]).filter("worth_rank <= 30")
+    by_level = enchants.worth_ranking(books, paid, ["type", "level"])
     by_type = enchants.worth_ranking(books, paid, ["type"])
     return enchants.best_enchant(books.select("auction_id", "type", "level"), by_level, by_type)
 

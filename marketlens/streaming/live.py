@@ -13,7 +13,6 @@ from marketlens.operators.skew import earlier_rows, hot_join
 from marketlens.session import configure
 
 # Fixed values of the stream contract.
-BATCH_SIZE = 500
 HOUR_GRACE = "1 minute"
 
 
@@ -26,12 +25,13 @@ def file_events(spark: SparkSession, folder: str, schema: StructType | str, glob
     return reader.parquet(folder)
 
 
-def kafka_events(spark: SparkSession, servers: str, topic: str, schema: str, batch_size: int = BATCH_SIZE, options: dict[str, str] | None = None) -> DataFrame:
-    """JSON events of a topic from its beginning. Needs the Kafka package on the cluster."""
+def kafka_events(spark: SparkSession, servers: str, topic: str, schema: str, batch_size: int | None = None, options: dict[str, str] | None = None) -> DataFrame:
+    """JSON events of a topic from its beginning, all that wait in each trigger unless limited. Needs the Kafka package."""
+    limit = {"maxOffsetsPerTrigger": str(batch_size)} if batch_size else {}
     raw = (
         configure(spark)
         .readStream.format("kafka")
-        .options(**{"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", "maxOffsetsPerTrigger": str(batch_size), **(options or {})})
+        .options(**{"kafka.bootstrap.servers": servers, "subscribe": topic, "startingOffsets": "earliest", **limit, **(options or {})})
         .load()
     )
     return raw.select(F.from_json(F.col("value").cast("string"), schema).alias("e"), "partition", "offset").select("e.*", "partition", "offset")
