@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,10 @@ from marketlens.session import stored
 MAX_EDITS = 1
 MIN_CHARS = 20
 
+#: Lines that may share a key before the key is cut finer, and the pieces its open part is then cut into.
+GROUP_LINES = 32
+PIECES = 8
+
 
 def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
     """Start (from 1) and length of the edits + 1 segments of a line; the last ones take what is over."""
@@ -35,7 +41,8 @@ def probe_keys(line: Column, length: Column, edits: int, shortest: int) -> list[
     """Keys of the segments that an equally long or shorter line within the edits would share with this one.
 
     For each shorter length and segment only those places are read that an alignment can
-    leave the segment at, seen from the line's left end as well as from its right end.
+    leave the segment at, seen from the line's left end as well as from its right end. The
+    line's own segments, which ``index_keys`` gives, are left out.
     """
     keys = []
     for less in range(edits + 1):
@@ -43,6 +50,8 @@ def probe_keys(line: Column, length: Column, edits: int, shortest: int) -> list[
         for i, (start, size) in enumerate(segments(other, edits)):
             right = edits - i
             for shift in range(max(-i, less - right), min(i, less + right) + 1):
+                if not less and not shift:
+                    continue
                 at = start + shift
                 fits = (other >= shortest) & (at >= 1) & (at + size - 1 <= length)
                 keys.append(F.when(fits, F.xxhash64(other, F.lit(i), F.substr(line, at, size))))
@@ -133,7 +142,105 @@ def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def line_decisions(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
+def with_sharers(rows: DataFrame) -> DataFrame:
+    """The rows whose key several lines share, one of them with a segment of its own, and how many rows share it.
+
+    Both sides are shuffled whatever their size: what shares a key grows with the lines.
+    """
+    sharers = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("own").alias("indexed")).filter("n > 1 and indexed")
+    return rows.join(sharers.select("k", "n").hint("merge"), "k")
+
+
+def pairs_of(rows: DataFrame) -> DataFrame:
+    """Each index row with the other rows of its key, as pairs of lines."""
+    a = rows.filter("own").select("k", F.col("one").alias("a"))
+    b = rows.select("k", F.col("one").alias("b"), "own")
+    pairs = a.join(b, "k").filter("a < b or (a <> b and not own)")
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def cut_finer(rows: DataFrame) -> DataFrame:
+    """New keys for lines (k, one, own, rest) that agree outside ``rest`` and may differ by one edit inside it.
+
+    The rest is cut into ``PIECES`` by the length of the index line's rest; the edit hits one piece, so
+    each new key holds all pieces but one, which is the new rest. A longer line (not ``own``) has one
+    character more in that piece.
+    """
+    more = F.when(F.col("own"), 0).otherwise(1)
+    size = F.length("rest") - more
+    cuts = []
+    for j in range(PIECES):
+        begin, end = (F.floor(size * F.lit(i) / F.lit(PIECES)).cast("int") for i in (j, j + 1))
+        key = F.xxhash64("k", F.lit(j), F.substr("rest", F.lit(1), begin), F.substr("rest", end + more + 1))
+        cuts.append(F.when(end > begin, F.struct(key.alias("k"), F.substr("rest", begin + 1, end - begin + more).alias("rest"))))
+    return rows.select("one", "own", F.explode(F.array(*cuts)).alias("c")).filter("c is not null").select("c.k", "one", "own", "c.rest")
+
+
+def last_links(rows: DataFrame) -> DataFrame:
+    """Links of lines whose index rest is one character or none: those index lines are all one edit apart.
+
+    They link to the smallest of their key. A longer line has two characters left, or one: it links to
+    the index line that it becomes without one of them.
+    """
+    index = rows.filter("own")
+    middle = index.groupBy("k").agg(F.min("one").alias("b"))
+    among = index.join(middle, "k").select(F.col("one").alias("a"), "b")
+    rest = F.when(F.length("rest") == 1, F.array(F.lit(""))).otherwise(F.array_distinct(F.array(F.left("rest", F.lit(1)), F.right("rest", F.lit(1)))))
+    longer = rows.filter("not own").select("k", F.col("one").alias("a"), F.explode(rest).alias("rest"))
+    across = longer.join(index.select("k", "rest", F.col("one").alias("b")), ["k", "rest"]).select("a", "b")
+    return among.union(across).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def cut_until_quiet(hot: DataFrame, texts: DataFrame, most: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Cut keys of over ``most`` lines finer (one edit): candidate pairs, and links that need no more comparing.
+
+    The rests are a ``PIECES``-th as long after each round, so there are as many rounds as the
+    longest line has octal digits in its length, at most.
+    """
+    line, half = F.col("line"), F.col("half")
+    first = hot.join(texts, "one").withColumn("half", F.floor((F.length(line) - F.when(F.col("own"), 0).otherwise(1)) / 2).cast("int"))
+    left = F.substr(line, F.lit(1), half + F.when(F.col("own"), 0).otherwise(1))
+    rest = F.when(F.col("pos") % 2 == 0, F.substr(line, half + 1)).otherwise(left)
+    rows = stored(first.select("k", "one", "own", rest.alias("rest")), "open")
+    pairs, links = [], []
+    while not rows.isEmpty():
+        small = F.length("rest") - F.when(F.col("own"), 0).otherwise(1) <= 1
+        links.append(last_links(rows.filter(small)))
+        shared = stored(with_sharers(cut_finer(rows.filter(~small))), "open")
+        pairs.append(pairs_of(shared.filter(F.col("n") <= most)))
+        rows = shared.filter(F.col("n") > most).drop("n")
+    return pairs, links
+
+
+def line_links(lines: DataFrame, edits: int, min_chars: int, most: int) -> DataFrame:
+    """Links (a, b) between the hashes of different lines that are at most ``edits`` apart.
+
+    With one edit, keys that over ``most`` lines share are cut finer and need not give all their
+    links: they give as many as connect the same lines. With more edits they give all pairs.
+    """
+    own = index_keys(F.col("line"), F.col("length"), edits)
+    probes = probe_keys(F.col("line"), F.col("length"), edits, min_chars)
+    names = [f"k{i}" for i in range(len(own) + len(probes))]
+    held = lines.select("one", *[c.alias(n) for c, n in zip(own + probes, names)])
+    held = stored(held.groupBy("one").agg(*[F.first(n).alias(n) for n in names]), "line-keys")  # a copied line once
+    rows = held.select("one", F.posexplode(F.array(*names)).alias("pos", "k")).filter("k is not null")
+    rows = rows.withColumn("own", F.col("pos") < len(own))
+    if edits > 1:  # segments of a line may be alike
+        rows = rows.groupBy("k", "one").agg(F.min("pos").alias("pos"), F.max("own").alias("own"))
+    shared = stored(with_sharers(rows), "shared-keys")
+    texts = lines.select("one", "line").join(shared.select("one").distinct().hint("merge"), "one", "left_semi")
+    texts = stored(texts.groupBy("one").agg(F.min("line").alias("line")), "candidate-lines")
+    quiet = F.col("n") <= most if edits == 1 else F.lit(True)
+    pairs, links = cut_until_quiet(shared.filter(~quiet), texts, most)
+    pairs = stored(reduce(DataFrame.union, pairs, pairs_of(shared.filter(quiet))).distinct(), "candidates")
+    a, b = texts.select(F.col("one").alias("a"), F.col("line").alias("a_text")), texts.select(F.col("one").alias("b"), F.col("line").alias("b_text"))
+    near = within_edits(pairs.join(a, "a").join(b, "b"), edits).select("a", "b")
+    return reduce(DataFrame.union, links, near).distinct()
+
+
+def line_decisions(
+    docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text", most: int = GROUP_LINES
+) -> DataFrame:
     """One row (doc, mark, line_no, class_id, near) per line that goes.
 
     Lines of ``min_chars`` code points or more are compared; shorter ones always stay. Two lines
@@ -146,22 +253,7 @@ def line_decisions(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN
     place = F.struct("doc", "mark", "line_no")
     narrow = stored(lines.select("doc", "mark", "line_no", "one", "two"), "lines")
     firsts = stored(narrow.groupBy("one", "two").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "first-lines")
-    own = index_keys(F.col("line"), F.col("length"), edits)
-    probes = probe_keys(F.col("line"), F.col("length"), edits, min_chars)
-    names = [f"own{i}" for i in range(len(own))], [f"probe{i}" for i in range(len(probes))]
-    held = lines.select("one", *[c.alias(n) for c, n in zip(own + probes, names[0] + names[1])])
-    held = held.groupBy("one").agg(*[F.first(n).alias(n) for n in names[0] + names[1]])  # a copied line once
-    held = stored(held, "line-keys")
-    index = held.select(F.col("one").alias("a"), F.explode(F.array(*names[0])).alias("k"))
-    probe = held.select(F.col("one").alias("b"), F.explode(F.array(*names[1])).alias("k")).filter("k is not null")
-    pairs = index.join(probe, "k").filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stored(pairs, "candidates")
-    wanted = pairs.select(F.col("a").alias("one")).union(pairs.select("b")).distinct()
-    texts = lines.select("one", "line").join(wanted, "one", "left_semi").groupBy("one").agg(F.min("line").alias("line"))
-    texts = stored(texts, "candidate-lines")
-    a, b = texts.select(F.col("one").alias("a"), F.col("line").alias("a_text")), texts.select(F.col("one").alias("b"), F.col("line").alias("b_text"))
-    edges = within_edits(pairs.join(a, "a").join(b, "b"), edits).select("a", "b")
-    classes = components(edges)
+    classes = components(line_links(lines, edits, min_chars, most))
     own = firsts.join(classes.withColumnRenamed("node", "one"), "one", "left").withColumn("class_id", F.coalesce("component", "one"))
     own = stored(own.select("one", "two", "first", "copies", "class_id", F.col("component").isNotNull().alias("linked")), "line-classes")
     linked = own.filter("linked").groupBy("class_id").agg(F.min(F.struct("first", "one", "two")).alias("head"))
@@ -170,7 +262,7 @@ def line_decisions(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN
         F.coalesce((F.col("head.one") != F.col("one")) | (F.col("head.two") != F.col("two")), F.lit(False)).alias("near"),
         "copies", "linked",
     ).filter("copies > 1 or linked")
-    gone = narrow.join(named, ["one", "two"]).filter(~place.eqNullSafe(F.col("stays")))
+    gone = narrow.join(named.hint("merge"), ["one", "two"]).filter(~place.eqNullSafe(F.col("stays")))
     return gone.select("doc", "mark", "line_no", "class_id", "near").distinct()
 
 

@@ -34,10 +34,10 @@ def test_banded_distance(spark):
 def test_decisions_against_brute_force(spark):
     rng = random.Random(5)
     base = ["".join(rng.choice("ab cß") for _ in range(rng.randrange(18, 40))).replace("\n", "") for _ in range(12)]
-    for edits in (1, 2):
+    for edits, most in ((1, 32), (1, 2), (2, 32)):
         docs = [(k, "\n".join(changed(rng.choice(base), rng.randrange(0, 4), rng) for _ in range(4))) for k in range(25)]
         docs += [(100, None), (101, ""), (102, "short\nshort\n\n"), (103, docs[0][1])]
-        found = line_decisions(spark.createDataFrame(docs, "doc_id long, text string"), edits)
+        found = line_decisions(spark.createDataFrame(docs, "doc_id long, text string"), edits, most=most)
         lines = [(d, n, x) for d, t in docs if t is not None for n, x in enumerate(t.split("\n")) if len(x) >= 20]
         texts = sorted({x for _, _, x in lines})
         group = {x: x for x in texts}
@@ -51,6 +51,23 @@ def test_decisions_against_brute_force(spark):
         assert {(r.doc, r.line_no) for r in found.collect()} == {(d, n) for d, n, x in lines if stays[group[x]] != (d, n)}
 
 
+def test_shared_halves_are_cut_finer(spark):
+    """Many lines that share a half: all links are found, without all their pairs being compared."""
+    rng = random.Random(7)
+    base = "".join(rng.choice("abcdefgh") for _ in range(40))
+    texts = [base, base[:39] + "zzzz", base[:39] + "zzzx"] + [base[:k] + rng.choice("XYZ") + base[k + rng.randrange(2) :] for k in range(22, 40) for _ in range(3)]
+    texts = sorted(set(texts + [base[:30] + c + base[30:] for c in "123"] + [base[:25] + c + base[26:] for c in "123456"]))
+    docs = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "doc_id long, text string")
+    found = {r.doc for r in line_decisions(docs, 1, most=3).collect()}
+    group = {x: x for x in texts}
+    for _ in texts:
+        for x in texts:
+            for y in texts:
+                if x < y and abs(len(x) - len(y)) <= 1 and distance(x, y) <= 1:
+                    group[x] = group[y] = min(group[x], group[y])
+    assert found == {k for k, x in enumerate(texts) if group[x] != x}
+
+
 def test_text_keeps_other_lines_and_columns(spark):
     line = "a line of more than twenty letters"
     docs = [(1, f"head\n{line}\n\ntail", "x"), (2, f"{line}!\nhead", "y"), (3, None, None), (None, line[::-1], "z")]
