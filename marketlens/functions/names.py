@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from marketlens.rules.enchants import RENAMED
-from marketlens.rules.items import REFORGES, TIER_COLORS, TIER_WORDS
+from marketlens.rules.items import REFORGES, SHARD_TAG_EXCEPTIONS, TIER_COLORS, TIER_WORDS
 from marketlens.rules.tables import mapped
 
 _REFORGE_WORDS = sorted({name.lower() for name in REFORGES})
@@ -82,12 +82,11 @@ def tier_of_description(lines: Column, name: Column) -> Column:
     return F.when(found.isNull() | (found == "UNKNOWN"), by_color).otherwise(found)
 
 
-def shard_tag(name: Column) -> Column:
-    """Tag a shard name stands for: its upper-case name, but for the fixed exceptions."""
-    from marketlens.rules.items import SHARD_TAG_EXCEPTIONS
-
+def shard_tag(name: Column, known: Column) -> Column:
+    """Tag a shard name stands for: its upper-case name, but for the fixed exceptions; null if it is not ``known`` either."""
     exceptions = {k.lower(): v for k, v in SHARD_TAG_EXCEPTIONS.items()}
-    return F.coalesce(mapped(exceptions, F.lower(name)), F.upper(F.replace(name, F.lit(" "), F.lit("_"))))
+    plain = F.when(known, F.upper(F.replace(name, F.lit(" "), F.lit("_"))))
+    return F.coalesce(mapped(exceptions, F.lower(name)), plain)
 
 
 def mask_email(text: Column) -> Column:

@@ -119,8 +119,13 @@ def item_search(terms: DataFrame, items: DataFrame, names: DataFrame, n: int = S
     hits = hits.distinct().join(main, ["item_id"])
     size = F.expr("length(main) div 2")
     base = [F.asc(size - F.col("hit_count")), F.asc("main"), F.asc("item_id")]
+    shown = ["term", "cleaned", "item_id", "main", "tag", "hit_count"]
     found = _best_candidates(hits, ["source", "prefix"], F.lower("main") == F.col("prefix"), base, n)
-    found = found.join(patterns, ["source", "prefix"]).select("term", "cleaned", "item_id", "main", "tag", "hit_count").distinct()
+    found = found.join(patterns, ["source", "prefix"]).select(*shown)
+    # an item of the term's own name may be found by a pattern other than that name: it is never among those cut
+    named = asked.join(main, F.lower("main") == F.lower("cleaned")).join(hits.select("item_id", "source", "prefix"), ["item_id"])
+    named = named.join(patterns.select("term", "source", "prefix"), ["term", "source", "prefix"], "left_semi")
+    found = found.unionByName(named.select(*shown)).distinct()
     score = size - F.col("hit_count") - F.when(F.lower("main") == F.lower("cleaned"), F.lit(EXACT)).otherwise(F.lit(0))
     return top_per(found.withColumn("score", score), ["term"], [F.asc("score"), F.asc("main"), F.asc("item_id")], n)
 

@@ -11,7 +11,6 @@ from marketlens.plans.listing_queries import TITLED, values, words
 from marketlens.plans.price_queries import FEED
 from marketlens.plans.registry import query
 from marketlens.rules import enchants as erules
-from marketlens.rules import items as irules
 from marketlens.rules import properties as prules
 from marketlens.session import stored
 
@@ -358,22 +357,30 @@ def enchant_display_names(spark, d):
     return rows.groupBy("raw", names.enchant_display_name(F.col("raw")).alias("shown_name")).agg(F.count(F.lit(1)).alias("n"))
 
 
-SHARD_WORDS = ["Wither Spectre", "Zealot Bruiser", "zealot bruiser", "Wild Hog"]
+SHARD_WORDS = [
+    "Wither Spectre", "Zealot Bruiser", "zealot bruiser", "Wild Hog", "Inferno Demonlord", "Bogged", "Cinderbat", "End Stone Protector",
+    "Loch Emperor", "Abyssal Lanternfish", "Lotusfish", "Inkling", "Flipflopper", "Seashine", "Beetle", "Earthworm", "field mouse",
+    "Stridersurfer",
+]
 
 
 @query(
     "shard_tags",
-    f"""SELECT id, name, CASE lower(name) WHEN 'wither spectre' THEN 'WITHER_SPECTER' WHEN 'zealot bruiser' THEN 'BRUISER' ELSE upper(replace(name, ' ', '_')) END AS tag FROM
-(SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN [{words(SHARD_WORDS)}][p_size % 4 + 1] ELSE p_name END AS name FROM part)
-WHERE upper(replace(name, ' ', '_')) IN (SELECT upper(replace(p_name, ' ', '_')) FROM part) OR lower(name) IN ('wither spectre', 'zealot bruiser')""",
+    f"""WITH renamed(low, to_tag) AS (VALUES ('inferno demonlord', 'BURNINGSOUL'), ('bogged', 'SEA_ARCHER'), ('cinderbat', 'CINDER_BAT'),
+('end stone protector', 'ENDSTONE_PROTECTOR'), ('loch emperor', 'SEA_EMPEROR'), ('abyssal lanternfish', 'ABYSSAL_LANTERN'), ('lotusfish', 'LOTUS_FISH'),
+('inkling', 'NIGHT_SQUID'), ('flipflopper', 'FLIP_FLOPPER'), ('seashine', 'SEA_SHINE'), ('beetle', 'CROPEETLE'), ('earthworm', 'TERMITE'),
+('field mouse', 'PEST'), ('stridersurfer', 'STRIDER_SURFER'), ('wither spectre', 'WITHER_SPECTER'), ('zealot bruiser', 'BRUISER'))
+SELECT id, name, CASE WHEN to_tag IS NOT NULL THEN to_tag WHEN upper(name) IN (SELECT upper(p_name) FROM part) THEN upper(replace(name, ' ', '_')) END AS tag
+FROM (SELECT p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN [{words(SHARD_WORDS)}][p_size // 2 % 18 + 1] ELSE p_name END AS name FROM part) LEFT JOIN renamed ON low = lower(name)""",
 )
 def shard_tags(spark, d):
+    """Part names play the names of the shards there are; a name that is neither theirs nor an exception has no tag."""
     items = t.items(spark, d)
-    name = F.when(F.col("hit_count") % 2 == 0, t.pick(SHARD_WORDS, F.col("hit_count"))).otherwise(F.col("name"))
-    plain = items.select(F.upper(F.translate("name", " ", "_")).alias("tag"))
-    known = plain.unionByName(items.select(F.explode(F.array(*[F.lit(v) for v in irules.SHARD_TAG_EXCEPTIONS.values()])).alias("tag")))
-    shards = items.select("id", name.alias("name")).withColumn("tag", names.shard_tag(F.col("name")))
-    return shards.join(known.distinct(), ["tag"], "left_semi")
+    name = F.when(F.col("hit_count") % 2 == 0, t.pick(SHARD_WORDS, F.floor(F.col("hit_count") / 2))).otherwise(F.col("name"))
+    known = items.select(F.upper("name").alias("known")).distinct()
+    shards = items.select("id", name.alias("name"))
+    shards = shards.join(known, F.upper("name") == F.col("known"), "left")
+    return shards.select("id", "name", names.shard_tag(F.col("name"), F.col("known").isNotNull()).alias("tag"))
 
 
 @query(

@@ -285,9 +285,9 @@ def component_value(spark, d):
 ENCHANT_TAGS = ["FUNGI_CUTTER", "HOE", "AXE"]
 ENCHANTED = f"""(SELECT l_orderkey AS auction_id, l_linenumber AS line, [{words(t.BOOK_TYPES)}][(l_linenumber - 1) % 7 + 1] AS type, ceil(l_quantity / 5)::INT AS level,
   [{words(ENCHANT_TAGS)}][l_partkey % 3 + 1] AS tag, date_diff('day', TIMESTAMP '1970-01-01', l_shipdate)::INT // 7 AS day,
-  CASE WHEN l_suppkey % 2 = 0 THEN CASE WHEN l_suppkey % 4 = 0 THEN l_partkey ELSE 0 END END AS farmed FROM lineitem WHERE l_linestatus = 'O')"""
+  CASE WHEN l_suppkey % 2 = 0 THEN CASE WHEN l_suppkey % 4 = 0 THEN l_partkey ELSE 0 END END AS farmed FROM lineitem)"""
 ENCHANT_WORTH = f"""WITH b AS (SELECT [{words(t.BOOK_TYPES)}][(l_linenumber - 1) % 7 + 1] AS type, ceil(l_quantity / 5)::INT AS level, date_diff('day', TIMESTAMP '1970-01-01', l_shipdate)::INT // 7 AS day,
-  trunc(avg(trunc(l_extendedprice)::BIGINT))::DOUBLE AS price FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL),
+  trunc(avg(trunc(l_extendedprice)::BIGINT))::DOUBLE AS price FROM lineitem GROUP BY ALL),
 s AS (SELECT date_diff('day', TIMESTAMP '1970-01-01', l_shipdate)::INT // 7 AS day, trunc(avg(trunc(l_extendedprice)::BIGINT))::DOUBLE AS price FROM lineitem WHERE [{words(t.COMPONENT_TAGS)}][l_suppkey % {len(t.COMPONENT_TAGS)} + 1] = 'SIL_EX' GROUP BY ALL),
 j AS (SELECT e.*, x.price AS ex, f.price AS l1, g.price AS l5, six.price AS v6, coalesce(s.price, 8000000) AS sil FROM {ENCHANTED} e LEFT JOIN b x ON x.type = e.type AND x.level = e.level AND x.day = e.day
   LEFT JOIN b f ON f.type = e.type AND f.level = 1 AND f.day = e.day LEFT JOIN b g ON g.type = e.type AND g.level = 5 AND g.day = e.day
@@ -301,7 +301,7 @@ SELECT auction_id, line, type, level, trunc(CASE WHEN ex > 0 AND ex < 500000000
 
 
 def enchant_worth(spark, d):
-    source = t.read(spark, d, "lineitem").filter("l_linestatus = 'O'")
+    source = t.read(spark, d, "lineitem")
     supp, part = F.col("l_suppkey"), F.col("l_partkey")
     farmed = F.when(supp % 4 == 0, F.create_map(F.lit("farmed_cultivating"), part.cast("string"))).otherwise(F.create_map(F.lit("other"), F.lit("1")))
     rows = source.select(

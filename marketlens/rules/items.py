@@ -137,4 +137,21 @@ MASTER_STARS = [
 HIDDEN_NAMES = ["Beastmaster Crest", "Griffin Upgrade Stone"]
 
 # Shards whose tag is not just the upper-case name.
-SHARD_TAG_EXCEPTIONS = {"Wither Spectre": "WITHER_SPECTER", "Zealot Bruiser": "BRUISER"}
+SHARD_TAG_EXCEPTIONS = {
+    "Inferno Demonlord": "BURNINGSOUL",
+    "Bogged": "SEA_ARCHER",
+    "Cinderbat": "CINDER_BAT",
+    "End Stone Protector": "ENDSTONE_PROTECTOR",
+    "Loch Emperor": "SEA_EMPEROR",
+    "Abyssal Lanternfish": "ABYSSAL_LANTERN",
+    "Lotusfish": "LOTUS_FISH",
+    "Inkling": "NIGHT_SQUID",
+    "Flipflopper": "FLIP_FLOPPER",
+    "Seashine": "SEA_SHINE",
+    "Beetle": "CROPEETLE",
+    "Earthworm": "TERMITE",
+    "Field Mouse": "PEST",
+    "Stridersurfer": "STRIDER_SURFER",
+    "Wither Spectre": "WITHER_SPECTER",
+    "Zealot Bruiser": "BRUISER",
+}

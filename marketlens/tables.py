@@ -273,8 +273,8 @@ def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def book_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weekly mean prices of enchanted books (finished sales) and of upgrade components."""
-    books = enchantments(spark, sf_dir).filter("status = 'F'")
+    """Weekly mean prices of enchanted books and of upgrade components."""
+    books = enchantments(spark, sf_dir)
     tag = F.concat(F.lit("ENCHANTMENT_"), F.upper("type"), F.lit("_"), F.col("level").cast("string"))
     sold = books.select(tag.alias("tag"), "end", F.col("highest_bid").alias("price"))
     parts = component_sales(spark, sf_dir).select("tag", "end", F.col("highest_bid").alias("price"))

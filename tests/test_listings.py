@@ -92,6 +92,16 @@ def test_search_order_and_exact_hits(spark, rows_of):
     assert rows_of(got, "term", "position", "name") == [("BO", 1, "bob"), ("ann", 1, "ann"), ("ann", 2, "annabel")]
 
 
+def test_item_of_the_terms_own_name_is_never_cut(spark, rows_of):
+    """It is found by its tag only, behind items that are better but for the exact name."""
+    items = [(k, f"Aspect {k}", f"ASPECT_OF_X{k}", 100) for k in range(7)] + [(9, "Aspect Of X", "ASPECT_OF_X", 0)]
+    items = spark.createDataFrame(items, "id int, name string, tag string, hit_count int")
+    names = spark.createDataFrame([], "item_id int, name string")
+    terms = spark.createDataFrame([("Aspect Of X",)], "term string")
+    got = search.item_search(terms, items, names).filter("position <= 2")
+    assert rows_of(got, "position", "item_id") == [(1, 9), (2, 0)]
+
+
 def test_uuid_search(spark, rows_of):
     uuid = "00123456789a4bcd" + "0" * 16
     players = spark.createDataFrame([(uuid, "someone", 0)], "uuid string, name string, hit_count int")
