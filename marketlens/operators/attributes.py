@@ -128,8 +128,21 @@ def _word(key: Column, text: Column) -> Column:
     return F.struct(key.alias("key"), F.lit("STRING").alias("type"), text.alias("text"))
 
 
+def _depth(entries: Column) -> Column:
+    """At least as many levels as the objects among the entries have: their opening braces."""
+    def braces(e: Column) -> Column:
+        text = _text(e["value"])
+        return F.when(_object(e["value"]).isNotNull(), F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))))
+
+    return F.coalesce(F.array_max(F.transform(entries, braces)), F.lit(0))
+
+
 def _flat(entries: Column) -> Column:
-    return _plain(_unnest(_unnest(entries)))
+    """Entries without any object left, however deep: one pass per level of the row's own objects."""
+    def all_levels(first: Column) -> Column:
+        return F.aggregate(F.array_repeat(F.lit(0), _depth(first)), first, lambda left, _: _unnest(left))
+
+    return _plain(_once(_unnest(entries), all_levels))
 
 
 def _marked(values: Column, lifted: bool) -> Column:
@@ -170,13 +183,13 @@ def _gems(members: Column) -> Column:
             ),
         )
     )
-    return F.concat(_placed(_flat(F.filter(members, lambda g: ~_is_gem(g)))), _lifted(_plain(found)))
+    return F.concat(_placed(_flat(F.filter(members, lambda g: ~_is_gem(g)))), _lifted(_flat(found)))
 
 
 def _pet(members: Column) -> Column:
     rest = F.filter(members, lambda p: ~p["key"].isin("uuid", "extraData"))
     extra = F.flatten(F.transform(F.filter(members, lambda p: p["key"] == "extraData"), lambda p: _entries(p["value"])))
-    return F.concat(_placed(_flat(rest)), _lifted(_plain(extra)))
+    return F.concat(_placed(_flat(rest)), _lifted(_flat(extra)))
 
 
 def _expand(entry: Column) -> Column:
@@ -203,7 +216,7 @@ def _expand(entry: Column) -> Column:
             F.concat(_placed(_flat(part_rest)), _lifted(_parts(key, value, ("id", "uuid")))),
         )
         .when((key == "gems") & _object(value).isNotNull(), _once(_entries(value), _gems))
-        .when(key == "runes", _lifted(_plain(runes)))
+        .when(key == "runes", _lifted(_flat(runes)))
     )
 
     def usual(kind: Column) -> Column:
@@ -330,6 +343,8 @@ def book_tags(books: DataFrame, types: DataFrame, name: str = "name") -> DataFra
     return joined.withColumn("book_tag", tag).drop("__level", "__name", "__low", "__type", "__ulow", "__utype")
 
 
+# Fixed value: attribute keys have 16-bit ids.
+MOST_KEYS = 65_535
 NUMBERS = ["TINYINT", "SMALLINT", "INT", "BIGINT", "FLOAT", "DOUBLE", "DECIMAL"]
 
 
@@ -366,8 +381,10 @@ def routed(flat: DataFrame) -> DataFrame:
 
 
 def key_dictionary(known: DataFrame, flat: DataFrame) -> DataFrame:
-    """(id, slug): dictionary of attribute keys. Ids are 16-bit, so the whole table is small."""
-    return get_or_create_ids(known, flat.select(F.col("key").alias("slug")), ["slug"])
+    """(id, slug): dictionary of attribute keys. An id beyond 16 bits is an error, so the whole table is small."""
+    ids = get_or_create_ids(known, flat.select(F.col("key").alias("slug")), ["slug"])
+    too_many = F.raise_error(F.lit(f"attribute keys have ids up to {MOST_KEYS}")).cast("bigint")
+    return ids.withColumn("id", F.when(F.col("id") <= MOST_KEYS, F.col("id")).otherwise(too_many))
 
 
 def value_dictionary(known: DataFrame, routed_rows: DataFrame) -> DataFrame:

@@ -19,6 +19,14 @@ def tag_lookup(items: DataFrame) -> DataFrame:
     return ids.join(runes, ["tag"], "full_outer").select("tag", F.coalesce("__unique", "__id").alias("found"))
 
 
+def id_of_tag(items: DataFrame, tag: str) -> DataFrame:
+    """(found): the id of one tag as ``tag_lookup`` has it; only items of this tag are read."""
+    unique = f"UNIQUE_{tag}"
+    wanted = [tag, unique] if tag.startswith("RUNE_") else [tag]
+    own, better = (F.min(F.when(F.col("tag") == name, F.col("id"))) for name in (tag, unique))
+    return items.filter(F.col("tag").isin(wanted)).agg(F.coalesce(better, own).alias("found"))
+
+
 def tag_to_id(rows: DataFrame, items: DataFrame, tag: str = "tag", out: str = "item_id", hot_rows: int = 1_000_000) -> DataFrame:
     """Add the item id of a tag; unknown tags give 0."""
     lookup = tag_lookup(items).select(F.col("tag").alias(tag), F.col("found").alias("__found"))

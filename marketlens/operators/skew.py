@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 SALTS = 64
+NULL_PARTS = 2**31 - 1  # rows without a key have no partner to copy
 
 
 def hot_join(
@@ -22,30 +23,30 @@ def hot_join(
 ) -> DataFrame:
     """Equi-join of a big ``left`` with a ``right`` whose keys repeat little.
 
-    Keys with at least ``hot_rows`` rows on the left are spread over ``salts``
-    reducers and only their rows on the right are copied. There are at most
-    ``rows(left) / hot_rows`` such keys, so the broadcast list of hot keys is
-    small by construction. Rows with a null key match nothing and are spread too.
+    Keys with at least ``hot_rows`` rows on the left are cut into ``salts`` parts,
+    or into more where a part would still hold over ``hot_rows`` rows, and only
+    their rows on the right are copied. There are at most ``rows(left) / hot_rows``
+    such keys, so the broadcast list of hot keys is small by construction. Rows
+    with a null key match nothing and are spread too.
     """
     spread = spread or [name for name, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
     hot = (
         left.groupBy(*on)
         .agg(F.count(F.lit(1)).alias("__n"))
         .filter(F.col("__n") >= hot_rows)
-        .select(*on, F.lit(True).alias("__hot"))
+        .select(*on, F.greatest(F.lit(salts), F.ceil(F.col("__n") / hot_rows)).cast("int").alias("__parts"))
     )
     null_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    parts = F.when(null_key, F.lit(NULL_PARTS)).otherwise(F.coalesce("__parts", F.lit(1)))
     salted_left = (
         left.join(F.broadcast(hot), on, "left")
-        .withColumn("__salt", F.when(F.col("__hot") | null_key, salt).otherwise(F.lit(0)))
-        .drop("__hot")
+        .withColumn("__salt", F.pmod(F.xxhash64(*spread), parts).cast("int"))
+        .drop("__parts")
     )
-    every_salt = F.sequence(F.lit(0), F.lit(salts - 1))
     salted_right = (
         right.join(F.broadcast(hot), on, "left")
-        .withColumn("__salt", F.explode(F.when(F.col("__hot"), every_salt).otherwise(F.array(F.lit(0)))))
-        .drop("__hot")
+        .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
+        .drop("__parts")
     )
     return salted_left.join(salted_right, [*on, "__salt"], how).drop("__salt")
 

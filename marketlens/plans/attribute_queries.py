@@ -36,6 +36,9 @@ def _flat_sql() -> str:
         ("event_type = 'click'", "RUBY_1", "STRING", "'FLAWED'"),
         ("event_type = 'click'", "unlocked_slots", "ARRAY", "'A_0,B_0'"),
         ("event_type = 'view'", "RUNE_ZAP", "BIGINT", "k"),
+        ("event_type = 'view'", "deep_kills", "BIGINT", "k"),
+        ("event_type = 'view'", "near", "BIGINT", "'1'"),
+        ("event_type = 'view'", "big_count", "BIGINT", "'9007199254740993'"),
         ("event_type = 'view'", "ability_scroll", "STRING", "'IMPLODE WITHER'"),
         ("event_type = 'signup'", "potion", "STRING", "'speed'"),
         ("event_type = 'signup'", "hook.part", "STRING", "'HOOK_' || u"),

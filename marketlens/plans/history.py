@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.ids import uuid_to_long
 from marketlens.operators.enchants import has_enchant, has_two_enchants, without_enchants
 from marketlens.operators.listings import FILTER_DAYS, active_listings, listing_board, named_filters, plain_filters, recent_sales, with_player_name
-from marketlens.operators.lookups import tag_lookup
+from marketlens.operators.lookups import id_of_tag
 from marketlens.operators.rollup import price_rollup, spike_filter, when_sold
 
 # How far back a request may start to be answered from a finer table.
@@ -51,7 +51,6 @@ class MarketTables:
     headers: DataFrame | None = None
     bids: DataFrame | None = None
     bazaar_ids: DataFrame | None = None
-    extra: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def _text(moment: datetime) -> str:
@@ -60,8 +59,7 @@ def _text(moment: datetime) -> str:
 
 def _of_item(df: DataFrame, tables: MarketTables, tag: str) -> DataFrame:
     """Rows of the tag's item; the id is a scalar sub-query, so it reaches the scan as a filter."""
-    wanted = tag_lookup(tables.items).filter(F.col("tag") == tag).agg(F.max("found")).scalar()
-    return df.filter(F.col("item_id") == wanted)
+    return df.filter(F.col("item_id") == id_of_tag(tables.items, tag).scalar())
 
 
 def filtered(auctions: DataFrame, request: PriceRequest, tables: MarketTables, as_of: datetime) -> DataFrame:

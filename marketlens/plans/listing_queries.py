@@ -122,12 +122,12 @@ def ordered_page(spark, d):
 RESULT = f"""(SELECT h.*, CASE WHEN h.status = 'P' THEN '' ELSE p_name END AS item_name,
   upper(replace(p_name, ' ', '_')) || '_' || p_partkey AS tag, h.status = 'O' AS bin, p_size AS count,
   CASE WHEN h.status = 'O' THEN 0 ELSE starting_bid END AS bid0, starting_bid // 2 AS highest_bid
-  FROM {HEADERS} h JOIN part ON p_partkey = seller_id)"""
+  FROM {HEADERS} h LEFT JOIN part ON p_partkey = seller_id)"""
 
 
 def result_rows(spark, d):
     items = t.items(spark, d).select(F.col("id").alias("seller_id"), "name", "tag", F.col("hit_count").alias("count"))
-    rows = t.headers(spark, d).join(items, ["seller_id"])
+    rows = t.headers(spark, d).join(items, ["seller_id"], "left")
     return rows.withColumns(
         {
             "item_name": F.when(F.col("status") == "P", "").otherwise(F.col("name")),
@@ -161,13 +161,14 @@ FULL_NAME = f"([{words(t.NAME_WORDS)}][({BRAND} - 1) % 25 + 1] || ' ' || {TITLE_
     "index_elements",
     f"""SELECT i.auction_id, "end", price, coalesce(canon, 'None') AS reforge, count, n_bids FROM (SELECT p_partkey AS auction_id, max(o_orderdate) AS "end",
   any_value(trunc(p_retailprice)::BIGINT) AS price, any_value({FULL_NAME}) AS full_name, any_value(p_size) AS count, count(o_orderkey) AS n_bids
-  FROM part JOIN orders ON o_custkey = p_partkey GROUP BY p_partkey) i
+  FROM part LEFT JOIN orders ON o_custkey = p_partkey GROUP BY p_partkey) i
 LEFT JOIN (VALUES {CANON}) c(low, canon) ON low = lower(string_split(full_name, ' ')[1])""",
 )
 def index_elements(spark, d):
     items = t.items(spark, d).select("id", F.col("full_name").alias("item_name"), F.col("hit_count").alias("count"), F.col("coins").alias("highest_bid"))
     ended = t.headers(spark, d).groupBy(F.col("seller_id").alias("id")).agg(F.max("end").alias("end"), F.count(F.lit(1)).alias("n_bids"))
-    return listings.index_elements(items.join(ended, ["id"]).withColumnRenamed("id", "auction_id"))
+    rows = items.join(ended, ["id"], "left").withColumn("n_bids", F.coalesce("n_bids", F.lit(0)))
+    return listings.index_elements(rows.withColumnRenamed("id", "auction_id"))
 
 
 # Enchantments --------------------------------------------------------------
@@ -484,7 +485,7 @@ def clean_names(spark, d):
     "name_to_item",
     f"""WITH asked AS (SELECT id, CASE WHEN id % 4 = 0 THEN upper(full_name) ELSE full_name END AS full_name FROM {CLEANED}),
 c AS (SELECT id, full_name, {CLEAN} AS clean FROM (SELECT *, translate(trim(full_name, '✪'), '⚚✦', '') AS n FROM asked)),
-alt AS (SELECT name, min(item_id) AS item_id FROM (SELECT {TITLE_NAME} AS name, p_partkey + 2 AS item_id FROM part WHERE p_size <= 20) GROUP BY name),
+alt AS (SELECT name, min(item_id) AS item_id FROM (SELECT {TITLE_NAME} AS name, p_partkey + 2 AS item_id FROM part) GROUP BY name),
 tags AS (SELECT p_partkey AS id, upper(p_name) AS tag FROM part), tag1 AS (SELECT tag, min(id) AS id FROM tags GROUP BY tag),
 f AS (SELECT c.id, c.full_name, CASE WHEN coalesce(t.id, 0) <> 0 THEN t.id ELSE coalesce(least(a.item_id, b.item_id), 0) END AS found
   FROM c LEFT JOIN tag1 t ON t.tag = clean LEFT JOIN alt a ON a.name = full_name LEFT JOIN alt b ON b.name = clean)
@@ -494,7 +495,7 @@ SELECT f.id, f.full_name, CASE WHEN found > 1 THEN found ELSE 0 END AS found_id,
 def name_to_item(spark, d):
     items = t.items(spark, d)
     asked = items.select("id", F.when(F.col("id") % 4 == 0, F.upper("full_name")).otherwise(F.col("full_name")).alias("full_name"))
-    alt = items.filter("hit_count <= 20").select((F.col("id") + 2).alias("item_id"), F.initcap("name").alias("name"))
+    alt = items.select((F.col("id") + 2).alias("item_id"), F.initcap("name").alias("name"))
     catalogue = items.select("id", F.upper("name").alias("tag"))
     return lookups.name_to_item(asked, catalogue, alt)
 

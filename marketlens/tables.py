@@ -164,7 +164,7 @@ def attribute_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "\\'hideInfo\\':false,\\'extraData\\':{\\'blaze_kills\\':<k>}}','skin':'BEE_BLUE'}",
         "click": "{'id':'DIVAN_HELMET'," + common + ",'gems':{'JADE_0':{'quality':'FINE','uuid':'<short>'},'RUBY_1':'FLAWED',"
         "'unlocked_slots':['A_0','B_0']},'enchantments':{'growth':5,'Duplex':2,'mana_pool':3,'wise':1,'zzz':300}}",
-        "view": "{'id':'RUNE'," + common + ",'runes':{'ZAP':<k>},'ability_scroll':['WITHER','IMPLODE']}",
+        "view": "{'id':'RUNE'," + common + ",'runes':{'ZAP':<k>},'chest':{'a':{'b':{'c':{'deep_kills':<k>},'near':1}}},'big_count':9007199254740993,'ability_scroll':['WITHER','IMPLODE']}",
         "signup": "{'id':'POTION','potion':'speed'," + common + ",'hook':{'part':'HOOK_<user>','uuid':'<short>'},"
         "'engine':{'id':'ENGINE_1','uuid':'<short>','speed':<k>},'uniqueId':'gone'}",
         "purchase": "{'id':'ENCHANTED_BOOK'," + common + ",'level':99,'necromancer_souls':[{'mob':'ZOMBIE'},{'mob':'ZOMBIE'},{'mob':'SKELETON'}],"

@@ -32,6 +32,8 @@ def flat(spark, document: dict) -> dict[str, str]:
         ({"engine": {"id": "E", "uuid": "u", "speed": 3}, "fuel_tank": "text"}, {"engine.id": "E", "engine.uuid": "u", "speed": "3", "fuel_tank": "text"}),
         ({"level": 1, "effects": [{"effect": "a", "level": 2}, {"effect": "b"}]}, {"effect": "b", "level": "2"}),
         ({"a": {"b": {"c": 1}}, "c": 2}, {"c": "1"}),
+        ({"a": {"b": {"c": {"d": {"e": 1, "f": {"g": {"h": [1, 2]}}}}}, "i": {"j": "{{"}}}, {"e": "1", "h": "1,2", "j": "{{"}),
+        ({"runes": {"ZAP": {"level": {"n": 3}}}}, {"n": "3"}),
         ({"necromancer_souls": [{"m": "Z"}, {"m": "Z"}, {"m": "S"}]}, {"Z": "2", "S": "1"}),
         ({"gone": None, "yes": True}, {"yes": "True"}),
     ],

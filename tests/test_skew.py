@@ -33,6 +33,16 @@ def test_hot_join_splits_the_hot_key(spark, skewed):
     assert "xxhash64" in plan and "explode" in plan
 
 
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_hot_join_cuts_a_key_into_parts_by_its_count(spark, rows_of, how):
+    left = spark.range(3000).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 > 0, F.lit("hot")).alias("k"))
+    right = spark.createDataFrame([("hot", 1), ("hot", 2)], "k string, w int")
+    joined = hot_join(left, right, ["k"], how, hot_rows=10, salts=4)
+    assert rows_of(joined, "seq", "k", "w") == rows_of(left.join(right, ["k"], how), "seq", "k", "w")
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "ceil" in plan.lower()  # 2,000 rows at 10 a part: 200 parts, not 4
+
+
 def test_hot_join_skips_map_columns(spark):
     left = spark.createDataFrame([(1, {"a": "b"})], "k int, m map<string,string>")
     right = spark.createDataFrame([(1, 2)], "k int, w int")
