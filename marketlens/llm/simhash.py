@@ -179,10 +179,11 @@ def near_edges(prints: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> D
 
 
 def grouped(prints: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> DataFrame:
-    """Add ``component_id``: the smallest key reachable by links of at most ``radius`` bits.
+    """Add ``component_id``, the smallest key reachable by links of at most ``radius`` bits, and ``component``.
 
     ``prints`` has the key and ``fingerprint``. Equal fingerprints are one node; a key that is
-    null counts in no minimum. Links are reduced to edges to each group's smallest member
+    null counts in no minimum. ``component``, the smallest fingerprint reached, names a group
+    also where keys are null or repeated. Links are reduced to edges to each group's smallest member
     inside the shards, so a group of copies never becomes its pairs.
     """
     nodes = stored(prints.groupBy("fingerprint").agg(F.min(key).alias("least")), "prints")
@@ -192,7 +193,7 @@ def grouped(prints: DataFrame, key: str = "doc_id", radius: int = RADIUS) -> Dat
     )
     own = stored(own, "nodes")
     smallest = own.groupBy("component").agg(F.min("least").alias("component_id"))
-    return prints.join(own.join(smallest, "component").select("fingerprint", "component_id"), "fingerprint")
+    return prints.join(own.join(smallest, "component").select("fingerprint", "component", "component_id"), "fingerprint")
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -204,7 +205,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     marked = docs.withColumn("__one", one).withColumn("__two", two)
     narrow = stored(fingerprints(marked.select(key, "__one", "__two", text), text), "simhash")
     groups = grouped(narrow, key)
-    first = groups.groupBy("component_id").agg(
+    first = groups.groupBy("component").agg(
         F.min(F.struct(F.col(key).isNull().alias("no"), F.col(key).alias("k"), "__one", "__two")).alias("f")
     )
     winners = first.select("f.__one", "f.__two")

@@ -129,6 +129,15 @@ def test_simhash(spark):
     assert one_of_each(docs).count() == grouped(fingerprints(docs)).select("component_id").distinct().count()
 
 
+def test_one_of_each_by_component(spark):
+    """Unrelated texts stay also where their ids are null or equal; copies under such ids still go."""
+    rng = random.Random(9)
+    words = [" ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(60)) for _ in range(5)]
+    docs = [(None, words[0]), (None, words[1]), (7, words[2]), (7, words[3]), (8, words[4]), (9, words[4]), (None, words[4]), (None, words[0])]
+    kept = one_of_each(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(kept, key=str) == sorted([(None, words[0]), (None, words[1]), (7, words[2]), (7, words[3]), (8, words[4])], key=str)
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(8)
     x = rng.standard_normal((60, 16))
