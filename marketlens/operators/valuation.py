@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.ids import rgb_hex
 from marketlens.functions.numbers import coins_of_name, stated_coins
-from marketlens.operators.series import dated_prices, with_price
+from marketlens.operators.series import centered_median, daily_prices, dated_prices, with_price
 from marketlens.operators.skew import hot_join
 from marketlens.rules import colors
 from marketlens.rules import items as item_rules
@@ -363,16 +363,26 @@ def prices_for(prices: DataFrame, asked: list[DataFrame]) -> DataFrame:
     return dated_prices(prices, wanted, "item")
 
 
+def observed_prices(sales: DataFrame) -> DataFrame:
+    """(tag, day, price): the smoothed price of each day with sales, what an enchantment is valued from."""
+    return centered_median(daily_prices(sales, "tag"), "tag").select("tag", "day", F.col("smoothed").alias("price"))
+
+
 def value_columns(
-    parts: DataFrame, enchants: DataFrame, reforges: DataFrame, ingredients: DataFrame, dated: DataFrame, keys: list[str], hot_rows: int = 1_000_000
+    properties: DataFrame, parts: DataFrame, enchants: DataFrame, reforges: DataFrame, ingredients: DataFrame, dated: DataFrame, keys: list[str], hot_rows: int = 1_000_000
 ) -> DataFrame:
     """Everything that adds to the value of an auction as (keys, column, worth) rows.
 
-    Attribute parts and ingredients have ``item`` and ``day``, reforges ``stone``,
-    ``apply_cost`` and ``day``, enchantments their ``worth``. All of them are priced
-    from one table of dated prices.
+    Every attribute of ``properties`` (keys, ``key``, ``value``) has a column, 0 where it
+    stands for no items. Attribute parts and ingredients have ``item`` and ``day``, reforges
+    ``stone``, ``apply_cost`` (at the default tier) and ``day``; they are priced from the table
+    of dated prices. Enchantments come with their ``worth``, see :func:`enchant_values`
+    with :func:`observed_prices`.
     """
-    attribute_rows = component_values(parts, dated, keys, hot_rows).select(*keys, F.concat_ws(":", "key", "value").alias("column"), "worth")
+    of = [*keys, "key", "value"]
+    nothing = properties.select(*of, F.lit(0).cast("bigint").alias("worth"))
+    attributes = component_values(parts, dated, keys, hot_rows).unionByName(nothing).groupBy(*of).agg(F.sum("worth").alias("worth"))
+    attribute_rows = attributes.select(*keys, F.concat_ws(":", "key", "value").alias("column"), "worth")
     enchant_rows = enchants.select(*keys, F.concat(F.lit("!ench"), "type", F.lit(":"), F.col("level").cast("string")).alias("column"), "worth")
     stones = with_price(reforges.withColumnRenamed("stone", "item"), dated, "item", hot_rows)
     reforge_rows = stones.select(*keys, F.col("reforge").alias("column"), (F.col("apply_cost") + F.col("price")).alias("worth"))

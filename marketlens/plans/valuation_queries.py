@@ -174,12 +174,12 @@ REFORGED = f"""(SELECT r.auction_id, r.line, r.reforge, r.tier, r.day, CASE WHEN
   LEFT JOIN {STONES} s ON s.reforge = r.reforge LEFT JOIN (VALUES {values(irules.REFORGE_COSTS)}) f(name, stone, cost) ON f.name = r.reforge)"""
 
 
-def reforged(spark, d):
+def reforged(spark, d, tier=None):
     rows = t.sales(spark, d).select(
         "auction_id",
         "line",
         t.pick(REFORGE_WORDS, F.col("item_id")).alias("reforge"),
-        t.pick(TIER_WORDS, F.col("seller_id")).alias("tier"),
+        (t.pick(TIER_WORDS, F.col("seller_id")) if tier is None else F.lit(tier)).alias("tier"),
         series.day_number(F.col("end")).alias("day"),
     )
     promo = t.items(spark, d).filter("category = 'PROMO'")
@@ -300,7 +300,8 @@ SELECT auction_id, line, type, level, trunc(CASE WHEN ex > 0 AND ex < 500000000
   WHEN l1 > 0 THEN l1 * pow(2, level - 1) ELSE -1 END)::BIGINT AS worth FROM j"""
 
 
-def enchant_worth(spark, d):
+def enchant_worth(spark, d, prices, days=1):
+    """Enchantments valued from ``prices``, whose days are spans of ``days`` days."""
     source = t.read(spark, d, "lineitem")
     supp, part = F.col("l_suppkey"), F.col("l_partkey")
     farmed = F.when(supp % 4 == 0, F.create_map(F.lit("farmed_cultivating"), part.cast("string"))).otherwise(F.create_map(F.lit("other"), F.lit("1")))
@@ -310,15 +311,22 @@ def enchant_worth(spark, d):
         t.pick(t.BOOK_TYPES, F.col("l_linenumber") - 1).alias("type"),
         F.ceil(F.col("l_quantity") / 5).cast("int").alias("level"),
         t.pick(ENCHANT_TAGS, part).alias("tag"),
-        F.floor(series.day_number(F.col("l_shipdate")) / 7).cast("int").alias("day"),
+        F.floor(series.day_number(F.col("l_shipdate")) / days).cast("int").alias("day"),
         F.when(supp % 2 == 0, farmed).alias("flat"),
     )
-    return v.enchant_values(rows, t.book_prices(spark, d))
+    return v.enchant_values(rows, prices)
+
+
+def market_sales(spark, d):
+    """Sales of enchanted books, one at a time, and of components."""
+    tag = F.concat(F.lit("ENCHANTMENT_"), F.upper("type"), F.lit("_"), F.col("level").cast("string"))
+    books = t.enchantments(spark, d).select(tag.alias("tag"), "highest_bid", F.lit(1).alias("count"), "end")
+    return books.unionByName(t.component_sales(spark, d))
 
 
 @query("enchant_value", ENCHANT_WORTH)
 def enchant_value(spark, d):
-    return enchant_worth(spark, d).select("auction_id", "line", "type", "level", "worth")
+    return enchant_worth(spark, d, t.book_prices(spark, d), 7).select("auction_id", "line", "type", "level", "worth")
 
 
 INGREDIENTS = f"""WITH r AS (SELECT l_orderkey AS auction_id, l_linenumber AS line, item, date_diff('day', TIMESTAMP '1970-01-01', l_shipdate)::INT AS day
@@ -352,7 +360,9 @@ UNION ALL SELECT auction_id, line, reforge, worth FROM ({REFORGE_WORTH})
 UNION ALL SELECT auction_id, line, item, price FROM ({INGREDIENTS})""",
 )
 def value_columns(spark, d):
-    parts, made_of, reforges = stored(property_parts(spark, d), "parts"), ingredients(spark, d), reforged(spark, d)
+    # The default tier, as no tier is handed on. The oracle SQL still has the former rules: see the README.
+    parts, made_of, reforges = stored(property_parts(spark, d), "parts"), ingredients(spark, d), reforged(spark, d, "LEGENDARY")
     asked = [parts, made_of, reforges.withColumnRenamed("stone", "item")]
     dated = stored(v.prices_for(component_prices(spark, d), asked), "prices")
-    return v.value_columns(parts, enchant_worth(spark, d), reforges, made_of, dated, ["auction_id", "line"])
+    enchants = enchant_worth(spark, d, stored(v.observed_prices(market_sales(spark, d)), "observed-prices"))
+    return v.value_columns(t.properties(spark, d), parts, enchants, reforges, made_of, dated, ["auction_id", "line"])

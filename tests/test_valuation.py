@@ -198,3 +198,48 @@ def test_reforge_stone_file(spark, tmp_path, rows_of):
         "C": {"reforgeName": "x", "internalName": "y", "reforgeCosts": {"RARE": 5}},
     }))
     assert rows_of(c.read_reforge_stones(spark, str(path))) == [("deep_fried", "RARE", 4, "B")]
+
+
+def test_value_columns_of_plain_attributes(spark, rows_of):
+    """An attribute without ingredients has a column of 0, also under a null key; one with ingredients keeps its worth."""
+    properties = spark.createDataFrame([(1, "hpc", "3"), (1, "skin", "X"), (None, "skin", "X")], "auction_id int, key string, value string")
+    parts = spark.createDataFrame([(1, "hpc", "3", "BOOK", 3, 5)], "auction_id int, key string, value string, item string, n long, day int")
+    dated = spark.createDataFrame([("BOOK", 5, 40)], "item string, day int, price long")
+    no_enchants = spark.createDataFrame([], "auction_id int, type string, level int, worth long")
+    no_reforges = spark.createDataFrame([], "auction_id int, reforge string, stone string, apply_cost long, day int")
+    no_ingredients = spark.createDataFrame([], "auction_id int, item string, day int")
+    found = v.value_columns(properties, parts, no_enchants, no_reforges, no_ingredients, dated, ["auction_id"], hot_rows=1)
+    assert rows_of(found) == [(1, "hpc:3", 120), (1, "skin:X", 0), (None, "skin:X", 0)]
+
+
+def test_value_columns_query(spark):
+    """Every attribute has its column, reforges cost the default tier, enchantments the day's smoothed price."""
+    from collections import defaultdict
+
+    from marketlens import tables as t
+    from marketlens.plans import valuation_queries as q
+
+    d = "/root/testdata/sf0.001"
+    found = defaultdict(list)  # an order may have a line number twice
+    for r in q.value_columns(spark, d).collect():
+        found[r.auction_id, r.line, r["column"]].append(r.worth)
+    attributes = t.properties(spark, d).collect()
+    assert all((r.auction_id, r.line, f"{r.key}:{r.value}") in found for r in attributes)
+    gilded = [w for (_, _, c), worths in found.items() if c == "Gilded" for w in worths]
+    at_legendary = v.reforge_costs(spark.createDataFrame([("Gilded", "LEGENDARY")], "reforge string, tier string")).first().apply_cost
+    assert gilded and min(gilded) > at_legendary // 2 and {w - at_legendary for w in gilded} == {1}
+    sums, books = defaultdict(list), t.enchantments(spark, d).selectExpr("*", "unix_date(to_date(`end`)) day").collect()
+    for r in books:
+        sums[r.type, r.level, r.day].append(r.highest_bid)
+    daily = {k: sum(x) // len(x) for k, x in sums.items()}
+
+    def price(type_, level, day):
+        around = sorted(daily[k] for e in range(-2, 3) if (k := (type_, level, day + e)) in daily)
+        return around[len(around) // 2]
+
+    checked = 0
+    for r in books:
+        if (r.type, 1, r.day) not in daily:
+            assert price(r.type, r.level, r.day) in found[r.auction_id, r.line, f"!ench{r.type}:{r.level}"]
+            checked += 1
+    assert checked > 100
