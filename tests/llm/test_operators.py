@@ -4,12 +4,13 @@ import random
 import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marketlens.llm.byte_bpe import RANKS, codec, merged, read_ranks, token_digests
 from marketlens.llm.embeddings import near_duplicates
 from marketlens.llm.mixing import mix
-from marketlens.llm.quality import judge, repeated_words
+from marketlens.llm.quality import LEAST, judge, measure, repeated_words, thresholds
 from marketlens.llm.sharding import shard_by_bytes
 from marketlens.llm.simhash import fingerprints, grouped, one_of_each, signed, simhash
 from marketlens.llm.substrings import remove_repeats
@@ -89,6 +90,18 @@ def test_quality(spark):
     assert found[0].n_words == 0 and found[0].base_failed and not found[0].kept
 
 
+def test_fences_by_group_size(spark):
+    """A source of LEAST documents has fences of its own, one with a document less takes its language's."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = lambda k, n: " ".join((letters[i] + letters[k % 26] + letters[k // 26] + "x" * n)[:n] for i in range(26))
+    docs = [(k, text(k, 3), "en", "a") for k in range(LEAST)] + [(500 + k, text(k, 9), "en", "b") for k in range(LEAST - 1)]
+    rows = measure(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"))
+    high = {r.source: r.word_length_high for r in thresholds(rows).collect()}
+    assert high["a"] < 5 and high["b"] > 30
+    everyone = thresholds(rows.withColumn("source", F.lit("all"))).first().word_length_high
+    assert high["b"] == everyone
+
+
 def test_repeats(spark):
     rng = random.Random(6)
     passage = [f"p{k}" for k in range(70)]
