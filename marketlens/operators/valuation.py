@@ -268,8 +268,9 @@ def component_values(parts: DataFrame, dated: DataFrame, keys: list[str], hot_ro
 def reforge_costs(rows: DataFrame, stones: DataFrame | None = None) -> DataFrame:
     """Add ``stone`` and ``apply_cost`` for rows with ``reforge`` and ``tier``.
 
-    A reforge of the stone table costs what the table says for the tier (0 if it
-    does not); any other has a fixed cost, doubled above LEGENDARY and halved below.
+    A reforge of the stone table costs what its stone (the last by ``item`` where there are
+    several) says for the tier, 0 if it does not; any other has a fixed cost, doubled
+    above LEGENDARY and halved below.
     """
     spark = rows.sparkSession
     flat = rule_table(spark, item_rules.REFORGE_COSTS, "reforge string, __stone string, __cost int")
@@ -279,11 +280,9 @@ def reforge_costs(rows: DataFrame, stones: DataFrame | None = None) -> DataFrame
     joined = rows.join(flat, ["reforge"], "left").withColumn("__cost", fixed)
     stone, cost = F.col("__stone"), F.col("__cost")
     if stones is not None:
-        # at most one row per reforge name, a fixed list
-        per_tier = stones.groupBy("reforge", "tier").agg(F.max("item").alias("item"), F.max_by("cost", "item").alias("cost"))
-        table = per_tier.groupBy("reforge").agg(
-            F.max("item").alias("__item"), F.map_from_entries(F.collect_list(F.struct("tier", "cost"))).alias("__by_tier")
-        )
+        # a stone has few tiers; the table has at most one row per reforge name, a fixed list
+        whole = stones.groupBy("reforge", "item", "tier").agg(F.max("cost").alias("cost")).groupBy("reforge", "item").agg(F.collect_list(F.struct("tier", "cost")).alias("costs"))
+        table = whole.groupBy("reforge").agg(F.max("item").alias("__item"), F.map_from_entries(F.max_by("costs", "item")).alias("__by_tier"))
         joined = joined.join(F.broadcast(table), ["reforge"], "left")
         listed = F.col("__item").isNotNull()
         stone = F.when(listed, F.col("__item")).otherwise(stone)

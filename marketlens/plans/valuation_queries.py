@@ -165,13 +165,44 @@ def exotic_color_class(spark, d):
 
 TIER_WORDS = ["EPIC", "LEGENDARY", "MYTHIC", "RARE"]
 REFORGE_WORDS = ["Gilded", "jaded", "None", "withered", "Fabled"]
-STONES = """(SELECT reforge, max(item) AS item, max(cost) AS cost FROM (SELECT 'STONE_' || p_type AS item, 'Fabled' AS reforge, 777 AS cost FROM part WHERE p_type = 'PROMO') GROUP BY reforge)"""
-REFORGED = f"""(SELECT r.auction_id, r.line, r.reforge, r.tier, r.day, CASE WHEN s.item IS NOT NULL THEN s.item ELSE coalesce(f.stone, '') END AS stone,
-  CASE WHEN s.item IS NOT NULL THEN CASE WHEN r.tier = 'EPIC' THEN s.cost ELSE 0 END WHEN f.cost IS NULL THEN 0 WHEN r.tier = 'MYTHIC' THEN f.cost * 2
+STONE_WORDS = ["jaded", "withered", "Fabled"]  # the others have a fixed cost or none
+# A reforge takes the stone last in order, with that stone's costs only.
+STONES = f"""(SELECT item, word AS reforge, tier, cost FROM (SELECT 'STONE_' || p_partkey AS item, [{words(REFORGE_WORDS)}][p_partkey % 5 + 1] AS word, p_size AS s FROM part),
+  LATERAL (VALUES ('EPIC', s * 10, s % 2 = 0), ('LEGENDARY', s * 20, s % 3 <> 1), ('MYTHIC', s * 30, true)) x(tier, cost, has) WHERE has AND word IN ({words(STONE_WORDS)}))"""
+
+
+def reforged_sql(tier: str) -> str:
+    return f"""(SELECT r.auction_id, r.line, r.reforge, r.tier, r.day, CASE WHEN s.item IS NOT NULL THEN s.item ELSE coalesce(f.stone, '') END AS stone,
+  CASE WHEN s.item IS NOT NULL THEN coalesce(k.cost, 0) WHEN f.cost IS NULL THEN 0 WHEN r.tier = 'MYTHIC' THEN f.cost * 2
   WHEN r.tier IN ('EPIC', 'RARE') THEN f.cost // 2 ELSE f.cost END::BIGINT AS apply_cost
-  FROM (SELECT l_orderkey AS auction_id, l_linenumber AS line, [{words(REFORGE_WORDS)}][l_partkey % 5 + 1] AS reforge, [{words(TIER_WORDS)}][l_suppkey % 4 + 1] AS tier,
+  FROM (SELECT l_orderkey AS auction_id, l_linenumber AS line, [{words(REFORGE_WORDS)}][l_partkey % 5 + 1] AS reforge, {tier} AS tier,
     date_diff('day', TIMESTAMP '1970-01-01', l_shipdate)::INT AS day FROM lineitem) r
-  LEFT JOIN {STONES} s ON s.reforge = r.reforge LEFT JOIN (VALUES {values(irules.REFORGE_COSTS)}) f(name, stone, cost) ON f.name = r.reforge)"""
+  LEFT JOIN (SELECT reforge, max(item) AS item FROM {STONES} GROUP BY reforge) s ON s.reforge = r.reforge
+  LEFT JOIN {STONES} k ON k.reforge = r.reforge AND k.item = s.item AND k.tier = r.tier
+  LEFT JOIN (VALUES {values(irules.REFORGE_COSTS)}) f(name, stone, cost) ON f.name = r.reforge)"""
+
+
+REFORGED = reforged_sql(f"[{words(TIER_WORDS)}][l_suppkey % 4 + 1]")
+
+
+def stones(spark, d):
+    """Stone documents of all parts, each with the tiers its size gives it."""
+    size = F.col("hit_count")
+    costs = F.map_from_entries(
+        F.filter(
+            F.array(
+                F.when(size % 2 == 0, F.struct(F.lit("EPIC").alias("k"), (size * 10).alias("v"))),
+                F.when(size % 3 != 1, F.struct(F.lit("Legendary").alias("k"), (size * 20).alias("v"))),
+                F.struct(F.lit("MYTHIC").alias("k"), (size * 30).alias("v")),
+            ),
+            lambda e: e.isNotNull(),
+        )
+    )
+    name = t.pick(REFORGE_WORDS, F.col("id"))
+    stone = F.struct(name.alias("reforgeName"), F.lit("no-such").alias("internalName"), costs.alias("reforgeCosts"))
+    key = F.concat(F.lit("STONE_"), F.col("id").cast("string"))
+    documents = t.items(spark, d).filter(name.isin(STONE_WORDS)).select(F.to_json(F.create_map(key, stone)).alias("document"))
+    return c.reforge_stones(documents, "document")
 
 
 def reforged(spark, d, tier=None):
@@ -182,9 +213,7 @@ def reforged(spark, d, tier=None):
         (t.pick(TIER_WORDS, F.col("seller_id")) if tier is None else F.lit(tier)).alias("tier"),
         series.day_number(F.col("end")).alias("day"),
     )
-    promo = t.items(spark, d).filter("category = 'PROMO'")
-    stones = promo.select(F.lit("Fabled").alias("reforge"), F.lit("EPIC").alias("tier"), F.lit(777).alias("cost"), F.concat(F.lit("STONE_"), "category").alias("item"))
-    return v.reforge_costs(rows, stones)
+    return v.reforge_costs(rows, stones(spark, d))
 
 
 @query("reforge_cost", f"SELECT auction_id, line, reforge, tier, stone, apply_cost FROM {REFORGED}")
@@ -283,13 +312,14 @@ def component_value(spark, d):
 
 
 ENCHANT_TAGS = ["FUNGI_CUTTER", "HOE", "AXE"]
-ENCHANTED = f"""(SELECT l_orderkey AS auction_id, l_linenumber AS line, [{words(t.BOOK_TYPES)}][(l_linenumber - 1) % 7 + 1] AS type, ceil(l_quantity / 5)::INT AS level,
-  [{words(ENCHANT_TAGS)}][l_partkey % 3 + 1] AS tag, date_diff('day', TIMESTAMP '1970-01-01', l_shipdate)::INT // 7 AS day,
-  CASE WHEN l_suppkey % 2 = 0 THEN CASE WHEN l_suppkey % 4 = 0 THEN l_partkey ELSE 0 END END AS farmed FROM lineitem)"""
-ENCHANT_WORTH = f"""WITH b AS (SELECT [{words(t.BOOK_TYPES)}][(l_linenumber - 1) % 7 + 1] AS type, ceil(l_quantity / 5)::INT AS level, date_diff('day', TIMESTAMP '1970-01-01', l_shipdate)::INT // 7 AS day,
-  trunc(avg(trunc(l_extendedprice)::BIGINT))::DOUBLE AS price FROM lineitem GROUP BY ALL),
-s AS (SELECT date_diff('day', TIMESTAMP '1970-01-01', l_shipdate)::INT // 7 AS day, trunc(avg(trunc(l_extendedprice)::BIGINT))::DOUBLE AS price FROM lineitem WHERE [{words(t.COMPONENT_TAGS)}][l_suppkey % {len(t.COMPONENT_TAGS)} + 1] = 'SIL_EX' GROUP BY ALL),
-j AS (SELECT e.*, x.price AS ex, f.price AS l1, g.price AS l5, six.price AS v6, coalesce(s.price, 8000000) AS sil FROM {ENCHANTED} e LEFT JOIN b x ON x.type = e.type AND x.level = e.level AND x.day = e.day
+
+
+def enchant_worth_sql(span: int, books: str, sil: str) -> str:
+    """Enchantments valued from ``books`` (type, level, day, price) and ``sil`` (day, price), whose days are spans of ``span`` days."""
+    return f"""WITH e AS (SELECT l_orderkey AS auction_id, l_linenumber AS line, [{words(t.BOOK_TYPES)}][(l_linenumber - 1) % 7 + 1] AS type, ceil(l_quantity / 5)::INT AS level,
+  [{words(ENCHANT_TAGS)}][l_partkey % 3 + 1] AS tag, date_diff('day', TIMESTAMP '1970-01-01', l_shipdate)::INT // {span} AS day,
+  CASE WHEN l_suppkey % 2 = 0 THEN CASE WHEN l_suppkey % 4 = 0 THEN l_partkey ELSE 0 END END AS farmed FROM lineitem), b AS ({books}), s AS ({sil}),
+j AS (SELECT e.*, x.price AS ex, f.price AS l1, g.price AS l5, six.price AS v6, coalesce(s.price, 8000000) AS sil FROM e LEFT JOIN b x ON x.type = e.type AND x.level = e.level AND x.day = e.day
   LEFT JOIN b f ON f.type = e.type AND f.level = 1 AND f.day = e.day LEFT JOIN b g ON g.type = e.type AND g.level = 5 AND g.day = e.day
   LEFT JOIN b six ON six.type = 'venomous' AND six.level = 6 AND six.day = e.day LEFT JOIN s ON s.day = e.day)
 SELECT auction_id, line, type, level, trunc(CASE WHEN ex > 0 AND ex < 500000000 AND (l1 IS NULL OR l1 <= ex) THEN ex
@@ -300,6 +330,31 @@ SELECT auction_id, line, type, level, trunc(CASE WHEN ex > 0 AND ex < 500000000
   WHEN l1 > 0 THEN l1 * pow(2, level - 1) ELSE -1 END)::BIGINT AS worth FROM j"""
 
 
+DAY = "date_diff('day', TIMESTAMP '1970-01-01', l_shipdate)::INT"
+BOOK = f"[{words(t.BOOK_TYPES)}][(l_linenumber - 1) % 7 + 1] AS type, ceil(l_quantity / 5)::INT AS level"
+IS_SIL = f"[{words(t.COMPONENT_TAGS)}][l_suppkey % {len(t.COMPONENT_TAGS)} + 1] = 'SIL_EX'"
+ENCHANT_WORTH = enchant_worth_sql(
+    7,
+    f"SELECT {BOOK}, {DAY} // 7 AS day, trunc(avg(trunc(l_extendedprice)::BIGINT))::DOUBLE AS price FROM lineitem GROUP BY ALL",
+    f"SELECT {DAY} // 7 AS day, trunc(avg(trunc(l_extendedprice)::BIGINT))::DOUBLE AS price FROM lineitem WHERE {IS_SIL} GROUP BY ALL",
+)
+
+
+def smoothed_sql(daily: str, keys: list[str]) -> str:
+    """Each observed day's upper median over the days present from two before to two after, at least 1."""
+    of, same = "".join(f"a.{k}, " for k in keys), "".join(f"a.{k} = n.{k} AND " for k in keys)
+    return f"""SELECT {of}a.day, greatest(1, list_sort(list(n.price))[len(list(n.price)) // 2 + 1])::DOUBLE AS price
+  FROM ({daily}) a JOIN ({daily}) n ON {same}n.day BETWEEN a.day - 2 AND a.day + 2 GROUP BY {of}a.day"""
+
+
+# As ``value_columns`` takes them: whole-coin unit prices per day, smoothed, of observed days only.
+DAILY_ENCHANT_WORTH = enchant_worth_sql(
+    1,
+    smoothed_sql(f"SELECT {BOOK}, {DAY} AS day, trunc(avg(trunc(l_extendedprice)::BIGINT))::BIGINT AS price FROM lineitem GROUP BY ALL", ["type", "level"]),
+    smoothed_sql(f"SELECT {DAY} AS day, trunc(avg(trunc(l_extendedprice)::BIGINT // nullif(trunc(l_quantity)::BIGINT, 0)))::BIGINT AS price FROM lineitem WHERE {IS_SIL} GROUP BY ALL", []),
+)
+
+
 def enchant_worth(spark, d, prices, days=1):
     """Enchantments valued from ``prices``, whose days are spans of ``days`` days."""
     source = t.read(spark, d, "lineitem")
@@ -348,19 +403,25 @@ def ingredient_price(spark, d):
     return priced.select("auction_id", "line", "item", "price")
 
 
-REFORGE_WORTH = f"""WITH r AS (SELECT * FROM {REFORGED}), {dated(COMPONENT_PRICES, "SELECT stone AS item, day FROM r", "item")}
-SELECT auction_id, line, reforge, apply_cost + price AS worth FROM r JOIN dated ON item = stone AND dated.day = r.day"""
+REFORGE_WORTH = f"""WITH r AS (SELECT * FROM {reforged_sql("'LEGENDARY'")}), {dated(COMPONENT_PRICES, "SELECT stone AS item, day FROM r", "item")}
+SELECT auction_id, line, reforge, apply_cost + coalesce(price, 1) AS worth FROM r LEFT JOIN dated ON item = stone AND dated.day = r.day"""
+# Every attribute there is, with the kind and value its line gives it.
+ATTRIBUTES = f"""SELECT auction_id, line, CASE line WHEN 1 THEN 'hpc:' || (q % 15 + 1) WHEN 2 THEN 'upgrade_level:' || tenth
+  WHEN 3 THEN CASE supp % 2 WHEN 0 THEN 'RUNE_ZAP:' ELSE 'RUNE_SPELLBOUND:' END || (q % 3 + 1) WHEN 4 THEN 'ability_scroll:' || CASE q % 2 WHEN 0 THEN 'WITHER 12,IMPLODE' ELSE 'IMPLODE' END
+  WHEN 5 THEN 'talisman_enrichment:' || CASE q % 2 WHEN 0 THEN 'yes' ELSE 'speed' END WHEN 6 THEN 'hotpc:' || ['0', '0.1', '1'][q % 3 + 1]
+  ELSE CASE supp % 3 WHEN 0 THEN 'farming_for_dummies_count:' || q WHEN 1 THEN 'COMBAT_0:FINE' ELSE 'unlocked_slots:JADE_0,RUBY_1' END END AS "column" FROM {PROPS}"""
 
 
 @query(
     "value_columns",
-    f"""SELECT auction_id, line, key || ':' || value AS "column", worth FROM ({COMPONENT})
-UNION ALL SELECT auction_id, line, '!ench' || type || ':' || level, worth FROM ({ENCHANT_WORTH})
+    f"""SELECT auction_id, line, "column", sum(worth)::BIGINT AS worth FROM (SELECT auction_id, line, key || ':' || value AS "column", worth FROM ({COMPONENT})
+  UNION ALL SELECT auction_id, line, "column", 0 FROM ({ATTRIBUTES})) GROUP BY ALL
+UNION ALL SELECT auction_id, line, '!ench' || type || ':' || level, worth FROM ({DAILY_ENCHANT_WORTH})
 UNION ALL SELECT auction_id, line, reforge, worth FROM ({REFORGE_WORTH})
 UNION ALL SELECT auction_id, line, item, price FROM ({INGREDIENTS})""",
 )
 def value_columns(spark, d):
-    # The default tier, as no tier is handed on. The oracle SQL still has the former rules: see the README.
+    # The default tier, as no tier is handed on.
     parts, made_of, reforges = stored(property_parts(spark, d), "parts"), ingredients(spark, d), reforged(spark, d, "LEGENDARY")
     asked = [parts, made_of, reforges.withColumnRenamed("stone", "item")]
     dated = stored(v.prices_for(component_prices(spark, d), asked), "prices")

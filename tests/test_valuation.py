@@ -136,6 +136,15 @@ def test_reforge_costs(spark, rows_of):
     ]
 
 
+def test_reforge_takes_one_stone_whole(spark, rows_of):
+    """Of several stones the last counts, with its own tiers only; a tier named twice costs the more."""
+    rows = spark.createDataFrame([("toil", t) for t in ("EPIC", "RARE", "MYTHIC")], "reforge string, tier string")
+    stones = spark.createDataFrame(
+        [("toil", "EPIC", 5, "A"), ("toil", "RARE", 6, "A"), ("toil", "RARE", 7, "B"), ("toil", "RARE", 9, "B"), ("other", "MYTHIC", 1, "C")], "reforge string, tier string, cost int, item string"
+    )
+    assert rows_of(v.reforge_costs(rows, stones), "tier", "stone", "apply_cost") == [("EPIC", "B", 0), ("MYTHIC", "B", 0), ("RARE", "B", 9)]
+
+
 @pytest.mark.parametrize(
     "type_, level, tag, flat, worth",
     [
