@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["mixing", "quality", "sharding", "byte_bpe", "token_counts", "simhash", "toxicity", "embeddings", "substrings", "lines", "chat", "conversations"]
+MODULES = ["mixing", "quality", "sharding", "byte_bpe", "token_counts", "simhash", "toxicity", "embeddings", "substrings", "lines", "chat", "conversations", "alignment"]
 
 
 def load():
