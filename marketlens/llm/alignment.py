@@ -17,6 +17,7 @@ import json
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -35,7 +36,7 @@ VOCABULARY = 1 << 16
 HELD_PAIRS = 1 << 21  # distinct pairs a task counts before it lets them go: 32 MB
 SHARD_PAIRS = 1 << 19  # pairs of one perfect hash: 6 MB with keys and counts
 TREE_PARTS = 8  # dense vectors of one shard that are summed apart first
-TASK_BYTES = 64 << 20  # links that one look-up task reads
+TASK_BYTES = 32 << 20  # links that one look-up task reads, at 4 bytes each after packing
 BATCH_CHARS = 1 << 20  # text aligned at once
 LONG_TEXT = 100_000  # longer texts go to the tokenizers library, whose pattern needs no stack
 
@@ -54,6 +55,7 @@ class Aligner:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         import tiktoken
+        from sentencepiece import sentencepiece_model_pb2
         from tokenizers import Tokenizer
 
         self.long = Tokenizer.from_file(path_a)
@@ -75,43 +77,62 @@ class Aligner:
         if max(len(self.bytes_a), len(self.bytes_b)) > VOCABULARY:
             raise ValueError("a pair of ids must fit 32 bits")
         self.lengths_a, self.lengths_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
+        # Without a normalizer, pieces laid end to end are the text with U+2581 for blanks, so their bytes differ
+        # from the text's only where the text holds U+2581 itself, and then in length too.
+        spec = sentencepiece_model_pb2.ModelProto.FromString(self.pieces.serialized_model_proto()).normalizer_spec
+        self.plain = spec.name == "identity" and not spec.precompiled_charsmap and not spec.remove_extra_whitespaces
         # How a token is written in a list of groups: as the last of its side or not, A before B.
-        self.written = [f"{i}{end}" for n, last in ((len(self.bytes_a), "|"), (len(self.bytes_b), ";")) for i in range(n) for end in (",", last)]
+        written = [f"{i}{end}".encode() for n, last in ((len(self.bytes_a), "|"), (len(self.bytes_b), ";")) for i in range(n) for end in (",", last)]
+        self.written = np.array(written, "S6").view(np.uint8).reshape(-1, 6)
+        self.sizes = np.array([len(w) for w in written], np.int64)
 
     def piece_bytes(self, i: int) -> bytes:
         piece = self.pieces.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.pieces.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def tokens(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
+    def tokens(self, texts: list[str | None]) -> tuple[Flat, Flat]:
         """Ids of both sides, none where a text is null or empty or a side's bytes are not space and text."""
-        ids_b = self.pieces.encode([t or "" for t in texts], num_threads=1)
-        ids_a = []
-        for k, text in enumerate(texts):
-            spaced = " " + (text or "")
-            own = self.long.encode(spaced, add_special_tokens=False).ids if len(spaced) > LONG_TEXT else self.short.encode_ordinary(spaced)
-            raw = spaced.encode()
-            whole = all(b"".join(map(of.__getitem__, ids)) == raw for of, ids in ((self.bytes_a, own), (self.bytes_b, ids_b[k])))
-            if not (text and whole):
-                own, ids_b[k] = [], []
-            ids_a.append(own)
-        return ids_a, ids_b
+        spaced = [" " + t if t else "" for t in texts]
+        ids_a = [self.long.encode(t, add_special_tokens=False).ids if len(t) > LONG_TEXT else self.short.encode_ordinary(t) for t in spaced]
+        ids_b = self.pieces.encode([t[1:] for t in spaced], num_threads=1)  # the library adds the space
+        raw = np.array([len(t.encode()) for t in spaced], np.int64)
+        a, b = Flat(ids_a, self.lengths_a), Flat(ids_b, self.lengths_b)
+        strange = (a.bytes != raw) | (b.bytes != raw)
+        if not self.plain:
+            strange |= np.array([b"".join(map(self.bytes_b.__getitem__, ids)) != t.encode() for ids, t in zip(ids_b, spaced, strict=True)], bool)
+        if strange.any():
+            for k in np.flatnonzero(strange).tolist():
+                ids_a[k], ids_b[k] = [], []
+            a, b = Flat(ids_a, self.lengths_a), Flat(ids_b, self.lengths_b)
+        return a, b
 
     def aligned(self, texts: list[str | None]) -> Aligned:
         return Aligned(self, *self.tokens(texts))
 
 
+class Flat:
+    """The tokens of a batch of texts end to end: ids, where each ends in bytes, tokens and bytes of each text."""
+
+    def __init__(self, ids: list[list[int]], lengths: np.ndarray):
+        self.n = np.array([len(x) for x in ids], np.int64)
+        self.ids = np.fromiter(chain.from_iterable(ids), np.int64, int(self.n.sum()))
+        self.ends = np.cumsum(lengths[self.ids])
+        until = np.concatenate([[0], self.ends])[np.concatenate([[0], np.cumsum(self.n)])]
+        self.bytes = np.diff(until)
+
+
 class Aligned:
     """The alignment of a batch of texts, laid end to end."""
 
-    def __init__(self, of: Aligner, ids_a: list[list[int]], ids_b: list[list[int]]):
-        self.of, self.n = of, len(ids_a)
-        self.n_a, self.n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        self.a, self.b = (np.fromiter((i for x in ids for i in x), np.int64, int(n.sum())) for ids, n in ((ids_a, self.n_a), (ids_b, self.n_b)))
-        ends_a, ends_b = np.cumsum(of.lengths_a[self.a]), np.cumsum(of.lengths_b[self.b])
-        ends = np.union1d(ends_a, ends_b)
+    def __init__(self, of: Aligner, a: Flat, b: Flat):
+        self.of, self.n, self.n_a, self.n_b, self.a, self.b = of, len(a.n), a.n, b.n, a.ids, b.ids
+        in_a, in_b = (np.zeros(int(x.bytes.sum()) + 1, bool) for x in (a, b))
+        in_a[a.ends] = in_b[b.ends] = True
         # Each stretch between neighbouring ends lies in one token of either side: one link.
-        self.link_a, self.link_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
-        self.closes = (ends_a[self.link_a] == ends) & (ends_b[self.link_b] == ends)
+        ends = np.flatnonzero(in_a | in_b)
+        end_a, end_b = in_a[ends], in_b[ends]
+        self.link_a, self.link_b = np.cumsum(end_a) - end_a, np.cumsum(end_b) - end_b
+        self.closes = end_a & end_b
         self.doc = np.repeat(np.arange(self.n), self.n_a)[self.link_a]
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -124,7 +145,7 @@ class Aligned:
         """Per document the numbers of A tokens, B tokens, groups and links."""
         return [self.n_a, self.n_b, np.bincount(self.doc[self.closes], minlength=self.n), np.bincount(self.doc, minlength=self.n)]
 
-    def groups(self) -> list[str]:
+    def groups(self) -> list[bytes]:
         """Per document its groups as ``a1,a2|b1;a3|b2,b3``; empty without tokens."""
         last_a, last_b = self.link_a[self.closes], self.link_b[self.closes]
         end_a, end_b = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
@@ -134,11 +155,10 @@ class Aligned:
         line = np.empty(len(self.a) + len(self.b), np.int64)
         line[np.arange(len(self.a)) + b_before[group_a]] = self.a * 2 + end_a
         line[np.arange(len(self.b)) + a_until[group_b]] = (self.b + len(self.of.bytes_a)) * 2 + end_b
-        out, at, line = [], 0, line.tolist()
-        for n in (self.n_a + self.n_b).tolist():
-            out.append("".join(map(self.of.written.__getitem__, line[at : at + n]))[:-1])
-            at += n
-        return out
+        sizes = self.of.sizes[line]
+        text = self.of.written[line][np.arange(6) < sizes[:, None]].tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(self.n_a + self.n_b)].tolist()
+        return [text[start : max(start, end - 1)] for start, end in zip([0, *ends], ends)]  # without the last mark
 
 
 @lru_cache(maxsize=2)
@@ -357,7 +377,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
     for r in highest:
         best[r.a] = r.most
     best_of = spark.sparkContext.broadcast(best)
-    parts = max(1, -(-entries * 8 // (shards * TASK_BYTES)))
+    parts = max(1, -(-entries * 4 // (shards * TASK_BYTES)))
     schema = _messages(key_type)
     kinds = to_arrow_schema(schema)
 
@@ -372,7 +392,9 @@ def align(docs: DataFrame, path_a: str, path_b: str, key: str = "doc_id", text:
             found = own.aligned(texts)
             groups = found.groups()
             if digest:
-                groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
+                groups = [hashlib.sha256(g).hexdigest() if g else "" for g in groups]
+            else:
+                groups = [g.decode() for g in groups]
             facts = dict(zip(FACTS, found.facts(), strict=True))
             yield message(shard=[batch % shards] * n, part=[batch % parts] * n, tag=[FACT] * n, batch=[batch] * n, doc=list(range(n)), key=keys, groups=groups, **facts)
             pair, doc, times = found.pairs()
