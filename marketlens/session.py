@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE_ROOT = str(Path(__file__).resolve().parent.parent)
+
 # Runtime SQL settings every job relies on. Skewed join partitions are split
 # even where that costs one more exchange, and all wall-clock logic is UTC.
 RUNTIME_CONF = {
@@ -19,6 +23,11 @@ RUNTIME_CONF = {
 
 
 def configure(spark: SparkSession) -> SparkSession:
+    # Workers import functions by module name: tell them where this package stands. On a cluster it must
+    # be installed there, at the same path, or shipped with --py-files (see the README).
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if PACKAGE_ROOT not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([PACKAGE_ROOT, *filter(None, paths)])
     for key, value in RUNTIME_CONF.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)

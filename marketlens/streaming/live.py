@@ -117,6 +117,10 @@ def hour_partials(sales: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+#: How two partials of the same key and hour become one.
+MERGES = {"total": F.sum, "n": F.sum, "max": F.max, "min": F.min, "volume": F.sum}
+
+
 def hours_writer(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
     """Batch writer for the hourly table: every batch stores its partials under its number."""
     store = batch_folder(path)
@@ -134,6 +138,64 @@ def merged_hours(partials: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def _children(spark: SparkSession, folder: str) -> list[str]:
+    """Names in a folder of the shared file system, none if it is not there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _versions(spark: SparkSession, path: str, hour: str) -> list[int]:
+    """The batches that left a version of an hour, oldest first."""
+    return sorted(int(name.split("=")[1]) for name in _children(spark, f"{path}/hour={hour}") if name.startswith("upto="))
+
+
+def hours_upserter(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """Batch writer that keeps the hourly table up to date at the cost of the hours a batch touches.
+
+    An hour's mergeable sums stand in ``path/hour=H/upto=N``, N the last batch that touched it. Batch N
+    reads the version before N of its own hours only, adds its rows and overwrites version N,
+    so a replay gives the same files. Versions before that one are of no use any more and
+    go: the batch that could ask for them has been committed.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        own_path = f"{path}-incoming/batch_id={number}"
+        sums = hour_partials(batch.filter("highest_bid > 1"), keys).withColumn("hour", F.date_format("date", "yyyyMMddHH"))
+        sums.write.mode("overwrite").parquet(own_path)
+        own = spark.read.schema(sums.schema).parquet(own_path)
+        touched = [row.hour for row in own.select("hour").distinct().collect()]  # the calendar bounds them
+        versions = {hour: _versions(spark, path, hour) for hour in touched}
+        before = {hour: max((v for v in held if v < number), default=None) for hour, held in versions.items()}
+        folders = [f"{path}/hour={hour}/upto={v}" for hour, v in before.items() if v is not None]
+        both = own
+        if folders:
+            schema = sums.drop("hour").schema.add("hour", "string").add("upto", "integer")
+            both = own.unionByName(spark.read.schema(schema).option("basePath", path).parquet(*folders).drop("upto"))
+        merged = both.groupBy(*keys, "date", "hour").agg(*[fold(c).alias(c) for c, fold in MERGES.items()]).withColumn("upto", F.lit(number))
+        merged.repartition("hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "upto").parquet(path)
+        for hour, held in versions.items():
+            for v in held:
+                if before[hour] is not None and v < before[hour]:
+                    _delete(spark, f"{path}/hour={hour}/upto={v}")
+        _delete(spark, f"{path}-incoming/batch_id={number - 1}")
+
+    return write
+
+
+def hours_table(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """The hourly table: the newest version of every hour."""
+    held = spark.read.option("basePath", path).parquet(path)
+    newest = held.groupBy("hour").agg(F.max("upto").alias("upto"))  # folder names only, as many as there are hours
+    return merged_hours(held.join(newest, ["hour", "upto"]), keys)
+
+
 # Late points ---------------------------------------------------------------------
 
 
