@@ -173,6 +173,30 @@ def order_changes(orders: DataFrame, keys: list[str], order: str, block: Column)
     return seen.filter(~F.col("__before").eqNullSafe(state)).withColumn("is_first", F.col("__before").isNull()).drop("__before")
 
 
+def book_changes(books: DataFrame, keys: list[str], order: str, block: Column) -> DataFrame:
+    """What changed in each book since the pull before it, as rows (keys, order, change, amount, price_per_unit, orders, copies).
+
+    ``books`` has ``book``, an array of orders. Two orders are the same if amount, price and
+    orders are; their place does not count, repeated ones count by number. ``change`` is ``added`` or
+    ``gone``; a key's first pull adds everything. Equal books give no row. A book meets only the
+    one before it, carried by :func:`earlier_rows`, so no key is sorted as a whole.
+    """
+    seen = earlier_rows(books, keys, [order], block, {"__before": ("previous", F.col("book"))})
+    none = F.slice(F.col("book"), 1, 0)
+    sides = F.array(
+        F.struct(F.lit("added").alias("change"), F.col("book").alias("mine"), F.coalesce("__before", none).alias("other")),
+        F.struct(F.lit("gone").alias("change"), F.coalesce("__before", none).alias("mine"), F.col("book").alias("other")),
+    )
+    changed = seen.filter(~F.col("__before").eqNullSafe(F.col("book"))).select(*keys, order, F.explode(sides).alias("s"))
+
+    def copies(of: Column, order_: Column) -> Column:
+        return F.size(F.filter(of, lambda o: o == order_))
+
+    more = F.transform(F.array_distinct("s.mine"), lambda o: F.struct(o.alias("o"), (copies(F.col("s.mine"), o) - copies(F.col("s.other"), o)).alias("copies")))
+    rows = changed.select(*keys, order, "s.change", F.explode(F.filter(more, lambda m: m["copies"] > 0)).alias("m"))
+    return rows.select(*keys, order, "change", "m.o.*", "m.copies")
+
+
 def color_consensus(sightings: DataFrame, key: str, order: str, block: Column) -> DataFrame:
     """The first colour of each key that repeats its predecessor after three earlier sightings."""
     seen = earlier_rows(

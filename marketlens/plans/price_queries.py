@@ -8,6 +8,7 @@ from marketlens import tables as t
 from marketlens.operators import rollup as r
 from marketlens.operators import series as s
 from marketlens.plans.registry import query
+from marketlens.sources.scans import book_rows, order_rows, pulls_with_books
 
 # The market roles in the oracle's own words.
 SALES = """(SELECT l_orderkey AS auction_id, l_linenumber AS line, l_partkey AS item_id, l_suppkey AS seller_id,
@@ -328,6 +329,31 @@ def order_book_delta(spark, d):
     return s.order_changes(book, ["product_id", "level"], "event_id", event_block())
 
 
+BOOK_PRODUCTS = ["IRON", "GOLD", "COAL"]
+BOOKS = f"""(SELECT event_id, n, ['{"', '".join(BOOK_PRODUCTS)}'][n + 1] AS product_id, side, i, ((k + i * 7 + o) % 5 + 1)::INT AS amount, (user_id + i * o) % 4 + 0.5::DOUBLE AS price_per_unit, ((k + i) % 3 + 1)::SMALLINT AS orders
+  FROM (SELECT event_id, k, user_id, n, side, CASE side WHEN 'buy_summary' THEN n ELSE n + 1 END AS o FROM {FEED}, range(0, {len(BOOK_PRODUCTS)}) x(n), (VALUES ('buy_summary'), ('sell_summary')) y(side)), range(0, 4) r(i)
+  WHERE i < (k + o) % 5 AND NOT (side = 'buy_summary' AND k % 7 = n))"""
+
+
+@query("order_book_rows", f"SELECT event_id, product_id, side, i::INT AS level, amount, price_per_unit, orders FROM {BOOKS}")
+def order_book_rows(spark, d):
+    return order_rows(pulls_with_books(t.feed(spark, d), BOOK_PRODUCTS)).drop("ts")
+
+
+@query(
+    "order_book_changes",
+    f"""WITH p AS (SELECT event_id, lag(event_id) OVER (ORDER BY event_id) AS before FROM events),
+c AS (SELECT event_id, product_id, side, amount, price_per_unit, orders, count(*) AS n FROM {BOOKS} GROUP BY ALL),
+d AS (SELECT event_id, product_id, side, amount, price_per_unit, orders, n, 0 AS m FROM c
+  UNION ALL SELECT p.event_id, product_id, side, amount, price_per_unit, orders, 0, n FROM c JOIN p ON p.before = c.event_id),
+s AS (SELECT event_id, product_id, side, amount, price_per_unit, orders, sum(n) - sum(m) AS diff FROM d GROUP BY ALL)
+SELECT event_id, product_id, side, CASE WHEN diff > 0 THEN 'added' ELSE 'gone' END AS change, amount, price_per_unit, orders, abs(diff)::INT AS copies FROM s WHERE diff <> 0""",
+)
+def order_book_changes(spark, d):
+    books = book_rows(pulls_with_books(t.feed(spark, d), BOOK_PRODUCTS)).drop("ts")
+    return s.book_changes(books, ["product_id", "side"], "event_id", event_block())
+
+
 @query(
     "color_consensus",
     f"""WITH c AS (SELECT event_id, user_id, (k // 25)::VARCHAR || ':0:0' AS color FROM {FEED}),
