@@ -1,20 +1,21 @@
 """Name search. Many search terms are answered in one job by equi-joins on name prefixes.
 
-A name is laid out only to the prefix lengths the terms use, and each prefix keeps its
-best rows before it meets the terms, so a one-letter term does not drag whole tables along.
+An index holds every prefix of a name or tag with its best rows, so a one-letter term does not drag
+whole tables along; it is built once, written in order of prefix, and serves any number of searches.
 Text is compared without regard to case; wildcards in a search text have no special meaning.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.names import clean_item_name, tag_to_name
 from marketlens.operators.listings import top_per
 from marketlens.rules.items import HIDDEN_NAMES
+from marketlens.session import stored
 
 # Lead of an exact hit, length of result lists, the neutral name and its score.
 EXACT = 10_000_000
@@ -36,27 +37,40 @@ def best_item_name(names: DataFrame) -> DataFrame:
     return names.groupBy("item_id").agg(best).select("item_id", "b.name", "b.score")
 
 
-def prefixes(rows: DataFrame, text: Column, lengths: Column) -> DataFrame:
-    """Rows with one ``prefix`` per wanted length their text is long enough for."""
-    size = rows.withColumn("__lengths", lengths).withColumn("__n", F.explode("__lengths"))
-    fitting = size.filter(F.col("__n") <= F.length(text))
-    return fitting.withColumn("prefix", F.lower(F.left(text, F.col("__n")))).drop("__lengths", "__n")
+def _best_candidates(hits: DataFrame, keys: list[str], exact: Column, base: list[Column], n: int) -> DataFrame:
+    """The best rows per prefix, exact ones and others apart, before the terms are joined."""
+    return top_per(hits.withColumn("__exact", exact), [*keys, "__exact"], base, n).drop("position", "__exact")
 
 
-def lengths_of(patterns: DataFrame) -> Column:
-    """The distinct prefix lengths in use (at most the length of a name) as one array."""
-    return patterns.agg(F.collect_set(F.length("prefix"))).scalar()
+#: A uuid is found by its start up to this length: 16 digits of a number and the version.
+UUID_DIGITS = 17
 
 
-def _best_candidates(hits: DataFrame, keys: list[str], exact: Column, base: list[Column], n: int) -> DataFrame:
-    """The best rows per prefix, exact ones and others apart, before the terms are joined."""
-    return top_per(hits.withColumn("__exact", exact), [*keys, "__exact"], base, n).drop("position", "__exact")
+def _stored_index(hits: DataFrame, exact: Column, base: list[Column], n: int, name: str) -> DataFrame:
+    """The best rows of every (source, prefix), written in order of prefix, so that few prefixes read few row groups."""
+    best = _best_candidates(hits, ["source", "prefix"], exact, base, n)
+    return stored(best.repartitionByRange("prefix", "source").sortWithinPartitions("prefix", "source"), name)
 
 
-def player_search(terms: DataFrame, players: DataFrame, n: int = SEARCH_RESULTS) -> DataFrame:
+def player_index(players: DataFrame, n: int = SEARCH_RESULTS) -> DataFrame:
+    """Built once for many searches: (source, prefix, uuid, name, hit_count), the best ``n`` per prefix and exact hits apart."""
+    rows = players.select("uuid", "name", "hit_count")
+    digits = F.least(F.length("uuid"), F.lit(UUID_DIGITS))
+    entries = F.concat(
+        F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: F.struct(F.lit("name").alias("source"), F.lower(F.left("name", i)).alias("prefix"))),
+        F.array(F.struct(F.lit("uuid").alias("source"), F.lower("uuid").alias("prefix"))),
+        F.transform(F.sequence(F.lit(1), F.greatest(digits, F.lit(1))), lambda i: F.struct(F.lit("uuid start").alias("source"), F.lower(F.left("uuid", i)).alias("prefix"))),
+    )
+    named = rows.withColumn("name", F.coalesce("name", F.lit(""))).withColumn("__e", F.explode(entries)).select("uuid", "name", "hit_count", "__e.*")
+    exact = (F.lower("name") == F.col("prefix")) | (F.lower("uuid") == F.col("prefix"))
+    base = [F.asc(F.length("name") - F.col("hit_count")), F.asc("name"), F.asc("uuid")]
+    return _stored_index(named.filter("prefix <> ''"), exact, base, n, "player-index")
+
+
+def search_players(terms: DataFrame, index: DataFrame, n: int = SEARCH_RESULTS) -> DataFrame:
     """Top ``n`` players per term by name prefix; long terms are also taken as a uuid or its number.
 
-    Terms with a space find nothing.
+    Terms with a space find nothing. ``index`` is :func:`player_index` of at least ``n`` rows a prefix.
     """
     asked = terms.select("term").filter((F.col("term") != "") & ~F.col("term").contains(" ")).distinct()
     size = F.length("term")
@@ -64,31 +78,23 @@ def player_search(terms: DataFrame, players: DataFrame, n: int = SEARCH_RESULTS)
     digits = F.lower(F.hex(number))
     versioned = F.concat(F.left(digits, F.lit(12)), F.lit("4"), F.substr(digits, F.lit(13)))
     uuid_start = F.when(number.between(0, PLAIN_NUMBERS - 1), digits).otherwise(versioned)
-    by_name = asked.filter(number.isNull()).select("term", F.lit("name").alias("source"), F.lower("term").alias("prefix"))
-    by_uuid = asked.filter(number.isNull() & (size > LONG_SEARCH)).select(
-        "term", F.lit("uuid").alias("source"), F.lower("term").alias("prefix")
-    )
-    by_number = asked.filter(number.isNotNull()).select("term", F.lit("uuid start").alias("source"), uuid_start.alias("prefix"))
-    patterns = by_name.unionByName(by_uuid).unionByName(by_number)
 
-    rows = players.select("uuid", "name", "hit_count")
-    name_hits = prefixes(rows, F.col("name"), lengths_of(by_name)).withColumn("source", F.lit("name"))
-    uuid_hits = rows.withColumn("prefix", F.lower("uuid")).withColumn("source", F.lit("uuid"))
-    start_hits = prefixes(rows, F.col("uuid"), lengths_of(by_number)).withColumn("source", F.lit("uuid start"))
-    hits = reduce(DataFrame.unionByName, [name_hits, uuid_hits, start_hits])
-    hits = hits.join(patterns.select("source", "prefix").distinct(), ["source", "prefix"], "left_semi")
-    exact = (F.lower("name") == F.col("prefix")) | (F.lower("uuid") == F.col("prefix"))
-    base = [F.asc(F.length("name") - F.col("hit_count")), F.asc("name"), F.asc("uuid")]
-    found = _best_candidates(hits, ["source", "prefix"], exact, base, n).join(patterns, ["source", "prefix"])
-    found = found.select("term", "uuid", "name", "hit_count").distinct()
+    def way(source: str, taken: Column, prefix: Column) -> Column:
+        return F.when(taken, F.struct(F.lit(source).alias("source"), prefix.alias("prefix")))
+
+    ways = F.array(
+        way("name", number.isNull(), F.lower("term")), way("uuid", number.isNull() & (size > LONG_SEARCH), F.lower("term")), way("uuid start", number.isNotNull(), uuid_start)
+    )
+    patterns = asked.select("term", F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w")).select("term", "w.*")
+    found = index.join(patterns, ["source", "prefix"]).select("term", "uuid", "name", "hit_count").distinct()
     is_term = (F.lower("name") == F.lower("term")) | (F.lower("uuid") == F.lower("term"))
     score = F.length("name") - F.col("hit_count") - F.when(is_term, F.lit(EXACT)).otherwise(F.lit(0))
     return top_per(found.withColumn("score", score), ["term"], [F.asc("score"), F.asc("name"), F.asc("uuid")], n)
 
 
-def direct_hit(players: DataFrame, name: str) -> DataFrame:
-    """The player of exactly that name, ahead of all others."""
-    return players.filter(F.col("name") == name).select("name", "uuid", (F.col("hit_count") + EXACT).alias("hit_count"))
+def player_search(terms: DataFrame, players: DataFrame, n: int = SEARCH_RESULTS) -> DataFrame:
+    """:func:`search_players` over an index built for these terms alone."""
+    return search_players(terms, player_index(players, n), n)
 
 
 def direct_hits(terms: DataFrame, players: DataFrame) -> DataFrame:
@@ -96,49 +102,67 @@ def direct_hits(terms: DataFrame, players: DataFrame) -> DataFrame:
     return terms.select("term").distinct().join(named, ["term"])
 
 
-def item_search(terms: DataFrame, items: DataFrame, names: DataFrame, n: int = SEARCH_RESULTS) -> DataFrame:
+class ItemIndex(NamedTuple):
+    """What item searches look up: the best rows per prefix, the items and their names."""
+
+    prefixes: DataFrame
+    items: DataFrame
+    names: DataFrame
+
+
+def item_index(items: DataFrame, names: DataFrame, n: int = SEARCH_RESULTS) -> ItemIndex:
+    """Built once for many searches, see :func:`search_items`."""
+    main = stored(items.select(F.col("id").alias("item_id"), F.col("name").alias("main"), "tag", "hit_count"), "items")
+    spelled = stored(names.select("item_id", F.lower("name").alias("low")).filter("low <> ''").distinct(), "names")
+
+    def laid_out(rows: DataFrame, text: str, source: str) -> DataFrame:
+        starts = F.explode(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.left(text, i)))
+        return rows.select("item_id", starts.alias("prefix"), F.lit(source).alias("source"))
+
+    tags = main.select("item_id", F.lower("tag").alias("low")).filter("low <> ''")
+    hits = laid_out(spelled, "low", "name").distinct().unionByName(laid_out(tags, "low", "tag")).join(main, ["item_id"])
+    base = [F.asc(_half_length() - F.col("hit_count")), F.asc("main"), F.asc("item_id")]
+    return ItemIndex(_stored_index(hits, F.lit(False), base, n, "item-index"), main, spelled)
+
+
+def _half_length() -> Column:
+    return F.expr("length(main) div 2")
+
+
+def search_items(terms: DataFrame, index: ItemIndex, n: int = SEARCH_RESULTS) -> DataFrame:
     """Top ``n`` items per term: by the start of a name (cleaned, raw or behind "Enchanted ") or of the tag."""
+    cleaned = F.lower("cleaned")
     asked = terms.select("term").distinct().withColumn("cleaned", clean_item_name(F.col("term")))
-    forms = F.array(
-        F.struct(F.lit("name").alias("source"), F.lower("cleaned").alias("prefix")),
-        F.struct(F.lit("name").alias("source"), F.lower(F.concat(F.lit("Enchanted "), "cleaned")).alias("prefix")),
-        F.struct(F.lit("name").alias("source"), F.lower("term").alias("prefix")),
-        F.struct(F.lit("tag").alias("source"), F.lower(F.replace("term", F.lit(" "), F.lit("_"))).alias("prefix")),
+    starts = F.array_distinct(F.array(cleaned, F.lower(F.concat(F.lit("Enchanted "), "cleaned")), F.lower("term")))
+    asked = asked.withColumn("__names", F.filter(starts, lambda s: s != "")).withColumn("__tag", F.lower(F.replace("term", F.lit(" "), F.lit("_"))))
+    forms = F.concat(
+        F.transform("__names", lambda s: F.struct(F.lit("name").alias("source"), s.alias("prefix"))),
+        F.filter(F.array(F.struct(F.lit("tag").alias("source"), F.col("__tag").alias("prefix"))), lambda f: f["prefix"] != ""),
     )
-    patterns = asked.select("term", "cleaned", F.explode(F.array_distinct(forms)).alias("p")).select("term", "cleaned", "p.*")
-    patterns = patterns.filter("prefix <> ''")
-    main = items.select(F.col("id").alias("item_id"), F.col("name").alias("main"), "tag", "hit_count")
-    wanted = patterns.select("source", "prefix").distinct()
-
-    def laid_out(rows: DataFrame, text: str, source: str) -> DataFrame:
-        used = lengths_of(patterns.filter(F.col("source") == source))
-        hits = prefixes(rows, F.col(text), used).select("item_id", "prefix", F.lit(source).alias("source"))
-        return hits.join(wanted, ["source", "prefix"], "left_semi")
-
-    hits = laid_out(names.select("item_id", "name"), "name", "name").unionByName(laid_out(main, "tag", "tag"))
-    hits = hits.distinct().join(main, ["item_id"])
-    size = F.expr("length(main) div 2")
-    base = [F.asc(size - F.col("hit_count")), F.asc("main"), F.asc("item_id")]
     shown = ["term", "cleaned", "item_id", "main", "tag", "hit_count"]
-    found = _best_candidates(hits, ["source", "prefix"], F.lower("main") == F.col("prefix"), base, n)
-    found = found.join(patterns, ["source", "prefix"]).select(*shown)
-    # an item of the term's own name may be found by a pattern other than that name: it is never among those cut
-    named = asked.join(main, F.lower("main") == F.lower("cleaned")).join(hits.select("item_id", "source", "prefix"), ["item_id"])
-    named = named.join(patterns.select("term", "source", "prefix"), ["term", "source", "prefix"], "left_semi")
-    found = found.unionByName(named.select(*shown)).distinct()
-    score = size - F.col("hit_count") - F.when(F.lower("main") == F.lower("cleaned"), F.lit(EXACT)).otherwise(F.lit(0))
+    patterns = asked.select("term", "cleaned", F.explode(forms).alias("p")).select("term", "cleaned", "p.*")
+    found = index.prefixes.join(patterns, ["source", "prefix"]).select(*shown)
+    # An item of the term's own name counts whichever pattern finds it, so it is not looked up among the best of one.
+    own = asked.join(index.items, F.lower("main") == cleaned).join(index.names, ["item_id"], "left")
+    by_name = F.exists("__names", lambda s: F.col("low").startswith(s))
+    by_tag = (F.col("__tag") != "") & F.lower("tag").startswith(F.col("__tag"))
+    own = own.filter(F.coalesce(by_name, F.lit(False)) | F.coalesce(by_tag, F.lit(False)))
+    found = found.unionByName(own.select(*shown)).distinct()
+    score = _half_length() - F.col("hit_count") - F.when(F.lower("main") == cleaned, F.lit(EXACT)).otherwise(F.lit(0))
     return top_per(found.withColumn("score", score), ["term"], [F.asc("score"), F.asc("main"), F.asc("item_id")], n)
 
 
+def item_search(terms: DataFrame, items: DataFrame, names: DataFrame, n: int = SEARCH_RESULTS) -> DataFrame:
+    """:func:`search_items` over an index built for these terms alone."""
+    return search_items(terms, item_index(items, names, n), n)
+
+
 def shaped_results(found: DataFrame, names: DataFrame) -> DataFrame:
     """What to show for a found item: its name that starts with the text, else its name, else its tag made readable."""
     candidates = names.filter(F.col("name").isNotNull() & ~F.col("name").isin(HIDDEN_NAMES)).select("item_id", "name")
     wanted = found.select("item_id", F.lower("cleaned").alias("prefix")).distinct()
     matching = (
-        prefixes(candidates, F.col("name"), lengths_of(wanted))
-        .join(wanted, ["item_id", "prefix"], "left_semi")
-        .groupBy("item_id", "prefix")
-        .agg(F.min("name").alias("__shown"))
+        candidates.join(wanted, ["item_id"]).filter(F.lower("name").startswith(F.col("prefix"))).groupBy("item_id", "prefix").agg(F.min("name").alias("__shown"))
     )
     own = F.when(F.col("main") == F.col("tag"), tag_to_name(F.col("tag"))).otherwise(F.col("main"))
     asked = found.withColumn("prefix", F.lower("cleaned"))
@@ -166,6 +190,60 @@ def fuzzy_item_search(text: str, items: DataFrame, names: DataFrame, n: int = SE
     return top.filter(F.col("pattern") == top.agg(F.min("pattern")).scalar())
 
 
+def _without(text: Column, first: Column, count: int) -> Column:
+    """A text without ``count`` characters after its first ``first`` ones."""
+    return F.concat(F.left(text, first), F.substr(text, first + count + 1))
+
+
+def _numbered(lowest: int, highest: Column, make) -> Column:
+    """``make(i)`` for every i from ``lowest`` to ``highest``, none if there is no such i."""
+    return F.transform(F.filter(F.sequence(F.lit(lowest), F.greatest(highest, F.lit(lowest))), lambda i: i <= highest), make)
+
+
+def fuzzy_search(terms: DataFrame, items: DataFrame, names: DataFrame, n: int = SEARCH_RESULTS) -> DataFrame:
+    """:func:`fuzzy_item_search` for a table of terms: top ``n`` items per term of its first pattern with a hit.
+
+    A pattern leaves characters open, so term and start of a name are equal once these are taken out of
+    both: two neighbours of either, one of the name, or one of the term. Names are laid out
+    with every such gap for the lengths in use and meet the terms by equality; wildcards in a
+    term are plain characters here. Terms shorter than 4 or longer than 16 find nothing.
+    """
+    low, size = F.col("__low"), F.col("__size")
+    asked = terms.select("term").distinct().select("term", F.lower("term").alias("__low"), F.length("term").alias("__size"))
+    asked = asked.filter(size.between(FUZZY_LENGTHS.start, FUZZY_LENGTHS.stop - 1))
+
+    def gap(kind: str, at: Column, length: Column, key: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), at.cast("int").alias("at"), length.cast("int").alias("size"), key.alias("key"))
+
+    tried = F.concat(
+        _numbered(2, size - 1, lambda i: gap("swapped", i, size, _without(low, i - 1, 2))),
+        _numbered(1, size - 1, lambda i: gap("missing", i, size, low)),
+        _numbered(1, size - 1, lambda i: gap("extra", F.lit(0), size, _without(low, i, 1))),
+    )
+    patterns = asked.select("term", F.posexplode(tried).alias("pattern", "g")).select("term", "pattern", "g.*")
+    used = asked.agg(F.collect_set("__size")).scalar()  # thirteen lengths at most
+
+    def of_length(text: Column, length: Column) -> Column:
+        start = F.left(text, length)
+        return F.concat(
+            F.when(F.length(text) >= length, _numbered(2, length - 1, lambda i: gap("swapped", i, length, _without(start, i - 1, 2)))).otherwise(none),
+            F.when(F.length(text) > length, _numbered(1, length - 1, lambda i: gap("missing", i, length, _without(F.left(text, length + 1), i, 1)))).otherwise(none),
+            F.when(F.length(text) >= length - 1, F.array(gap("extra", F.lit(0), length, F.left(text, length - 1)))).otherwise(none),
+        )
+
+    none = F.array().cast("array<struct<kind:string,at:int,size:int,key:string>>")
+    spelled = names.select("item_id", F.lower("name").alias("__name")).distinct().withColumn("__n", F.explode(used))
+    gaps = spelled.select("item_id", F.explode(of_length(F.col("__name"), F.col("__n"))).alias("g")).select("item_id", "g.*")
+    key = ["kind", "at", "size", "key"]
+    wanted = gaps.join(patterns.select(*key).distinct(), key, "left_semi").distinct()
+    main = items.select(F.col("id").alias("item_id"), "name", "hit_count")
+    order = [F.asc("hit_count"), F.asc("item_id")]
+    best = top_per(wanted.join(main, ["item_id"]), key, order, n).drop("position")
+    hits = best.join(patterns, key).groupBy("term", "item_id", "name", "hit_count").agg(F.min("pattern").alias("pattern"))
+    first = F.min("pattern").over(Window.partitionBy("term"))  # of at most n rows a term
+    return top_per(hits, ["term"], [F.asc("pattern"), *order], n).withColumn("__first", first).filter("pattern = __first").drop("__first")
+
+
 def most_popular(players: DataFrame, n: int) -> DataFrame:
     """Players by hits, then by name."""
     return players.orderBy(F.desc("hit_count"), "name").limit(n)
