@@ -129,12 +129,25 @@ def _word(key: Column, text: Column) -> Column:
 
 
 def _depth(entries: Column) -> Column:
-    """At least as many levels as the objects among the entries have: their opening braces."""
-    def braces(e: Column) -> Column:
-        text = _text(e["value"])
-        return F.when(_object(e["value"]).isNotNull(), F.length(text) - F.length(F.replace(text, F.lit("{"), F.lit(""))))
+    """Levels of the objects among the entries: how many braces are open at once, at most.
 
-    return F.coalesce(F.array_max(F.transform(entries, braces)), F.lit(0))
+    A brace inside a text may count too, which costs a pass without effect. Runs of plain text go first,
+    so an object as wide as it likes is walked once, brace by brace.
+    """
+    state = "struct<open:int,most:int>"
+
+    def levels(e: Column) -> Column:
+        braces = F.regexp_replace(_text(e["value"]), r"[^{}]+", "")
+        steps = F.filter(F.split(braces, ""), lambda c: c != "")
+
+        def step(s: Column, c: Column) -> Column:
+            now = F.greatest(s["open"] + F.when(c == "{", 1).otherwise(-1), F.lit(0))
+            return F.struct(now.alias("open"), F.greatest(s["most"], now).alias("most")).cast(state)
+
+        start = F.struct(F.lit(0).alias("open"), F.lit(0).alias("most")).cast(state)
+        return F.when(_object(e["value"]).isNotNull(), F.aggregate(steps, start, step, lambda s: s["most"]))
+
+    return F.coalesce(F.array_max(F.transform(entries, levels)), F.lit(0))
 
 
 def _flat(entries: Column) -> Column:
@@ -393,21 +406,53 @@ def value_dictionary(known: DataFrame, routed_rows: DataFrame) -> DataFrame:
     return get_or_create_ids(known, seen, ["key", "value"])
 
 
+def reference_table(values: DataFrame, items: DataFrame) -> DataFrame:
+    """(kind, key, text, found): what a text stands for. Entries by key, items by tag, skins by PET_SKIN_ and name, then by name.
+
+    A rune's tag stands for its unique form if there is one. Items are read once.
+    """
+    tag = F.col("tag")
+    unique, skin = tag.startswith("UNIQUE_RUNE_"), tag.startswith("PET_SKIN_")
+
+    def said(kind: str, text: Column, rank: int) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), text.alias("text"), F.lit(rank).alias("rank"))
+
+    rune, bare = F.substr(tag, F.lit(len("UNIQUE_") + 1)), F.substr(tag, F.lit(len("PET_SKIN_") + 1))
+    ways = F.array(
+        F.when(unique, said("item", rune, 0)), said("item", tag, 1), F.when(skin, said("skin", bare, 0)), F.when(unique, said("skin", rune, 1)), said("skin", tag, 2)
+    )
+    named = items.filter("tag is not null").select(F.col("id").cast("bigint").alias("id"), F.explode(F.filter(ways, lambda w: w.isNotNull())).alias("w"))
+    best = named.groupBy("w.kind", "w.text").agg(F.min(F.struct("w.rank", "id")).alias("b"))
+    entries = values.select(F.lit("entry").alias("kind"), "key", F.col("value").alias("text"), F.col("id").cast("bigint").alias("found"))
+    return entries.unionByName(best.select("kind", F.lit("").alias("key"), "text", F.col("b.id").alias("found")))
+
+
 def encoded(routed_rows: DataFrame, keys: DataFrame, values: DataFrame, items: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
-    """(auction_id, key_id, value): every attribute as two numbers."""
-    small = F.broadcast(keys.select(F.col("slug").alias("key"), F.col("id").alias("key_id")))
-    entries = values.select("key", F.col("value").alias("entry"), F.col("id").alias("value_id"))
-    plain = routed_rows.filter("route in ('number', 'id', 'color')").select("auction_id", "key", F.col("number").alias("value"))
-    worded = routed_rows.filter("entry is not null").select("auction_id", "key", "entry")
-    worded = hot_join(worded, entries, ["key", "entry"], "left", hot_rows=hot_rows)
-    tagged = tag_to_id(routed_rows.filter("route = 'item'").select("auction_id", "key", "item_tag"), items, "item_tag", "value", hot_rows=hot_rows)
-    skins = skin_to_id(routed_rows.filter("route = 'skin'").select("auction_id", "key", "skin"), items, "skin", "value", hot_rows=hot_rows)
-    rows = (
-        plain.unionByName(worded.select("auction_id", "key", F.coalesce("value_id", F.lit(0)).alias("value")))
-        .unionByName(tagged.select("auction_id", "key", F.col("value").cast("bigint").alias("value")))
-        .unionByName(skins.select("auction_id", "key", F.col("value").cast("bigint").alias("value")))
+    """(auction_id, key_id, value): every attribute as two numbers. All texts meet one table in one join; unknown ones give 0."""
+    small = F.broadcast(keys.select(F.col("slug").alias("key"), F.col("id").alias("key_id")))  # 16-bit ids, see key_dictionary
+    kind = F.when(F.col("entry").isNotNull(), "entry").when(F.col("route").isin("item", "skin"), F.col("route"))
+    rows = routed_rows.select(
+        "auction_id",
+        F.col("key").alias("__key"),
+        F.col("number").alias("__number"),
+        kind.alias("kind"),
+        F.when(kind == "entry", F.col("key")).when(kind.isNotNull(), "").alias("key"),
+        F.coalesce("entry", "item_tag", "skin").alias("text"),
     )
-    return rows.join(small, ["key"], "left").select("auction_id", F.coalesce("key_id", F.lit(0)).alias("key_id"), "value")
+    told = hot_join(rows, reference_table(values, items), ["kind", "key", "text"], "left", hot_rows=hot_rows)
+    value = F.when(F.col("kind").isNull(), F.col("__number")).otherwise(F.coalesce("found", F.lit(0)))
+    found = told.select("auction_id", F.col("__key").alias("key"), value.alias("value"))
+    return found.join(small, ["key"], "left").select("auction_id", F.coalesce("key_id", F.lit(0)).alias("key_id"), "value")
+
+
+def with_asked_attribute(auctions: DataFrame, attributes: DataFrame, key: str, text: str) -> DataFrame:
+    """Auctions that carry one attribute value, straight from routed attributes: only rows of the key are looked at.
+
+    The asked text is compared as the row stores it: a number as a number, else the entry, item tag or skin.
+    """
+    own = F.coalesce("entry", "item_tag", "skin")
+    asked = (F.col("key") == key) & F.coalesce((F.col("number") == F.lit(text).try_cast("bigint")), own.isin(text, f'"{text}"'))
+    return auctions.join(attributes.filter(asked).select("auction_id").distinct(), ["auction_id"], "left_semi")
 
 
 def with_attribute(auctions: DataFrame, lookup: DataFrame, key_id: int | Column, value: int | Column) -> DataFrame:

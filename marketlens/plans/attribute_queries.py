@@ -112,12 +112,18 @@ enc AS (SELECT auction_id, keys.slug, keys.id AS key_id, CASE WHEN route IN ('nu
   LEFT JOIN tags skin ON route = 'skin' AND skin.tag = 'PET_SKIN_' || text)"""
 
 
-def encoded(spark, d):
-    rows = stored(a.routed(flat(spark, d)), "attributes")
+def dictionaries(spark, rows):
+    """Keys and values of all attributes, as tables of their own."""
     no_keys = spark.createDataFrame([], "id bigint, slug string")
     no_values = spark.createDataFrame([], "id bigint, key string, value string")
-    keys = a.key_dictionary(no_keys, rows)
-    return a.encoded(rows, keys, a.value_dictionary(no_values, rows), named_items(spark, d)), keys
+    return stored(a.key_dictionary(no_keys, rows), "keys"), stored(a.value_dictionary(no_values, rows), "values")
+
+
+def encoded(spark, d, only: list[str] | None = None):
+    """Encoded attributes, of all keys or of some; the dictionaries always hold all."""
+    rows = stored(a.routed(flat(spark, d)), "attributes")
+    keys, held = dictionaries(spark, rows)
+    return a.encoded(rows if only is None else rows.filter(F.col("key").isin(only)), keys, held, named_items(spark, d)), keys
 
 
 @query("encode_attributes", f"WITH {ENCODED} SELECT auction_id, key_id, value FROM enc")
@@ -127,7 +133,15 @@ def encode_attributes(spark, d):
 
 @query("attribute_filter", f"WITH {ENCODED} SELECT event_id, user_id, ts FROM events WHERE event_id IN (SELECT auction_id FROM enc WHERE slug = 'hpc' AND value = 42)")
 def attribute_filter(spark, d):
-    lookup, keys = encoded(spark, d)
+    auctions = t.feed(spark, d).withColumnRenamed("event_id", "auction_id")
+    found = a.with_asked_attribute(auctions, a.routed(flat(spark, d).filter("key = 'hpc'")), "hpc", "42")
+    return found.select(F.col("auction_id").alias("event_id"), "user_id", "ts")
+
+
+@query("attribute_lookup", f"WITH {ENCODED} SELECT event_id, user_id, ts FROM events WHERE event_id IN (SELECT auction_id FROM enc WHERE slug = 'hpc' AND value = 42)")
+def attribute_lookup(spark, d):
+    """The same answer from the encoded look-up table, as it stands once it is kept."""
+    lookup, keys = encoded(spark, d, ["hpc"])
     key_id = keys.filter("slug = 'hpc'").select("id").scalar()
     events = t.feed(spark, d).withColumnRenamed("event_id", "auction_id")
     return a.with_attribute(events, lookup, key_id, 42).select(F.col("auction_id").alias("event_id"), "user_id", "ts")
@@ -143,7 +157,7 @@ CASE event_type WHEN 'click' THEN 'growth:5x1 ultimate_reiterate:2x1 ultimate_wi
 FROM events LEFT JOIN at_ ON auction_id = event_id WHERE ts > '2024-01-05' AND round(value * 100) > 0""",
 )
 def attribute_features(spark, d):
-    lookup, keys = encoded(spark, d)
+    lookup, keys = encoded(spark, d, prules.FEATURE_KEYS)
     auctions = t.feed(spark, d).select(
         F.col("event_id").alias("auction_id"), F.col("ts").alias("end"), F.round(F.col("buy_price") * 100).cast("bigint").alias("highest_bid")
     )
