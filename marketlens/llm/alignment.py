@@ -34,9 +34,9 @@ from marketlens.session import stored
 
 VOCABULARY = 1 << 16
 HELD_PAIRS = 1 << 21  # distinct pairs a task counts before it lets them go: 32 MB
-SHARD_PAIRS = 1 << 19  # pairs of one perfect hash: 6 MB with keys and counts
+SHARD_PAIRS = 1 << 17  # pairs of one perfect hash: 1.6 MB with keys and counts
 TREE_PARTS = 8  # dense vectors of one shard that are summed apart first
-TASK_BYTES = 32 << 20  # links that one look-up task reads, at 4 bytes each after packing
+TASK_BYTES = 16 << 20  # links that one part of a shard looks up, at 4 bytes each after packing
 BATCH_CHARS = 1 << 20  # text aligned at once
 LONG_TEXT = 100_000  # longer texts go to the tokenizers library, whose pattern needs no stack
 
