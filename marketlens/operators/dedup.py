@@ -65,14 +65,19 @@ def dense_ids(values: DataFrame, keys: list[str], start: Column | int = 0, prefi
     )
 
 
+def fresh_ids(known: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
+    """(id, keys) of the seen keys that are not known yet; ids follow the largest known one."""
+    fresh = seen.select(*keys).distinct().join(known.select(*keys), keys, "left_anti")
+    last = known.agg(F.coalesce(F.max("id"), F.lit(0)))
+    return dense_ids(fresh, keys).select((F.col("id") + last.scalar()).alias("id"), *keys)
+
+
 def get_or_create_ids(known: DataFrame, seen: DataFrame, keys: list[str], read_only: bool = False) -> DataFrame:
     """The dictionary with ids for all seen keys; new ones follow the largest known id.
 
     Read-only, a new key gets id 0 instead. A dictionary must have a single writer.
     """
-    fresh = seen.select(*keys).distinct().join(known.select(*keys), keys, "left_anti")
     if read_only:
+        fresh = seen.select(*keys).distinct().join(known.select(*keys), keys, "left_anti")
         return known.select("id", *keys).unionByName(fresh.withColumn("id", F.lit(0).cast("bigint")).select("id", *keys))
-    last = known.agg(F.coalesce(F.max("id"), F.lit(0)))
-    numbered = dense_ids(fresh, keys).withColumn("id", F.col("id") + last.scalar())
-    return known.select("id", *keys).unionByName(numbered.select("id", *keys))
+    return known.select("id", *keys).unionByName(fresh_ids(known, seen, keys))

@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 from marketlens import tables as t
 from marketlens.functions import ids, names, numbers
 from marketlens.operators import attributes as a
+from marketlens.operators.dictionaries import extend_dictionary, known_ids
+from marketlens.operators.export import export_pages, exported
 from marketlens.plans.listing_queries import TITLED, values, words
 from marketlens.plans.price_queries import FEED
 from marketlens.plans.registry import query
 from marketlens.rules import enchants as erules
 from marketlens.rules import properties as prules
-from marketlens.session import stored
+from marketlens.session import new_folder, stored
 
 EV = """(SELECT event_id AS auction_id, event_type, user_id::VARCHAR AS u, json_extract(props, '$.k')::BIGINT::VARCHAR AS k, md5(event_id::VARCHAR) AS h FROM events)"""
 UUID = "h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32]"
@@ -157,17 +159,48 @@ CASE event_type WHEN 'click' THEN 'growth:5x1 ultimate_reiterate:2x1 ultimate_wi
 FROM events LEFT JOIN at_ ON auction_id = event_id WHERE ts > '2024-01-05' AND round(value * 100) > 0""",
 )
 def attribute_features(spark, d):
+    def text(column, first, sep):
+        return F.coalesce(F.array_join(F.transform(column, lambda e: F.concat(e[first].cast("string"), F.lit(sep), e["level" if first == "type" else "value"].cast("string"), F.lit("x"), e["copies"].cast("string"))), " "), F.lit(""))
+
+    return features(spark, d).select("auction_id", "end", "highest_bid", text("attributes", "feature", "=").alias("attributes"), text("enchantments", "type", ":").alias("enchantments"))
+
+
+def features(spark, d):
     lookup, keys = encoded(spark, d, prules.FEATURE_KEYS)
     auctions = t.feed(spark, d).select(
         F.col("event_id").alias("auction_id"), F.col("ts").alias("end"), F.round(F.col("buy_price") * 100).cast("bigint").alias("highest_bid")
     )
     enchants = a.enchant_rows(t.attribute_items(spark, d), t.known_types(spark))
-    features = a.training_features(auctions, enchants, lookup, keys, "2024-01-05 00:00:00")
+    return a.training_features(auctions, enchants, lookup, keys, "2024-01-05 00:00:00")
 
-    def text(column, first, sep):
-        return F.coalesce(F.array_join(F.transform(column, lambda e: F.concat(e[first].cast("string"), F.lit(sep), e["level" if first == "type" else "value"].cast("string"), F.lit("x"), e["copies"].cast("string"))), " "), F.lit(""))
 
-    return features.select("auction_id", "end", "highest_bid", text("attributes", "feature", "=").alias("attributes"), text("enchantments", "type", ":").alias("enchantments"))
+# The dictionary of two runs: one over the first events, one over all. Ids of the first stay, new ones follow in order of their hash.
+ENTRIES = f"(SELECT DISTINCT key, entry AS value, auction_id <= (SELECT max(event_id) // 3 FROM events) AS early FROM {NUMBERED} WHERE entry IS NOT NULL)"
+
+
+@query(
+    "dictionary_runs",
+    f"""WITH e AS (SELECT key, value, CASE WHEN bool_or(early) THEN 0 ELSE 1 END AS run FROM {ENTRIES} GROUP BY ALL)
+SELECT key, value, run::BIGINT AS run, row_number() OVER (ORDER BY run, md5(key || chr(31) || value), key, value) AS id FROM e""",
+)
+def dictionary_runs(spark, d):
+    rows = stored(a.routed(flat(spark, d)).filter("entry is not null").select("auction_id", "key", F.col("entry").alias("value")), "entries")
+    path = new_folder(spark, "dictionary")
+    last = t.read(spark, d, "events").agg(F.floor(F.max("event_id") / 3)).scalar()
+    extend_dictionary(path, rows.filter(F.col("auction_id") <= last), ["key", "value"], 0)
+    extend_dictionary(path, rows, ["key", "value"], 1)
+    return known_ids(spark, path, ["key", "value"]).select("key", "value", "run", "id")
+
+
+@query(
+    "feature_export",
+    """SELECT event_id AS auction_id, event_id // 1000 AS page, ts AS "end", round(value * 100)::BIGINT AS highest_bid FROM events WHERE ts > '2024-01-05' AND round(value * 100) > 0""",
+)
+def feature_export(spark, d):
+    """The training features written in pages and read back by the manifest."""
+    path = new_folder(spark, "features")
+    export_pages(stored(features(spark, d), "feature-rows"), "auction_id", path)
+    return exported(spark, path).select("auction_id", F.col("page").cast("bigint").alias("page"), "end", "highest_bid")
 
 
 @query(

@@ -86,6 +86,33 @@ def recent_sales(spark, d):
     return listings.with_player_name(preview, t.players(spark, d), "seller_id")
 
 
+# The auction's uuid goes with the preview; here it is the order's hash.
+@query(
+    "recent_sales_preview",
+    f"""SELECT s.*, c_name AS player_name FROM (SELECT item_id, md5(auction_id::VARCHAR) AS uuid, "end", highest_bid AS price, seller_id, row_number() OVER (PARTITION BY item_id
+ORDER BY "end" DESC, auction_id, line, highest_bid, seller_id) AS position FROM {SALES} WHERE highest_bid > 1) s
+LEFT JOIN customer ON c_custkey = seller_id WHERE position <= 12""",
+)
+def recent_sales_preview(spark, d):
+    """What a preview shows of an item's last sales: uuid, end, price, seller and name."""
+    sales = t.sales(spark, d).filter("highest_bid > 1").withColumn("uuid", F.md5(F.col("auction_id").cast("string")))
+    top = listings.recent_sales(sales, ["item_id"], ["auction_id", "line", "highest_bid", "seller_id"])
+    preview = top.select("item_id", "uuid", "end", F.col("highest_bid").alias("price"), "seller_id", "position")
+    return listings.with_player_name(preview, t.players(spark, d), "seller_id")
+
+
+# A listing's item is chosen by its number.
+@query(
+    "lowest_bin_of_item",
+    f"""SELECT auction_id % 40 AS item_id, tier, auction_id, price, row_number() OVER (PARTITION BY auction_id % 40, tier ORDER BY price, auction_id) AS position
+FROM {ACTIVE} WHERE bin QUALIFY position <= 2""",
+)
+def lowest_bin_of_item(spark, d):
+    """The two cheapest buy-it-now listings of every item and tier."""
+    of_item = active(spark, d).withColumn("item_id", F.col("auction_id") % 40)
+    return listings.lowest_bin(of_item, ["item_id", "tier"]).select("item_id", "tier", "auction_id", "price", "position")
+
+
 @query(
     "named_filter",
     f"SELECT auction_id, seller_id, price FROM {ACTIVE} WHERE bin AND tier = '1-URGENT'",

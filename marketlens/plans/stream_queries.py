@@ -9,6 +9,8 @@ from marketlens import tables as t
 from marketlens.operators import events as e
 from marketlens.operators import rollup as r
 from marketlens.operators import series as s
+from marketlens.operators.dictionaries import attribute_encoder
+from marketlens.plans.attribute_queries import ENCODED, named_items
 from marketlens.plans.price_queries import FEED, HOURLY, LIVE, POINTS
 from marketlens.plans.registry import query
 from marketlens.session import new_folder
@@ -210,6 +212,14 @@ def stream_active_set(spark, d):
     return state.active_now(spark, checkpoint)
 
 
+@query("stream_encoded_attributes", f"WITH {ENCODED} SELECT auction_id, key_id, value FROM enc")
+def stream_encoded_attributes(spark, d):
+    """Attributes encoded as they arrive, by dictionaries that grow with each batch."""
+    documents = t.attribute_documents(event_stream(spark, d).select("event_id", "user_id", "event_type", "props"))
+    path = through_batches(spark, documents, "encoded", lambda p: attribute_encoder(p, named_items(spark, d)))
+    return live.batches(spark, f"{path}/encoded")
+
+
 @query("stream_routing", f"SELECT kind, count(*) AS n FROM (SELECT {KIND_SQL} AS kind FROM events) WHERE kind IN ('sold', 'ended') GROUP BY kind")
 def stream_routing(spark, d):
     routed = e.of_kind(market_events(event_stream(spark, d)), "sold", "ended")

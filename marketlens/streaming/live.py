@@ -138,7 +138,7 @@ def merged_hours(partials: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def _children(spark: SparkSession, folder: str) -> list[str]:
+def children(spark: SparkSession, folder: str) -> list[str]:
     """Names in a folder of the shared file system, none if it is not there."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
@@ -152,7 +152,7 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 def _versions(spark: SparkSession, path: str, hour: str) -> list[int]:
     """The batches that left a version of an hour, oldest first."""
-    return sorted(int(name.split("=")[1]) for name in _children(spark, f"{path}/hour={hour}") if name.startswith("upto="))
+    return sorted(int(name.split("=")[1]) for name in children(spark, f"{path}/hour={hour}") if name.startswith("upto="))
 
 
 def hours_upserter(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:

@@ -135,8 +135,12 @@ def component_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attribute_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items with nested attributes: one JSON text per event, its shape chosen by the event type."""
-    events = spread(read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"))
+    """Items with nested attributes: one JSON text per event."""
+    return attribute_documents(spread(read(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props")))
+
+
+def attribute_documents(events: DataFrame) -> DataFrame:
+    """(auction_id, attributes) of events, a table or a stream: one JSON text each, its shape chosen by the event type."""
     k = F.get_json_object("props", "$.k")
     digest = F.md5(F.col("event_id").cast("string"))
     uuid = F.concat_ws("-", *[F.substr(digest, F.lit(a), F.lit(n)) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
