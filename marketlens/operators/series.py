@@ -113,19 +113,27 @@ def dated_prices(prices: DataFrame, wanted: DataFrame, key: str, days: int = HIS
     looks back to the last observation and the five prices it carries, so no
     calendar is laid out. Keys without history have no row.
     """
-    asked = wanted.select(key, "day").distinct().withColumn("__asked", F.lit(True))
-    line = prices.select(key, "day", F.lit(False).alias("__asked")).unionByName(asked)
-    up_to_day = Window.partitionBy(key).orderBy("day").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = F.max(F.when(~F.col("__asked"), F.col("day"))).over(up_to_day)
-    looking = line.withColumn("__seen", seen).filter("__asked").drop("__asked")
-    observed = _with_last_few(centered_median(prices, key), key).select(key, F.col("day").alias("__seen"), "smoothed", "__last")
-    found = looking.join(observed, [key, "__seen"], "left").join(_first_few(prices, key), [key])
-    none = F.slice(F.col("__seed"), 1, 0)
-    recent = F.filter(F.coalesce("__last", none), lambda p: p["day"] >= F.col("day") - days)
-    on_day = F.col("__seen") == F.col("day")
-    # an observed day needs no fill, so nothing is sorted for it
-    filled = with_upper_median(found, F.when(~F.coalesce(on_day, F.lit(False)), _latest(F.col("__seed"), recent)), "__fill")
-    return filled.select(key, "day", F.when(on_day, F.col("smoothed")).otherwise(F.col("__fill")).alias("price"))
+    asked = wanted.select(key, "day").distinct().select(key, "day", F.lit(None).cast(dict(prices.dtypes)["price"]).alias("price"), F.lit(True).alias("__asked"))
+    line = prices.select(key, "day", "price", F.lit(False).alias("__asked")).unionByName(asked)
+    line = line.groupBy(key, "day").agg(F.max("price").alias("price"), F.max("__asked").alias("__asked"))  # one row per key and day
+    by_day = Window.partitionBy(key).orderBy("day")
+    observed = F.col("price").isNotNull()
+    point = F.when(observed, F.struct("day", "price"))  # nulls are not collected
+    line = line.withColumn("__rank", F.count("price").over(by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    by_rank = Window.partitionBy(key).orderBy("__rank")
+    found = line.select(
+        key,
+        "day",
+        "__asked",
+        observed.alias("__on_day"),
+        F.collect_list("price").over(by_day.rangeBetween(-NEIGHBOUR_DAYS, NEIGHBOUR_DAYS)).alias("__around"),
+        F.collect_list(point).over(by_rank.rangeBetween(-(LAST_FEW - 1), 0)).alias("__last"),
+        F.collect_list(F.when(F.col("__rank") <= LAST_FEW, point)).over(Window.partitionBy(key)).alias("__seed"),
+    ).filter(F.col("__asked") & (F.size("__seed") > 0))
+    recent = F.filter("__last", lambda p: p["day"] >= F.col("day") - days)
+    # an observed day needs no fill, so only its neighbours are sorted
+    values = F.when(F.col("__on_day"), F.col("__around")).otherwise(_latest(F.col("__seed"), recent))
+    return with_upper_median(found, values, "__price").select(key, "day", F.col("__price").alias("price"))
 
 
 def with_price(rows: DataFrame, dated: DataFrame, key: str, hot_rows: int = 1_000_000) -> DataFrame:
