@@ -66,6 +66,18 @@ def _arrow(kind: T.DataType) -> pa.DataType:
     return to_arrow_type(kind)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each made longer until no column of the frame has it (Spark compares names without case)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8(text: str | None) -> bytes:
     return b"" if text is None else text.encode()
 

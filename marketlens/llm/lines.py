@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import components, fingerprint, register, table
+from marketlens.llm.common import components, fingerprint, free, register, table
 from marketlens.session import stored
 
 #: Edits that two lines may differ by, and code points from which a line is looked at.
@@ -278,14 +278,15 @@ def removed_lines(docs: DataFrame, edits: int, min_chars: int, key: str, text: s
 def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without the lines that go; all columns stay, other lines keep their order.
 
-    A null text stays null; a text that loses all its lines becomes empty.
+    A null text stays null; a text that loses all its lines becomes empty. Further columns may have any name.
     """
-    gone = removed_lines(docs, edits, min_chars, key, text).select("doc", F.col("mark").alias("__mark"), "removed")
-    marked = docs.withColumn("__mark", F.xxhash64(text))
-    joined = marked.join(gone, marked[key].eqNullSafe(gone["doc"]) & (marked["__mark"] == gone["__mark"]), "left").drop(gone["__mark"])
-    left = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains("removed", i))
-    new = F.when(F.col("removed").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
-    return joined.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
+    doc, mark, own_mark, removed = free(docs, "__doc", "__mark", "__own_mark", "__removed")
+    gone = removed_lines(docs, edits, min_chars, key, text).select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("removed").alias(removed))
+    marked = docs.withColumn(own_mark, F.xxhash64(F.col(f"`{text}`")))
+    joined = marked.join(gone, F.col(f"`{key}`").eqNullSafe(F.col(doc)) & (F.col(own_mark) == F.col(mark)), "left")
+    left = F.filter(F.split(F.col(f"`{text}`"), "\n"), lambda x, i: ~F.array_contains(removed, i))
+    new = F.when(F.col(removed).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(left, "\n"))
+    return joined.select(*[new.alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns])
 
 
 @register("op2_line_dedup")

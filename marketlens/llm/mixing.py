@@ -7,10 +7,10 @@ from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import WORD, fingerprint, register, table
+from marketlens.llm.common import WORD, fingerprint, free, register, table
 from marketlens.llm.sharding import prefix_sums
 from marketlens.session import stored
 
@@ -130,16 +130,21 @@ def mix(
     r - floor(r), drawn by the cube method balancing words and documents: blocks of a
     source fly on their own, the at most two open units of each block fly on with those of
     other blocks, and the last block of a source lands. Only keys, sizes and source numbers
-    are shuffled for it. Equal rows (key, source and text) form one unit and share
-    its copies. Draws depend on the rows alone, so reruns agree. Sources without words
-    take nothing; an empty table gives no rows; input columns with a new column's name give way.
+    are shuffled for it. Equal rows (key, source and text) form one unit: of n of them floor(n p)
+    are taken once more, and the draw decides on one further. They can stand for each other, so which
+    of them it is, numbered in one sort of the unit's rows, changes no result.
+
+    Draws depend on the rows alone, so reruns agree. Sources without words
+    take nothing; an empty table gives no rows; input columns with a new column's name give way, others may have any name.
     """
     new = ["size", "source_size", "target", "copies", "taken"]
-    base = docs.drop(*new).withColumn("size", F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long"))
-    one, two = fingerprint(key, source, text)
-    base = base.withColumn("__one", one).withColumn("__two", two)
+    mix_size, mix_source, mix_target = free(docs, "__size", "__source_size", "__target")
+    base = docs.withColumn(mix_size, F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long"))
+    one, two = fingerprint(f"`{key}`", f"`{source}`", f"`{text}`")
+    n_one, n_two, t_one, t_two, times, whole, extra, number = free(docs, "__one", "__two", "__t_one", "__t_two", "__times", "__whole", "__extra", "__number")
+    base = base.withColumn(n_one, one).withColumn(n_two, two)
     units = stored(
-        base.groupBy(F.col(source).alias("source"), "size", "__one", "__two").agg(F.count("*").alias("count")), "units"
+        base.groupBy(F.col(f"`{source}`").alias("source"), F.col(mix_size).alias("size"), F.col(n_one).alias("__one"), F.col(n_two).alias("__two")).agg(F.count("*").alias("count")), "units"
     )
     sources = stored(source_targets(units, weights, share, most), "targets")
     few = sources.count() <= FEW_SOURCES
@@ -147,16 +152,20 @@ def mix(
         "source_no", "units", "source_size", "target", units["size"], "count", "__one", "__two"
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    rated = rated.withColumn("whole", F.floor(rate)).withColumn("pi", rate - F.floor(rate))
+    shared = F.col("count") * (rate - F.floor(rate))
+    rated = rated.withColumn("whole", F.floor(rate)).withColumn("sure", F.floor(shared + 1e-9)).withColumn("pi", shared - F.floor(shared + 1e-9))
     decided = _fly(rated)
-    taken = rated.select("__one", "__two", F.col("size").alias("__size"), "source_size", "target", "whole").join(
-        decided, ["__one", "__two"], "left"
+    taken = rated.join(decided, ["__one", "__two"], "left").select(
+        F.col("__one").alias(t_one), F.col("__two").alias(t_two), F.col("source_size").alias(mix_source), F.col("target").alias(mix_target),
+        F.col("count").alias(times), F.col("whole").alias(whole), (F.col("sure") + F.coalesce("extra", F.lit(0))).alias(extra),
     )
-    return (
-        base.join(taken, ["__one", "__two"])
-        .withColumn("copies", (F.col("whole") + F.coalesce("extra", F.lit(0))).cast("int"))
-        .withColumn("taken", F.col("size") * F.col("copies"))
-        .drop("__one", "__two", "__size", "whole", "extra")
+    told = base.join(taken, (F.col(n_one) == F.col(t_one)) & (F.col(n_two) == F.col(t_two)))
+    single = told.filter(F.col(times) == 1).withColumn(number, F.lit(1))
+    repeated = told.filter(F.col(times) > 1).withColumn(number, F.row_number().over(Window.partitionBy(n_one, n_two).orderBy(F.lit(0))))
+    copies = (F.col(whole) + F.when(F.col(number) <= F.col(extra), 1).otherwise(0)).cast("int")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in new]
+    return single.unionByName(repeated).select(
+        *kept, F.col(mix_size).alias("size"), F.col(mix_source).alias("source_size"), F.col(mix_target).alias("target"), copies.alias("copies"), (F.col(mix_size) * copies).alias("taken")
     )
 
 
@@ -175,9 +184,9 @@ def _fly(rated: DataFrame) -> DataFrame:
         def fly(group: pd.DataFrame) -> pd.DataFrame:
             group = group.sort_values(["size", "__one", "__two"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
             first = group.iloc[0]
-            sizes = (group["size"] * group["count"]).to_numpy(float)
-            counts = group["count"].to_numpy(float)
-            seed = (int(first["source_no"]) * 1_000_003 + int(first["block"])) 
+            sizes = group["size"].to_numpy(float)
+            counts = np.ones(len(group))
+            seed = (int(first["source_no"]) * 1_000_003 + int(first["block"]))
             pi = flight(group["pi"].to_numpy(), sizes, counts, seed)
             if first["blocks"] == 1:
                 pi = landing(pi, sizes, counts)

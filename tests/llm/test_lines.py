@@ -77,5 +77,12 @@ def test_text_keeps_other_lines_and_columns(spark):
     assert rows == {1: f"head\n{line}\n\ntail", 2: "head", 3: None, None: line[::-1]}
 
 
+def test_clashing_names(spark):
+    line = "a line of more than twenty letters"
+    names = ["doc", "mark", "removed", "__doc", "__mark", "one", "two", "line"]
+    docs = spark.createDataFrame([(k, line, *range(len(names))) for k in range(3)], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    assert sorted((r.doc_id, r.text, r.removed) for r in dedup_lines(docs).collect()) == [(0, line, 2), (1, "", 2), (2, "", 2)]
+
+
 def test_empty_table(spark):
     assert dedup_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []

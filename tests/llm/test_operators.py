@@ -80,6 +80,35 @@ def test_mixing(spark):
     assert sorted(map(key, mix(frame).collect())) == sorted(map(key, found))
 
 
+def test_mixing_targets_and_repeated_rows(spark):
+    """Sizes, targets and resharing worked out plainly; equal rows come near the target, not all or nothing."""
+    docs = [(1, "w " * 10, "a")] * 100 + [(k, "w " * (k % 9), "b") for k in range(300)] + [(k, "w x " * 50, None) for k in range(3)] + [(9, None, "c")]
+    frame = spark.createDataFrame([(*d, 1, 2, 3, 4) for d in docs], "doc_id long, text string, source string, whole int, extra int, __one int, __size int")
+    found = mix(frame).collect()
+    sizes = {}
+    for _, t, s in docs:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    open_, target, left = set(order), {}, 1.5 * sum(sizes.values())
+    while True:
+        level = left / sum(weight[s] for s in open_)
+        above = {s for s in open_ if weight[s] * level > 2 * sizes[s]}
+        if not above:
+            break
+        for s in above:
+            target[s] = 2 * sizes[s]
+            left -= target[s]
+        open_ -= above
+    target |= {s: weight[s] * level for s in open_}
+    assert len(found) == len(docs) and all(r.taken == r["size"] * r.copies <= 2 * r["size"] for r in found)
+    for s in order:
+        own = [r for r in found if r.source == s]
+        assert all(r.source_size == sizes[s] and abs(r.target - target[s]) < 1e-6 for r in own)
+        assert abs(sum(r.taken for r in own) - target[s]) <= max(r["size"] for r in own)
+    assert mix(frame.limit(0)).collect() == [] and [c for c in mix(frame).columns if c in frame.columns] == frame.columns
+
+
 def test_quality(spark):
     rng = random.Random(5)
     for _ in range(200):
