@@ -18,7 +18,7 @@ from marketlens.llm.byte_bpe import RANKS, token_digests  # noqa: E402
 from marketlens.llm.common import table  # noqa: E402
 from marketlens.llm.lines import dedup_lines  # noqa: E402
 from marketlens.llm.mixing import mix  # noqa: E402
-from marketlens.llm.simhash import one_of_each  # noqa: E402
+from marketlens.llm.similar import one_of_similar  # noqa: E402
 from marketlens.llm.toxicity import scored, trained  # noqa: E402
 from marketlens.session import stored  # noqa: E402
 
@@ -36,8 +36,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    return one_of_each(docs)
+    """One document of each group of near-duplicates stays: five-word shingles, similarity 0.8 or more."""
+    return one_of_similar(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
