@@ -46,7 +46,8 @@ def map_column(
     """
     names = {f.name for f in new}
     kept = [f for f in df.schema.fields if f.name not in names and not (drop and f.name == column)]
-    source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{column}`").alias("__input"))
+    (given,) = free(df, "__input")
+    source = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{column}`").alias(given))
     schema = T.StructType(kept + new)
     kinds = [_arrow(f.dataType) for f in new]
 

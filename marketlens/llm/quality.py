@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm.common import map_column, register, table
+from marketlens.llm.common import free, map_column, register, table
 from marketlens.session import stored
 
 SPACE = b"\t\n\x0b\x0c\r "
@@ -171,20 +171,26 @@ def judge(docs: DataFrame, text: str = "text", language: str = "lang", source: s
 
     A document is kept if it passes the base rules and each of its signals lies within the
     fences of its language and source (null is a language and a source like others). A null
-    or empty text fails the base rules. The measures are written once; they are narrow.
+    or empty text fails the base rules. Input columns with a measure's name give way, others may have
+    any name. The measures are written once; they are narrow.
     """
     rows = stored(measure(docs.drop(*MEASURES, "base_failed", "kept"), text), "measures")
     fences = stored(thresholds(rows, language, source), "fences")
     few = fences.count() <= FEW
-    t = (F.broadcast(fences) if few else fences).select(F.col(language).alias("__lang"), F.col(source).alias("__source"), *[f"{s}_{e}" for s in SIGNALS for e in ("low", "high")])
+    sides = [(name, end) for name in SIGNALS for end in ("low", "high")]
+    lang, origin, *named = free(rows, "__lang", "__source", *[f"__{name}_{end}" for name, end in sides])
+    fence = dict(zip(sides, named))
+    t = (F.broadcast(fences) if few else fences).select(
+        F.col(f"`{language}`").alias(lang), F.col(f"`{source}`").alias(origin), *[F.col(f"{name}_{end}").alias(c) for (name, end), c in fence.items()]
+    )
     inside = F.lit(True)
     for name, value in signals().items():
-        fine = value <= F.col(f"{name}_high")
+        fine = value <= F.col(fence[name, "high"])
         if SIGNALS[name][1]:
-            fine &= value >= F.col(f"{name}_low")
+            fine &= value >= F.col(fence[name, "low"])
         inside &= F.coalesce(fine, F.lit(True))
-    joined = rows.join(t, rows[language].eqNullSafe(F.col("__lang")) & rows[source].eqNullSafe(F.col("__source")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & inside).select(*rows.columns, "kept")
+    joined = rows.join(t, F.col(f"`{language}`").eqNullSafe(F.col(lang)) & F.col(f"`{source}`").eqNullSafe(F.col(origin)), "left")
+    return joined.select(*[F.col(f"`{c}`") for c in rows.columns], (~F.col("base_failed") & inside).alias("kept"))
 
 
 @register("op3_quality_rules")

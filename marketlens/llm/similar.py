@@ -19,10 +19,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from marketlens.llm.common import components, fingerprint, free, map_column
-from marketlens.llm.simhash import BITS, runs, signed
+from marketlens.llm.simhash import runs, signed
 from marketlens.session import stored
 
 WORDS = 5
+HALF = 64  # bits of a fingerprint's half
 SIMILARITY = 0.8
 RECALL = 0.95  # of pairs at the similarity itself; more above it
 SHARD_VALUES = 4_000  # fingerprints a shard holds on average
@@ -31,33 +32,41 @@ NEAREST = 2  # partners of a value that are checked first
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """Distinct 64-bit hashes of the text's shingles, sorted; fewer words are one shingle, none give none. A-Z count as a-z."""
+    """Hashes of the text's distinct shingles, two 64-bit columns, in order; fewer words are one shingle, none give none. A-Z count as a-z."""
     own = text.encode().lower().split() if text else []
     if not own:
-        return np.empty(0, np.uint64)
-    joined = [b" ".join(own[k : k + words]) for k in range(max(1, len(own) - words + 1))]
-    return np.unique(np.array([xxhash.xxh64_intdigest(s, seed=42) for s in joined], np.uint64))
+        return np.empty((0, 2), np.uint64)
+    joined = [xxhash.xxh3_128_digest(b" ".join(own[k : k + words])) for k in range(max(1, len(own) - words + 1))]
+    hashes = np.frombuffer(b"".join(joined), np.uint64).reshape(-1, 2)
+    return hashes[np.unique(hashes[:, 0], return_index=True)[1]]
 
 
-def simhash_of(hashes: np.ndarray) -> int:
-    """The majority of each bit over distinct shingles."""
-    ones = np.zeros(BITS, np.int64)
+def simhash_of(hashes: np.ndarray) -> np.ndarray:
+    """The majority of each of 128 bits over distinct shingles, as two 64-bit numbers."""
+    ones = np.zeros(2 * HALF, np.int64)
     for k in range(0, len(hashes), 50_000):
-        ones += np.unpackbits(hashes[k : k + 50_000].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
+        ones += np.unpackbits(np.ascontiguousarray(hashes[k : k + 50_000]).view(np.uint8).reshape(-1, 16), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)
 
 
 def sketches(docs: DataFrame, text: str, words: int = WORDS) -> DataFrame:
-    """Replace the text by ``node``, which names its set of shingles by 128 bits, and ``fingerprint``."""
+    """Replace the text by ``node``, which names its set of shingles by 128 bits, and the halves of its fingerprint."""
 
-    def one(value: str | None) -> tuple[str, int]:
+    def one(value: str | None) -> tuple[str, int, int]:
         hashes = shingles(value, words)
-        return xxhash.xxh3_128_hexdigest(hashes.tobytes()), signed(simhash_of(hashes))
+        first, second = simhash_of(hashes).view(np.int64).tolist()
+        return xxhash.xxh3_128_hexdigest(hashes[:, 0].tobytes()), first, second
 
     def make():
-        return lambda values: [list(x) for x in zip(*map(one, values))] if values else [[], []]
+        return lambda values: [list(x) for x in zip(*map(one, values))] if values else [[], [], []]
 
-    return map_column(docs, text, [T.StructField("node", T.StringType()), T.StructField("fingerprint", T.LongType())], make)
+    new = [T.StructField("node", T.StringType()), T.StructField("fingerprint", T.LongType()), T.StructField("second", T.LongType())]
+    return map_column(docs, text, new, make)
+
+
+def distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Bits in which fingerprints differ, by numpy's rules for shapes; the last axis holds the halves."""
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
 
 
 # Which bits, which radius ---------------------------------------------------------------
@@ -67,19 +76,21 @@ def plan(nodes: int, similarity: float = SIMILARITY, recall: float = RECALL) ->
     """Radius and masks of bits, so that pairs at the similarity lie in the radius and share a mask's bits with the recall.
 
     Sets of equal size with Jaccard J have the cosine 2J / (1 + J); a bit differs with probability angle / pi.
-    The radius is two and a half standard deviations above the mean distance; the number of masks
-    is the least that reaches the recall over all distances within the radius.
+    The radius, over 128 bits, is two and a half standard deviations above the mean distance, far below
+    what unrelated texts have. Masks choose among the first 64 bits; their number is the least that
+    reaches the recall over all distances there.
     """
     differs = acos(2 * similarity / (1 + similarity)) / pi
-    radius = ceil(BITS * differs + 2.5 * sqrt(BITS * differs * (1 - differs)))
+    radius = ceil(2 * HALF * differs + 2.5 * sqrt(2 * HALF * differs * (1 - differs)))
+    within = sum(comb(2 * HALF, d) * differs**d * (1 - differs) ** (2 * HALF - d) for d in range(radius + 1))
     bits = min(24, max(4, ceil(log2(max(nodes, 1) / SHARD_VALUES))))
-    likely = [comb(BITS, d) * differs**d * (1 - differs) ** (BITS - d) for d in range(radius + 1)]
-    shared = [comb(BITS - d, bits) / comb(BITS, bits) for d in range(radius + 1)]
+    likely = [comb(HALF, d) * differs**d * (1 - differs) ** (HALF - d) for d in range(HALF + 1)]
+    shared = [comb(HALF - d, bits) / comb(HALF, bits) for d in range(HALF + 1)]
     tables = 1
-    while sum(p * (1 - (1 - s) ** tables) for p, s in zip(likely, shared)) < recall:
+    while within * sum(p * (1 - (1 - s) ** tables) for p, s in zip(likely, shared)) < recall:
         tables += ceil(tables / 50)
     rng = np.random.default_rng(1)
-    return radius, [sum(1 << int(b) for b in rng.choice(BITS, bits, replace=False)) for _ in range(tables)]
+    return radius, [sum(1 << int(b) for b in rng.choice(HALF, bits, replace=False)) for _ in range(tables)]
 
 
 # Trees ----------------------------------------------------------------------------------
@@ -93,7 +104,7 @@ class Rings:
         self.places = places
         if not self.leaf:
             self.pivot, rest = places[0], places[1:]
-            away = np.bitwise_count(values[rest] ^ values[self.pivot])
+            away = distance(values[rest], values[self.pivot])
             self.children = {int(d): Rings(values, rest[away == d]) if d else rest[away == d] for d in np.unique(away)}
 
     def near(self, values: np.ndarray, asked: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -101,7 +112,7 @@ class Rings:
         if self.leaf:
             yield _within(values, asked, self.places, radius)
             return
-        away = np.bitwise_count(values[asked] ^ values[self.pivot]).astype(np.int64)
+        away = distance(values[asked], values[self.pivot])
         hit = asked[away <= radius]
         yield hit, np.full(len(hit), self.pivot)
         for d, child in self.children.items():
@@ -115,7 +126,7 @@ class Rings:
 
 
 def _within(values: np.ndarray, asked: np.ndarray, places: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    i, j = np.nonzero(np.bitwise_count(values[asked][:, None] ^ values[places][None, :]) <= radius)
+    i, j = np.nonzero(distance(values[asked][:, None], values[places][None, :]) <= radius)
     return asked[i], places[j]
 
 
@@ -132,7 +143,7 @@ def tree_pairs(values: np.ndarray, radius: int, groups: np.ndarray | None = None
             keep &= groups[earlier] != groups[later]
         later, earlier = later[keep], earlier[keep]
         if groups is None:
-            away = np.bitwise_count(values[later] ^ values[earlier])
+            away = distance(values[later], values[earlier])
             order = np.lexsort((earlier, away, later))
             later, earlier = later[order], earlier[order]
             rank = np.arange(len(later)) - np.searchsorted(later, later)
@@ -147,14 +158,15 @@ def candidates(nodes: DataFrame, radius: int, masks: list[int], by_group: bool =
     groups is told, else each node's nearest in its shard.
     """
     dealt = F.array(*[F.struct(F.lit(k).alias("table"), F.col("fingerprint").bitwiseAND(F.lit(signed(m))).alias("shared")) for k, m in enumerate(masks)])
-    rows = nodes.select("node", "fingerprint", *(["group"] if by_group else []), F.explode(dealt).alias("s")).select("s.*", "node", "fingerprint", *(["group"] if by_group else []))
+    own = ["node", "fingerprint", "second", *(["group"] if by_group else [])]
+    rows = nodes.select(*own, F.explode(dealt).alias("s")).select("s.*", *own)
     ordered = rows.repartition("table", "shared").sortWithinPartitions("table", "shared", "fingerprint", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
         for shard in runs(batches, ["table", "shared"]):
             names = shard.column("node")
-            values = shard.column("fingerprint").to_numpy().view(np.uint64)
+            values = np.stack([shard.column(c).to_numpy().view(np.uint64) for c in ("fingerprint", "second")], axis=1)
             groups = np.unique(shard.column("group").to_numpy(), return_inverse=True)[1] if by_group else None
             for later, earlier in tree_pairs(values, radius, groups):
                 a.append(names[later].as_py())
@@ -177,7 +189,7 @@ def checked(pairs: DataFrame, marked: DataFrame, nodes: DataFrame, text: str, si
     rows = marked.join(nodes.join(wanted, "node").select("node", "__one", "__two"), ["__one", "__two"])
 
     def make():
-        return lambda values: [[np.unique(shingles(v, words).astype(np.uint32)).view(np.int32).tolist() for v in values]]
+        return lambda values: [[np.unique(shingles(v, words)[:, 0].astype(np.uint32)).view(np.int32).tolist() for v in values]]
 
     sets = map_column(rows.select("node", text), text, [T.StructField("set", T.ArrayType(T.IntegerType()))], make).dropDuplicates(["node"])
     sets = stored(sets, "shingles")
@@ -195,15 +207,16 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", sim
     one, two = fingerprint(f"`{key}`", f"`{text}`")
     texts = docs.select(one.alias("__one"), two.alias("__two"), F.col(f"`{key}`").alias("__key"), F.col(f"`{text}`").alias("__text"))
     told = stored(sketches(texts, "__text", words), "sketches")
-    nodes = stored(told.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.min(F.struct("__one", "__two")).alias("r")).select("node", "fingerprint", "r.*"), "nodes")
+    nodes = stored(told.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.first("second").alias("second"), F.min(F.struct("__one", "__two")).alias("r")).select("node", "fingerprint", "second", "r.*"), "nodes")
     radius, masks = plan(nodes.count(), similarity)
     near = stored(candidates(nodes, radius, masks), "nearest")
     edges = stored(checked(near, texts, nodes, "__text", similarity, words), "links")
     first = components(edges)
-    grouped = nodes.join(first.withColumnRenamed("component", "group"), nodes["node"] == first["node"], "left").select(nodes["node"], "fingerprint", F.coalesce("group", nodes["node"]).alias("group"))
+    grouped = nodes.join(first.withColumnRenamed("component", "group"), nodes["node"] == first["node"], "left").select(nodes["node"], "fingerprint", "second", F.coalesce("group", nodes["node"]).alias("group"))
     others = stored(candidates(grouped, radius, masks, by_group=True).join(near, ["a", "b"], "left_anti"), "between")
-    more = checked(others, texts, nodes, "__text", similarity, words)
-    groups = components(edges.unionByName(more))
+    groups = first
+    if not others.isEmpty():
+        groups = components(edges.unionByName(checked(others, texts, nodes, "__text", similarity, words)))
     return told.join(groups, "node", "left").select("__one", "__two", "__key", F.coalesce("component", "node").alias("component"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm.common import register, table
+from marketlens.llm.common import free, register, table
 from marketlens.llm.simhash import runs
 from marketlens.session import stored
 
@@ -337,10 +337,10 @@ def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Reco
             )
 
 
-def _kept(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+def _kept(batches: Iterator[pa.RecordBatch], names: list[str], text_column: str, parts_column: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         words_of, removed, spans, kept = [], [], [], []
-        for text, parts in zip(batch.column("__text").to_pylist(), batch.column("__parts").to_pylist()):
+        for text, parts in zip(batch.column(text_column).to_pylist(), batch.column(parts_column).to_pylist()):
             words = text.encode().split() if text else []
             own, last = [], 0
             for a, b in sorted((p["first"], p["first"] + p["n"]) for p in parts or []):
@@ -374,10 +374,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     repeat word for word are settled there by digest; an FM-index over each shard's distinct passages
     decides the rest by backward search. An anchor with more than HOT_ANCHOR distinct passages is
     too large for one index: its windows are grouped by 128-bit digest, which splits freely.
+    Input columns with a new column's name give way, others may have any name; an empty table gives no rows.
     """
     names = [c for c in docs.columns if c not in (text, "n_words", "n_removed", "spans", "kept_text")]
     marked = docs.select(
-        F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")
+        F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.col(f"`{text}`")).alias("mark"), F.col(f"`{text}`").alias("text")
     )
     passages = marked.mapInArrow(
         lambda b: _passages(b, window, anchor), "doc long, mark long, anchor long, first long, n long, one long, two long"
@@ -396,13 +397,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     least = windows.groupBy("one", "two").agg(F.min("doc").alias("least"))
     digested = windows.join(least, ["one", "two"]).filter("doc > least").select("doc", "mark", "first", F.lit(window).cast("long").alias("n"))
     parts = covered.union(indexed).union(digested).groupBy("doc", "mark").agg(F.collect_set(F.struct("first", "n")).alias("__parts"))
+    own, of, mark, found = free(docs, "__text", "__doc", "__mark", "__parts")
     whole = docs.select(
-        *names, F.col(text).alias("__text"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("mark")
+        *[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(own), F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(LAST)).alias(of), F.xxhash64(F.col(f"`{text}`")).alias(mark)
     )
-    joined = whole.join(parts, ["doc", "mark"], "left").drop("doc", "mark")
+    told = parts.select(F.col("doc").alias("__p_doc"), F.col("mark").alias("__p_mark"), F.col("__parts").alias(found))
+    told = told.withColumnsRenamed(dict(zip(("__p_doc", "__p_mark"), free(whole, "__p_doc", "__p_mark"))))
+    p_doc, p_mark = told.columns[:2]
+    joined = whole.join(told, (F.col(of) == F.col(p_doc)) & (F.col(mark) == F.col(p_mark)), "left").drop(of, mark, p_doc, p_mark)
     kinds = T.StructType([docs.schema[c] for c in names])
     out = f"{_ddl(kinds)}n_words long, n_removed long, spans array<struct<first long, end long>>, kept_text string".replace("first long, end long", "first: bigint, end: bigint")
-    return joined.mapInArrow(lambda b: _kept(b, names), out)
+    return joined.mapInArrow(lambda b: _kept(b, names, own, found), out)
 
 
 def _ddl(kinds: T.StructType) -> str:

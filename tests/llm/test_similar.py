@@ -81,13 +81,14 @@ def test_one_of_each_group_stays(spark):
 
 def test_tree_finds_all_pairs_in_the_radius():
     rng = np.random.default_rng(5)
-    values = rng.integers(0, 2**63, 900).astype(np.uint64)
-    near = values[:300] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
-    values = np.concatenate([values, near, values[:20], np.full(700, values[0])])
-    for radius in (0, 3, 16):
+    values = rng.integers(0, 2**63, (900, 2)).astype(np.uint64)
+    near = values[:300].copy()
+    near[:, 1] ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+    values = np.concatenate([values, near, values[:20], np.tile(values[0], (700, 1))])
+    away = np.bitwise_count(values[:, None] ^ values[None, :]).sum(-1, dtype=int)
+    for radius in (0, 3, 40):
         tree = Rings(values, np.arange(len(values)))
         found = {(int(i), int(j)) for a, b in tree.near(values, np.arange(len(values)), radius) for i, j in zip(a, b)}
-        away = np.bitwise_count(values[:, None] ^ values[None, :])
         assert found == {(int(i), int(j)) for i, j in zip(*np.nonzero(away <= radius))}
     first = list(tree_pairs(values, 3))
     assert max(np.bincount([a for a, _ in first])) <= similar.NEAREST
@@ -96,19 +97,20 @@ def test_tree_finds_all_pairs_in_the_radius():
 
 
 def test_plan_reaches_its_recall():
-    """Pairs of sets at Jaccard 0.8: how many share a mask and lie within the radius."""
+    """Pairs of sets at Jaccard 0.8: how many share a mask and lie within the radius; unrelated sets never do."""
     rng = np.random.default_rng(7)
     for nodes in (1_000, 250_000, 10**8):
         radius, masks = plan(nodes)
         hits, n = 0, 200
         for _ in range(n):
-            pool = rng.integers(0, 2**63, 500).astype(np.uint64)
-            a, b = (simhash_of(np.sort(np.concatenate([pool[:400], pool[k : k + 50]]))) for k in (400, 450))
-            hits += (a ^ b).bit_count() <= radius and any((a ^ b) & m == 0 for m in masks)
+            pool = rng.integers(0, 2**63, (500, 2)).astype(np.uint64)
+            a, b, other = (simhash_of(p) for p in (pool[:450], np.concatenate([pool[:400], pool[450:]]), rng.integers(0, 2**63, (450, 2)).astype(np.uint64)))
+            hits += similar.distance(a, b) <= radius and any(int(a[0] ^ b[0]) & m == 0 for m in masks)
+            assert similar.distance(a, other) > radius
         assert hits >= 0.9 * n, (nodes, hits)  # 0.95 expected
 
 
 def test_shingles_of_odd_texts():
     assert len(shingles(None)) == len(shingles(" \t")) == 0 and len(shingles("a b")) == 1
-    assert len(shingles("A B c d e")) == 1 and (shingles("A B") == shingles("a  b")).all()
+    assert len(shingles("A B c d e")) == 1 and (shingles("A B") == shingles("a  b")).all() and shingles(None).shape == (0, 2)
     assert len(shingles("w " * 10_000)) == 1 and len(shingles("É f")) == 1
