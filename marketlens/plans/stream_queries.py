@@ -93,7 +93,7 @@ def live_sale_stream(spark, d):
 
 @query("stream_hourly_fill", HOURLY)
 def stream_hourly_fill(spark, d):
-    path = through_batches(spark, live_sale_stream(spark, d), "fill", lambda p: live.hours_upserter(p, ["item_id"]))
+    path = through_batches(spark, live_sale_stream(spark, d), "fill", lambda p: live.hours_upserter(p, ["item_id"], live.DAILY_SPAN))
     return live.hours_table(spark, path, ["item_id"]).fillna({"max": -1, "min": -1})
 
 

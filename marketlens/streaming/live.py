@@ -14,6 +14,8 @@ from marketlens.session import configure
 
 # Fixed values of the stream contract.
 HOUR_GRACE = "1 minute"
+# Date patterns of the hourly table's folders.
+HOURLY_SPAN, DAILY_SPAN = "yyyyMMddHH", "yyyyMMdd"
 
 
 def file_events(spark: SparkSession, folder: str, schema: StructType | str, glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -150,40 +152,41 @@ def _delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _versions(spark: SparkSession, path: str, hour: str) -> list[int]:
-    """The batches that left a version of an hour, oldest first."""
-    return sorted(int(name.split("=")[1]) for name in children(spark, f"{path}/hour={hour}") if name.startswith("upto="))
+def _versions(spark: SparkSession, path: str, span: str) -> list[int]:
+    """The batches that left a version of a span, oldest first."""
+    return sorted(int(name.split("=")[1]) for name in children(spark, f"{path}/span={span}") if name.startswith("upto="))
 
 
-def hours_upserter(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+def hours_upserter(path: str, keys: list[str], span: str = HOURLY_SPAN) -> Callable[[DataFrame, int], None]:
     """Batch writer that keeps the hourly table up to date at the cost of the hours a batch touches.
 
-    An hour's mergeable sums stand in ``path/hour=H/upto=N``, N the last batch that touched it. Batch N
+    The mergeable sums of an hour stand in ``path/span=H/upto=N``, N the last batch that touched it. Batch N
     reads the version before N of its own hours only, adds its rows and overwrites version N,
     so a replay gives the same files. Versions before that one are of no use any more and
-    go: the batch that could ask for them has been committed.
+    go: the batch that could ask for them has been committed. ``span`` is the date pattern of a folder;
+    a job that fills months in one batch takes DAILY_SPAN, for fewer and larger files.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         own_path = f"{path}-incoming/batch_id={number}"
-        sums = hour_partials(batch.filter("highest_bid > 1"), keys).withColumn("hour", F.date_format("date", "yyyyMMddHH"))
+        sums = hour_partials(batch.filter("highest_bid > 1"), keys).withColumn("span", F.date_format("date", span))
         sums.write.mode("overwrite").parquet(own_path)
         own = spark.read.schema(sums.schema).parquet(own_path)
-        touched = [row.hour for row in own.select("hour").distinct().collect()]  # the calendar bounds them
-        versions = {hour: _versions(spark, path, hour) for hour in touched}
-        before = {hour: max((v for v in held if v < number), default=None) for hour, held in versions.items()}
-        folders = [f"{path}/hour={hour}/upto={v}" for hour, v in before.items() if v is not None]
+        touched = [row.span for row in own.select("span").distinct().collect()]  # the calendar bounds them
+        versions = {part: _versions(spark, path, part) for part in touched}
+        before = {part: max((v for v in held if v < number), default=None) for part, held in versions.items()}
+        folders = [f"{path}/span={part}/upto={v}" for part, v in before.items() if v is not None]
         both = own
         if folders:
-            schema = sums.drop("hour").schema.add("hour", "string").add("upto", "integer")
+            schema = sums.drop("span").schema.add("span", "string").add("upto", "integer")
             both = own.unionByName(spark.read.schema(schema).option("basePath", path).parquet(*folders).drop("upto"))
-        merged = both.groupBy(*keys, "date", "hour").agg(*[fold(c).alias(c) for c, fold in MERGES.items()]).withColumn("upto", F.lit(number))
-        merged.repartition("hour").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "upto").parquet(path)
-        for hour, held in versions.items():
+        merged = both.groupBy(*keys, "date", "span").agg(*[fold(c).alias(c) for c, fold in MERGES.items()]).withColumn("upto", F.lit(number))
+        merged.repartition("span").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("span", "upto").parquet(path)
+        for part, held in versions.items():
             for v in held:
-                if before[hour] is not None and v < before[hour]:
-                    _delete(spark, f"{path}/hour={hour}/upto={v}")
+                if before[part] is not None and v < before[part]:
+                    _delete(spark, f"{path}/span={part}/upto={v}")
         _delete(spark, f"{path}-incoming/batch_id={number - 1}")
 
     return write
@@ -192,8 +195,8 @@ def hours_upserter(path: str, keys: list[str]) -> Callable[[DataFrame, int], Non
 def hours_table(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     """The hourly table: the newest version of every hour."""
     held = spark.read.option("basePath", path).parquet(path)
-    newest = held.groupBy("hour").agg(F.max("upto").alias("upto"))  # folder names only, as many as there are hours
-    return merged_hours(held.join(newest, ["hour", "upto"]), keys)
+    newest = held.groupBy("span").agg(F.max("upto").alias("upto"))  # folder names only, as many as there are spans
+    return merged_hours(held.join(newest, ["span", "upto"]), keys)
 
 
 # Late points ---------------------------------------------------------------------

@@ -172,7 +172,7 @@ def test_hour_upserts_touch_their_hours_only(spark, tmp_path, rows_of):
     before = files()
     writer(batch(2), 2)
     hours = {x.h for x in batch(2).select(F.date_format("end", "yyyyMMddHH").alias("h")).distinct().collect()}
-    untouched = {p: m for p, m in before.items() if p.split("hour=")[1][:10] not in hours}
+    untouched = {p: m for p, m in before.items() if p.split("span=")[1][:10] not in hours}
     assert untouched and all(files()[p] == m for p, m in untouched.items())
     columns = ["item_id", "date", "avg", "max", "min", "volume"]
     expected = r.price_rollup(batch(0).union(batch(1)).union(batch(2)).filter("highest_bid > 1"), ["item_id"], "hour")
@@ -187,5 +187,5 @@ def test_hour_upserts_touch_their_hours_only(spark, tmp_path, rows_of):
     writer(batch(1), 5)
     expected = r.price_rollup(batch(0).union(batch(1)).union(batch(2)).union(more).union(batch(1)).filter("highest_bid > 1"), ["item_id"], "hour")
     assert rows_of(live.hours_table(spark, path, ["item_id"]), *columns) == rows_of(expected, *columns)
-    versions = [len(list(p.glob("upto=*"))) for p in Path(path).glob("hour=*")]
+    versions = [len(list(p.glob("upto=*"))) for p in Path(path).glob("span=*")]
     assert max(versions) <= 2
