@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,6 +23,10 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 HOUR, DAY = 3_600_000_000, 86_400_000_000
 #: A key of the live lists is kept in so many parts, so that no item's sales meet in one task.
 PARTS = 4
+#: Small states are kept together in so many pages, each read and written at once; a call to the state store costs more than many rows.
+PAGES = 2_048
+#: Marks of closed auctions are taken away at so many times in a horizon.
+MARK_STEPS = 24
 #: Days before an alert that fired may fire again.
 COOL_DOWN_DAYS = 7
 
@@ -31,10 +35,20 @@ def micros(column: str) -> Column:
     return F.unix_micros(F.col(column))
 
 
-def keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, event_time: bool = False) -> DataFrame:
-    """Run a processor over the rows of each key of each batch."""
+def keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, schema: str, event_time: bool = False, frames: bool = True) -> DataFrame:
+    """Run a processor over the rows of each key of each batch.
+
+    It gets and gives pandas frames or, without ``frames``, plain rows: for a key of a few rows a frame costs more than they do.
+    """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    return stream.groupBy(*keys).transformWithStateInPandas(processor, schema, "append", "eventTime" if event_time else "none")
+    grouped = stream.groupBy(*keys)
+    run = grouped.transformWithStateInPandas if frames else grouped.transformWithState
+    return run(processor, schema, "append", "eventTime" if event_time else "none")
+
+
+def paged(*keys: str, pages: int = PAGES) -> Column:
+    """The page that holds a key's state; it must not change while a checkpoint lives."""
+    return F.pmod(F.xxhash64(*keys), F.lit(pages)).cast("int").alias("page")
 
 
 def kept(spark: SparkSession, checkpoint: str, name: str) -> DataFrame:
@@ -53,46 +67,52 @@ def _rows(chunks: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
 
 
 class ActiveSet(StatefulProcessor):
-    """The last event of each auction by (time, number). Closing events stay as a mark until events that old can no longer come."""
+    """The last event of each auction of a page by (time, number). Closing events stay as a mark until events that old can no longer come."""
 
     def __init__(self, horizon: int, opening: list[str]):
         self.horizon, self.opening = horizon, opening
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.last = handle.getValueState("last", "at long, event_id long, kind string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        newest = None
-        for chunk in rows:  # one row at a time is kept, however many events an auction has
-            top = chunk.sort_values(["at", "event_id"]).iloc[-1]
-            mine = (int(top["at"]), int(top["event_id"]), top["kind"])
-            newest = mine if newest is None or mine > newest else newest
-        before = self.last.get()
-        if before is not None and tuple(before)[:2] >= newest[:2]:
-            return
-        self.last.update(newest)
-        active = newest[2] in self.opening
-        if not active:
-            self.handle.registerTimer((newest[0] + self.horizon) // 1000 + 1)
-        yield pd.DataFrame({"uuid": [key[0]], "event_id": [newest[1]], "at": [newest[0]], "kind": [newest[2]], "active": [active]})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = self.last.get()
-        if last is not None and last[2] not in self.opening and last[0] + self.horizon < timerValues.getCurrentWatermarkInMs() * 1000:
-            self.last.clear()
+        self.last = handle.getListState("last", "uuid string, at long, event_id long, kind string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        newest = {}
+        for row in rows:  # one row of an auction at a time is kept, however many events it has
+            mine = (row["at"], row["event_id"], row["kind"])
+            if row["uuid"] not in newest or mine[:2] > newest[row["uuid"]][:2]:
+                newest[row["uuid"]] = mine
+        last = {held[0]: tuple(held)[1:] for held in self.last.get()}
+        newest = {uuid: mine for uuid, mine in newest.items() if uuid not in last or mine[:2] > last[uuid][:2]}
+        if newest:
+            self._keep({**last, **newest})
+        for uuid, (at, number, kind) in newest.items():
+            yield Row(uuid=uuid, event_id=number, at=at, kind=kind, active=kind in self.opening)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held = {h[0]: tuple(h)[1:] for h in self.last.get()}
+        self._keep({uuid: last for uuid, last in held.items() if last[2] in self.opening or last[0] + self.horizon >= now})
         yield from ()
 
+    def _keep(self, last: dict) -> None:
+        _replace(self.last, [(uuid, *mine) for uuid, mine in last.items()])
+        closed = [at for at, _, kind in last.values() if kind not in self.opening]
+        if closed:  # the marks that close in the same part of the horizon go together
+            step = max(1, self.horizon // MARK_STEPS)
+            self.handle.registerTimer((-(-(min(closed) + self.horizon) // step) * step) // 1000 + 1)
+
 
-def active_changes(events: DataFrame, delay: str = "1 day", horizon: int = DAY) -> DataFrame:
+def active_changes(events: DataFrame, delay: str = "1 day", horizon: int = DAY, pages: int = PAGES) -> DataFrame:
     """A change row for every auction that appears, moves or leaves: (uuid, event_id, at, kind, active).
 
     ``events`` has ``uuid``, ``event_id``, ``kind`` and ``ts``. Events may come out of order by up to
     ``delay``; older ones are late and dropped. A closed auction is forgotten ``horizon``
-    microseconds of event time after it closed, which must cover the delay.
+    microseconds of event time after it closed (up to a 24th later), which must cover the delay. Auctions
+    are kept in ``pages``; a batch reads and writes the pages its auctions fall in.
     """
-    timed = events.withWatermark("ts", delay).select("uuid", "event_id", "kind", "ts", micros("ts").alias("at"))
-    return keyed(timed, ["uuid"], ActiveSet(horizon, OPENING), "uuid string, event_id long, at long, kind string, active boolean", event_time=True)
+    timed = events.withWatermark("ts", delay).select(paged("uuid", pages=pages), "uuid", "event_id", "kind", "ts", micros("ts").alias("at"))
+    return keyed(timed, ["page"], ActiveSet(horizon, OPENING), "uuid string, event_id long, at long, kind string, active boolean", event_time=True, frames=False)
 
 
 def active_now(spark: SparkSession, checkpoint: str) -> DataFrame:
