@@ -289,24 +289,25 @@ def newer_points(points: DataFrame, key: str) -> DataFrame:
 
 
 class CoolDown(StatefulProcessor):
-    """The first day each subscription may fire again; hits before it are passed over."""
+    """The first day each subscription of a page may fire again; hits before it are passed over."""
 
     def __init__(self, days: int):
         self.days = days
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.free = handle.getValueState("not_before", "day int")
+        self.free = handle.getListState("not_before", "id string, product_id string, day int")
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = self.free.get()
-        free, fired = (None if held is None else held[0]), []
-        for day in _rows(rows, ["day"])["day"].tolist():
-            if free is None or day >= free:
-                fired.append(day)
-                free = day + self.days
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        free = {(held[0], held[1]): held[2] for held in self.free.get()}
+        fired = []
+        for who, day in sorted(((row["id"], row["product_id"]), row["day"]) for row in rows):
+            if who not in free or day >= free[who]:
+                fired.append((who, day))
+                free[who] = day + self.days
         if fired:
-            self.free.update((free,))
-            yield pd.DataFrame({"id": key[0], "product_id": key[1], "day": fired})
+            self.free.put([(*who, day) for who, day in free.items()])
+        for (id_, product), day in fired:
+            yield Row(id=id_, product_id=product, day=day)
 
 
 def alert_hits(subscriptions: DataFrame, points: DataFrame, key: str, delay: str = "1 minute") -> DataFrame:
@@ -333,4 +334,5 @@ def alert_hits(subscriptions: DataFrame, points: DataFrame, key: str, delay: str
 def fired_alerts(subscriptions: DataFrame, points: DataFrame, key: str, cool_down: int = COOL_DOWN_DAYS, delay: str = "1 minute") -> DataFrame:
     """Every firing (id, key, day): a hit not before the subscription's day, which then moves on by ``cool_down`` days."""
     hits = alert_hits(subscriptions, points, key, delay).withColumnRenamed(key, "product_id")
-    return keyed(hits, ["id", "product_id"], CoolDown(cool_down), "id string, product_id string, day int").withColumnRenamed("product_id", key)
+    hits = hits.select(paged("id", "product_id"), "id", "product_id", "day")
+    return keyed(hits, ["page"], CoolDown(cool_down), "id string, product_id string, day int", frames=False).withColumnRenamed("product_id", key)

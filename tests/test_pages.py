@@ -26,3 +26,21 @@ def test_active_set_in_three_pages(spark, tmp_path, rows_of):
     assert rows_of(state.active_now(spark, str(tmp_path / "c")), *columns) == rows_of(e.active_set(spark.createDataFrame(rows, schema), "uuid", ["ts", "event_id"]), *columns)
     held = state.kept(spark, str(tmp_path / "c"), "last")
     assert held.count() == 60 and held.select(F.col("page")).distinct().count() == 3
+
+
+def test_cool_downs_of_a_page_stay_apart(spark, tmp_path):
+    """Three batches of one page: each subscription waits for its own cool-down."""
+    schema = "product_id string, ts timestamp, buy_price double, sell_price double"
+    for first in (0, 3, 6):
+        rows = [(p, START + timedelta(days=d, hours=1), 5.0, 1.0) for d in range(first, first + 3) for p in "ab"]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    day = (START - datetime(1970, 1, 1)).days
+    wishes = [(n, "ab"[n % 2], 10.0, 1, day + n % 3) for n in range(30)]
+    stream = live.file_events(spark, str(tmp_path / "in"), schema, files_per_batch=1)
+    fired = state.fired_alerts(spark.createDataFrame(wishes, "id long, product_id string, price double, type int, not_before_day int"), stream, "product_id", cool_down=3)
+    query = live.file_sink(fired, str(tmp_path / "t"), str(tmp_path / "c"))
+    query.awaitTermination()
+    assert query.exception() is None
+    got = {(int(x.id), x.day - day) for x in spark.read.parquet(str(tmp_path / "t")).collect()}
+    assert got == {(n, d) for n in range(30) for d in range(n % 3, 8, 3)}
+    assert "page" in state.kept(spark, str(tmp_path / "c"), "not_before").columns
