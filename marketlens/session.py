@@ -76,10 +76,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give an input of few files to all cores before costly row work.
+#: Rows of a task in costly row work.
+SPREAD_ROWS = 25_000
 
-    An input with at least as many partitions as there are cores, so any big one, stays as it is.
+
+def spread(df: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
+    """Give an input of few files to all cores before costly row work, in tasks of a bounded number of rows.
+
+    An input that has as many partitions already stays as it is.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
