@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.names import clean_item_name, tag_to_name
 from marketlens.operators.listings import top_per
 from marketlens.rules.items import HIDDEN_NAMES
-from marketlens.session import stored
+from marketlens.session import spread, stored
 
 # Lead of an exact hit, length of result lists, the neutral name and its score.
 EXACT = 10_000_000
@@ -54,7 +54,7 @@ def _stored_index(hits: DataFrame, exact: Column, base: list[Column], n: int, na
 
 def player_index(players: DataFrame, n: int = SEARCH_RESULTS) -> DataFrame:
     """Built once for many searches: (source, prefix, uuid, name, hit_count), the best ``n`` per prefix and exact hits apart."""
-    rows = players.select("uuid", "name", "hit_count")
+    rows = spread(players.select("uuid", "name", "hit_count"))  # a row becomes dozens of entries, which a task sorts
     digits = F.least(F.length("uuid"), F.lit(UUID_DIGITS))
     entries = F.concat(
         F.transform(F.sequence(F.lit(1), F.greatest(F.length("name"), F.lit(1))), lambda i: F.struct(F.lit("name").alias("source"), F.lower(F.left("name", i)).alias("prefix"))),
