@@ -114,3 +114,32 @@ def test_shingles_of_odd_texts():
     assert len(shingles(None)) == len(shingles(" \t")) == 0 and len(shingles("a b")) == 1
     assert len(shingles("A B c d e")) == 1 and (shingles("A B") == shingles("a  b")).all() and shingles(None).shape == (0, 2)
     assert len(shingles("w " * 10_000)) == 1 and len(shingles("É f")) == 1
+
+
+def test_near_copies_below_the_similarity_are_not_laid_out_in_pairs(spark, monkeypatch):
+    """A large group in each other's radius, hardly any pair similar enough: no table grows with its square."""
+    n, base = 200, [f"c{k}" for k in range(200)]
+    texts = []
+    for k in range(n):
+        near = list(base)
+        for place in (k * 7 % 60, 65 + k * 11 % 60, 130 + k * 13 % 60):
+            near[place] = f"y{k}_{place}"
+        texts.append(" ".join(near))
+    pairs = [(i, j) for i in range(n) for j in range(i) if jaccard(texts[i], texts[j]) >= 0.8]
+    assert len(pairs) < n * n / 40
+    sizes = []
+    keep = similar.stored
+
+    def stored(df, name):
+        out = keep(df, name)
+        sizes.append((out.count(), name))
+        return out
+
+    monkeypatch.setattr(similar, "stored", stored)
+    docs = spark.createDataFrame([(k, t, "n", 1) for k, t in enumerate(texts)], SCHEMA)
+    found = {r["__key"]: r.component for r in similar_groups(docs).collect()}
+    tables = len(plan(n)[1])
+    assert max(sizes) <= (n * tables * similar.NEAREST, "z"), (sizes, tables)
+    expected = components_of(texts, pairs)
+    assert not any(found[i] == found[j] for i in range(n) for j in range(i) if expected[i] != expected[j])
+    assert sum(found[i] == found[j] for i, j in pairs) >= 0.9 * len(pairs)
