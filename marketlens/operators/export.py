@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from marketlens.operators.listings import pages_by_key
 from marketlens.streaming.live import children
 
+PAGES_TOGETHER = 100  # pages in one folder: a file for each would make their number the cost of the export
+
 
 def export_pages(rows: DataFrame, key: str, path: str, size: int = 1000, steps: int = 8) -> int:
-    """Write ``rows`` as ``path/pages/page=N``, N the key divided by ``size``; gives the number of steps done now.
+    """Write ``rows`` as pages, N the key divided by ``size``; gives the number of steps done now.
 
+    A folder ``path/pages/first_page=N`` holds the PAGES_TOGETHER pages from N on, or fewer where a step ends, in their
+    order, each row with its ``page``. Within a step only whole folders are written.
     The key range is cut into ``steps`` runs of whole pages. Each is one job, reads its own range only and
     enters its pages (page, rows, first, last) into ``path/manifest`` when they stand; a later call with the
     same rows skips the steps that are in the manifest and writes the others anew. Rows without a
-    key go to the page ``__HIVE_DEFAULT_PARTITION__`` of the first step. An empty table has no pages.
+    key go to the folder ``__HIVE_DEFAULT_PARTITION__`` of the first step. An empty table has no pages.
     """
     spark = rows.sparkSession
     paged = pages_by_key(rows, key, size)
@@ -31,7 +35,9 @@ def export_pages(rows: DataFrame, key: str, path: str, size: int = 1000, steps:
         low, high = first + step * width, first + (step + 1) * width
         here = F.col(key).between(low * size, high * size - 1)
         part = paged.filter(here | F.col(key).isNull() if step == 0 else here)
-        part.repartition("page").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("page").parquet(f"{path}/pages")
+        together = (F.lit(low) + F.floor((F.col("page") - low) / PAGES_TOGETHER) * PAGES_TOGETHER).alias("first_page")
+        folders = part.select("*", together).repartition("first_page").sortWithinPartitions("first_page", "page", key)
+        folders.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("first_page").parquet(f"{path}/pages")
         pages = part.groupBy("page").agg(F.count(F.lit(1)).alias("rows"), F.min(key).alias("first"), F.max(key).alias("last"))
         pages.write.mode("overwrite").parquet(f"{path}/manifest/step={step}")
         done += 1
@@ -46,5 +52,5 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 def exported(spark: SparkSession, path: str) -> DataFrame:
     """The rows of all whole pages; pages of a step that did not end are not read."""
     whole = manifest(spark, path).select(F.col("page").alias("__page"))
-    pages = spark.read.parquet(f"{path}/pages")
+    pages = spark.read.parquet(f"{path}/pages").drop("first_page")
     return pages.join(whole, F.col("page").cast("bigint").eqNullSafe(F.col("__page")), "left_semi")

@@ -103,3 +103,16 @@ def test_a_page_that_was_lost_halfway_is_not_read(spark, tmp_path):
     odd = spark.createDataFrame([(None,), (5,), (None,)], "id long")
     export.export_pages(odd, "id", str(tmp_path / "odd"))
     assert export.exported(spark, str(tmp_path / "odd")).count() == 3
+
+
+def test_pages_share_folders(spark, tmp_path):
+    """The number of folders grows with a hundredth of the pages, and no page is in two of them."""
+    path = str(tmp_path / "e")
+    export.export_pages(spark.range(0, 10_000).withColumn("x", F.col("id") * 3), "id", path, size=10, steps=3)
+    folders = [p for p in Path(path, "pages").iterdir() if p.is_dir()]
+    assert len(folders) <= 3 * 4
+    got = export.exported(spark, path)
+    assert got.columns == ["id", "x", "page"] and got.filter("page = floor(id / 10) and x = id * 3").count() == 10_000
+    written = spark.read.parquet(f"{path}/pages")
+    assert written.groupBy("page").agg(F.countDistinct("first_page").alias("n")).filter("n > 1").count() == 0
+    assert export.manifest(spark, path).count() == 1_000
