@@ -182,8 +182,8 @@ def _parts(key: Column, value: Column, fields: tuple[str, str]) -> Column:
 
 
 def _is_gem(g: Column) -> Column:
-    slot = F.regexp_extract(g["key"], GEM_SLOT, 1)
-    return (F.coalesce(slot.try_cast("int"), F.lit(GEM_SLOTS)) < GEM_SLOTS) & _object(g["value"]).isNotNull()
+    slot = F.regexp_extract(g["key"], GEM_SLOT, 1)  # read of objects only
+    return _object(g["value"]).isNotNull() & (F.coalesce(slot.try_cast("int"), F.lit(GEM_SLOTS)) < GEM_SLOTS)
 
 
 def _gems(members: Column) -> Column:
@@ -264,9 +264,10 @@ def flat_entries(attributes: Column) -> Column:
 def flat_rows(items: DataFrame, json: str = "attributes") -> DataFrame:
     """Long rows (…, key, type, text) for every attribute of every item."""
     keep = [c for c in items.columns if c != json]
-    has_pet = F.get_json_object(json, "$.petInfo").isNotNull().alias("has_pet")
+    # in a select of its own, below the explode: beside it, the text would be carried to and read again in every row made of it
+    told = items.select(*keep, json, F.get_json_object(json, "$.petInfo").isNotNull().alias("has_pet"))
     flat = _once(reduced(parsed(F.col(json))), flat_entries)
-    return items.select(*keep, has_pet, F.explode(flat).alias("e")).select(*keep, "has_pet", "e.*")
+    return told.select(*keep, "has_pet", F.explode(flat).alias("e")).select(*keep, "has_pet", "e.*")
 
 
 def soul_rows(items: DataFrame, json: str = "attributes") -> DataFrame:

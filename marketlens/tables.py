@@ -141,8 +141,9 @@ def attribute_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def attribute_documents(events: DataFrame) -> DataFrame:
     """(auction_id, attributes) of events, a table or a stream: one JSON text each, its shape chosen by the event type."""
-    k = F.get_json_object("props", "$.k")
-    digest = F.md5(F.col("event_id").cast("string"))
+    # in a select of their own, so that they are computed once a row, not at every place of a template
+    events = events.select("*", F.get_json_object("props", "$.k").alias("__k"), F.md5(F.col("event_id").cast("string")).alias("__digest"))
+    k, digest = F.col("__k"), F.col("__digest")
     uuid = F.concat_ws("-", *[F.substr(digest, F.lit(a), F.lit(n)) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
     short = F.left(digest, F.lit(12))
     user = F.col("user_id").cast("string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marketlens.operators import attributes as a
 from marketlens.session import spread
 
 
@@ -11,3 +12,12 @@ def test_tasks_grow_with_the_rows(spark):
     assert spread(one, rows=5000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     assert spread(spark.range(0, 1000, 1, 30), rows=50).rdd.getNumPartitions() == 30
     assert sorted(x.id for x in spread(one, rows=50).collect()) == list(range(1000))
+
+
+def test_attribute_text_is_not_carried_to_its_rows(spark):
+    items = spark.createDataFrame([(1, '{"petInfo":{"type":"BEE"},"skin":"BLUE","a":1}')], "auction_id long, attributes string")
+    rows = a.routed(a.flat_rows(items)).select("key", "route")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("get_json_object") > plan.index("Generate explode")  # read below the explode, once an item
+    assert "get_json_object" not in plan[: plan.index("Generate explode")]
+    assert ("skin", "skin") in [tuple(r) for r in rows.collect()]
