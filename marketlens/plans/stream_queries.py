@@ -13,7 +13,7 @@ from marketlens.operators.dictionaries import attribute_encoder
 from marketlens.plans.attribute_queries import ENCODED, named_items
 from marketlens.plans.price_queries import FEED, HOURLY, LIVE, POINTS
 from marketlens.plans.registry import query
-from marketlens.session import new_folder
+from marketlens.session import new_folder, spread_tasks
 from marketlens.streaming import live, state
 
 
@@ -215,7 +215,10 @@ def stream_active_set(spark, d):
 @query("stream_encoded_attributes", f"WITH {ENCODED} SELECT auction_id, key_id, value FROM enc")
 def stream_encoded_attributes(spark, d):
     """Attributes encoded as they arrive, by dictionaries that grow with each batch."""
-    documents = t.attribute_documents(event_stream(spark, d).select("event_id", "user_id", "event_type", "props"))
+    events = event_stream(spark, d).select("event_id", "user_id", "event_type", "props")
+    # a batch of few files goes to all cores before its documents are taken apart
+    tasks = spread_tasks(t.read(spark, d, "events"))
+    documents = t.attribute_documents(events.repartition(tasks))
     path = through_batches(spark, documents, "encoded", lambda p: attribute_encoder(p, named_items(spark, d)))
     return live.batches(spark, f"{path}/encoded")
 

@@ -80,10 +80,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 SPREAD_ROWS = 25_000
 
 
+def spread_tasks(df: DataFrame, rows: int = SPREAD_ROWS) -> int:
+    """Tasks of a bounded number of rows that an input wants, at least one per core."""
+    return max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+
+
 def spread(df: DataFrame, rows: int = SPREAD_ROWS) -> DataFrame:
     """Give an input of few files to all cores before costly row work, in tasks of a bounded number of rows.
 
     An input that has as many partitions already stays as it is.
     """
-    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // rows))
+    wanted = spread_tasks(df, rows)
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from marketlens.operators import attributes as a
-from marketlens.session import spread
+from marketlens.plans.stream_queries import stream_encoded_attributes
+from marketlens.session import shared_folder, spread
 
 
 def test_tasks_grow_with_the_rows(spark):
@@ -21,3 +24,24 @@ def test_attribute_text_is_not_carried_to_its_rows(spark):
     assert plan.rindex("get_json_object") > plan.index("Generate explode")  # read below the explode, once an item
     assert "get_json_object" not in plan[: plan.index("Generate explode")]
     assert ("skin", "skin") in [tuple(r) for r in rows.collect()]
+
+
+def test_numbers_pass_the_lookup_by(spark, rows_of):
+    routed = spark.createDataFrame(
+        [(1, "hpc", "number", 7, None, None, None), (2, "note", "json", None, '"x"', None, None), (3, "skin", "skin", None, None, None, "BLUE"), (4, "odd", "number", None, None, None, None)],
+        "auction_id long, key string, route string, number long, entry string, item_tag string, skin string",
+    )
+    keys = spark.createDataFrame([(1, "hpc"), (2, "note"), (3, "skin")], "id long, slug string")
+    values = spark.createDataFrame([(9, "note", '"x"')], "id long, key string, value string")
+    items = spark.createDataFrame([(5, "PET_SKIN_BLUE")], "id long, tag string")
+    found = a.encoded(routed, keys, values, items)
+    assert rows_of(found) == [(1, 1, 7), (2, 2, 9), (3, 3, 5), (4, 0, None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "__number" not in plan  # only rows with a text meet the table of texts
+
+
+def test_stream_batches_go_to_all_cores(spark):
+    before = set(Path(shared_folder(spark)).glob("batch-attributes-*"))
+    stream_encoded_attributes(spark, "/root/testdata/sf0.001").count()
+    (new,) = set(Path(shared_folder(spark)).glob("batch-attributes-*")) - before
+    assert len(list(new.glob("part-*"))) >= spark.sparkContext.defaultParallelism
