@@ -432,17 +432,17 @@ def encoded(routed_rows: DataFrame, keys: DataFrame, values: DataFrame, items: D
     """(auction_id, key_id, value): every attribute as two numbers. All texts meet one table in one join; unknown ones give 0."""
     small = F.broadcast(keys.select(F.col("slug").alias("key"), F.col("id").alias("key_id")))  # 16-bit ids, see key_dictionary
     kind = F.when(F.col("entry").isNotNull(), "entry").when(F.col("route").isin("item", "skin"), F.col("route"))
-    rows = routed_rows.select(
+    # a row that is its own number needs no look-up, and most are: they are not shuffled
+    own = routed_rows.filter(kind.isNull()).select("auction_id", "key", F.col("number").alias("value"))
+    rows = routed_rows.filter(kind.isNotNull()).select(
         "auction_id",
         F.col("key").alias("__key"),
-        F.col("number").alias("__number"),
         kind.alias("kind"),
-        F.when(kind == "entry", F.col("key")).when(kind.isNotNull(), "").alias("key"),
+        F.when(kind == "entry", F.col("key")).otherwise("").alias("key"),
         F.coalesce("entry", "item_tag", "skin").alias("text"),
     )
     told = hot_join(rows, reference_table(values, items), ["kind", "key", "text"], "left", hot_rows=hot_rows)
-    value = F.when(F.col("kind").isNull(), F.col("__number")).otherwise(F.coalesce("found", F.lit(0)))
-    found = told.select("auction_id", F.col("__key").alias("key"), value.alias("value"))
+    found = own.unionByName(told.select("auction_id", F.col("__key").alias("key"), F.coalesce("found", F.lit(0)).alias("value")))
     return found.join(small, ["key"], "left").select("auction_id", F.coalesce("key_id", F.lit(0)).alias("key_id"), "value")
 
 
