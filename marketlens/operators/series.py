@@ -32,11 +32,20 @@ def with_upper_median(df: DataFrame, values: Column, out: str) -> DataFrame:
     return ordered.withColumn(out, F.greatest(middle, F.lit(1))).drop("__values")
 
 
-def daily_prices(sales: DataFrame, key: str) -> DataFrame:
-    """Whole-coin mean unit price per key and day number."""
+def _dealt(rows: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    return rows if parts is None else rows.repartition(parts, *keys)
+
+
+def daily_prices(sales: DataFrame, key: str, parts: int | None = None) -> DataFrame:
+    """Whole-coin mean unit price per key and day number.
+
+    Where most sales are alone on their day, combining before the shuffle only fills the memory of the tasks
+    that read; with ``parts`` the sales are dealt to that many tasks first.
+    """
     unit = F.expr("highest_bid div nullif(`count`, 0)")
     return (
-        sales.groupBy(key, day_number(F.col("end")).alias("day"))
+        _dealt(sales.select(key, "highest_bid", "count", day_number(F.col("end")).alias("day")), parts, key, "day")
+        .groupBy(key, "day")
         .agg(F.avg(unit).cast("bigint").alias("price"))
         .filter("price is not null")
     )
@@ -105,17 +114,18 @@ def gap_filled(prices: DataFrame, key: str, as_of: str, days: int = HISTORY_DAYS
     )
 
 
-def dated_prices(prices: DataFrame, wanted: DataFrame, key: str, days: int = HISTORY_DAYS) -> DataFrame:
+def dated_prices(prices: DataFrame, wanted: DataFrame, key: str, days: int = HISTORY_DAYS, parts: int | None = None) -> DataFrame:
     """The market price of each wanted (key, day).
 
     An observed day gives its smoothed price. Any other day is filled as in
     :func:`gap_filled` with that day as the last of the range: every wanted day
     looks back to the last observation and the five prices it carries, so no
-    calendar is laid out. Keys without history have no row.
+    calendar is laid out. Keys without history have no row. ``parts`` is the number of
+    tasks where it must follow the rows.
     """
-    asked = wanted.select(key, "day").distinct().select(key, "day", F.lit(None).cast(dict(prices.dtypes)["price"]).alias("price"), F.lit(True).alias("__asked"))
+    asked = _dealt(wanted.select(key, "day"), parts, key, "day").distinct().select(key, "day", F.lit(None).cast(dict(prices.dtypes)["price"]).alias("price"), F.lit(True).alias("__asked"))
     line = prices.select(key, "day", "price", F.lit(False).alias("__asked")).unionByName(asked)
-    line = line.groupBy(key, "day").agg(F.max("price").alias("price"), F.max("__asked").alias("__asked"))  # one row per key and day
+    line = _dealt(line, parts, key).groupBy(key, "day").agg(F.max("price").alias("price"), F.max("__asked").alias("__asked"))  # one row per key and day
     by_day = Window.partitionBy(key).orderBy("day")
     observed = F.col("price").isNotNull()
     point = F.when(observed, F.struct("day", "price"))  # nulls are not collected
@@ -136,16 +146,17 @@ def dated_prices(prices: DataFrame, wanted: DataFrame, key: str, days: int = HIS
     return with_upper_median(found, values, "__price").select(key, "day", F.col("__price").alias("price"))
 
 
-def with_price(rows: DataFrame, dated: DataFrame, key: str, hot_rows: int = 1_000_000) -> DataFrame:
+def with_price(rows: DataFrame, dated: DataFrame, key: str, hot_rows: int = 1_000_000, parts: int | None = None) -> DataFrame:
     """Add the price from a table of dated prices to rows with ``key`` and ``day``; without any history it is 1."""
-    return hot_join(rows, dated, [key, "day"], "left", hot_rows=hot_rows).withColumn(
+    return hot_join(rows, dated, [key, "day"], "left", hot_rows=hot_rows, parts=parts).withColumn(
         "price", F.coalesce("price", F.lit(NO_HISTORY)).cast("bigint")
     )
 
 
-def price_at(rows: DataFrame, prices: DataFrame, key: str, hot_rows: int = 1_000_000) -> DataFrame:
+def price_at(rows: DataFrame, prices: DataFrame, key: str, hot_rows: int = 1_000_000, parts: int | None = None) -> DataFrame:
     """Add the dated market price to rows with ``key`` and ``day``."""
-    return with_price(rows, dated_prices(prices, rows, key), key, hot_rows)
+    dated = dated_prices(prices, rows, key, parts=parts)
+    return with_price(_dealt(rows, parts, key, "day"), dated, key, hot_rows, parts)
 
 
 def keep_since(points: DataFrame, cut: str) -> DataFrame:

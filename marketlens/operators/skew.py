@@ -20,6 +20,7 @@ def hot_join(
     spread: list[str] | None = None,
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    parts: int | None = None,
 ) -> DataFrame:
     """Equi-join of a big ``left`` with a ``right`` whose keys repeat little.
 
@@ -27,7 +28,8 @@ def hot_join(
     or into more where a part would still hold over ``hot_rows`` rows, and only
     their rows on the right are copied. There are at most ``rows(left) / hot_rows``
     such keys, so the broadcast list of hot keys is small by construction. Rows
-    with a null key match nothing and are spread too.
+    with a null key match nothing and are spread too. ``parts`` is the number of
+    tasks where it must follow the rows; else the session's setting holds.
     """
     spread = spread or [name for name, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
     hot = (
@@ -37,10 +39,10 @@ def hot_join(
         .select(*on, F.greatest(F.lit(salts), F.ceil(F.col("__n") / hot_rows)).cast("int").alias("__parts"))
     )
     null_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    parts = F.when(null_key, F.lit(NULL_PARTS)).otherwise(F.coalesce("__parts", F.lit(1)))
+    cuts = F.when(null_key, F.lit(NULL_PARTS)).otherwise(F.coalesce("__parts", F.lit(1)))
     salted_left = (
         left.join(F.broadcast(hot), on, "left")
-        .withColumn("__salt", F.pmod(F.xxhash64(*spread), parts).cast("int"))
+        .withColumn("__salt", F.pmod(F.xxhash64(*spread), cuts).cast("int"))
         .drop("__parts")
     )
     salted_right = (
@@ -48,6 +50,8 @@ def hot_join(
         .withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1)))
         .drop("__parts")
     )
+    if parts is not None:
+        salted_left, salted_right = (x.repartition(parts, *on, "__salt") for x in (salted_left, salted_right))
     return salted_left.join(salted_right, [*on, "__salt"], how).drop("__salt")
 
 

@@ -8,6 +8,7 @@ from marketlens import tables as t
 from marketlens.operators import rollup as r
 from marketlens.operators import series as s
 from marketlens.plans.registry import query
+from marketlens.session import HELD_ROWS, spread_tasks
 from marketlens.sources.scans import book_rows, order_rows, pulls_with_books
 
 # The market roles in the oracle's own words.
@@ -277,7 +278,8 @@ def price_at_date(spark, d):
     asked = sales.select(
         "auction_id", "line", "item_id", (s.day_number(F.col("end")) + 45 * F.col("line")).alias("day")
     )
-    return s.price_at(asked, s.daily_prices(sales, "item_id"), "item_id")
+    parts = spread_tasks(sales, HELD_ROWS)
+    return s.price_at(asked, s.daily_prices(sales, "item_id", parts), "item_id", parts=parts)
 
 
 ARRIVAL = f"""(SELECT event_id, product_id, ts + k * INTERVAL 1 MINUTE AS date FROM {FEED})"""

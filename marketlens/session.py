@@ -76,8 +76,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-#: Rows of a task in costly row work.
+#: Rows of a task in costly row work, and of one that holds or sorts them.
 SPREAD_ROWS = 25_000
+HELD_ROWS = 250_000
 
 
 def spread_tasks(df: DataFrame, rows: int = SPREAD_ROWS) -> int:

@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from marketlens.operators import attributes as a
+from marketlens.operators import series as s
+from marketlens.operators import valuation as v
 from marketlens.plans.stream_queries import stream_encoded_attributes
 from marketlens.session import shared_folder, spread
 
@@ -45,3 +49,23 @@ def test_stream_batches_go_to_all_cores(spark):
     stream_encoded_attributes(spark, "/root/testdata/sf0.001").count()
     (new,) = set(Path(shared_folder(spark)).glob("batch-attributes-*")) - before
     assert len(list(new.glob("part-*"))) >= spark.sparkContext.defaultParallelism
+
+
+def test_sized_prices_hold_a_bounded_number_of_rows(spark, rows_of):
+    sales = spark.createDataFrame([(i % 7, 100 + i, 1, f"2024-01-{i % 28 + 1:02d}") for i in range(60)], "item_id long, highest_bid long, count int, end string").withColumn("end", F.to_timestamp("end"))
+    asked = sales.select("item_id", (s.day_number(F.col("end")) + 1).alias("day"))
+    plain = s.price_at(asked, s.daily_prices(sales, "item_id"), "item_id")
+    sized = s.price_at(asked, s.daily_prices(sales, "item_id", 5), "item_id", hot_rows=3, parts=5)
+    assert rows_of(sized) == rows_of(plain)
+    plan = sized._jdf.queryExecution().optimizedPlan().toString()
+    # sales, asked days, the line of both, the rows twice (to count and to join) and the prices they meet
+    assert plan.count("RepartitionByExpression") >= 6
+
+
+def test_sized_star_costs_join_in_as_many_tasks(spark, rows_of):
+    costs = [[("WITHER", 10, None, "ESSENCE")], [("WITHER", 20, None, "ESSENCE")]]
+    catalogue = spark.createDataFrame([("A", costs)], "tag string, upgrade_costs array<array<struct<essence_type:string,amount:int,item_id:string,type:string>>>")
+    asked = spark.createDataFrame([(i, "A", 0, i % 3) for i in range(40)], "id long, tag string, base_tier int, tier int")
+    sized = v.star_costs(asked, catalogue, hot_rows=5, parts=6)
+    assert rows_of(sized) == rows_of(v.star_costs(asked, catalogue))
+    assert sized._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
