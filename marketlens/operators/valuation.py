@@ -147,12 +147,12 @@ def star_parts(levels: Column, base: Column, tier: Column) -> Column:
     return F.when(levels.isNotNull(), F.concat(bought, extra)).otherwise(none)
 
 
-def star_costs(asked: DataFrame, catalogue: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
-    """(…, item, n) for rows with ``tag``, ``base_tier`` and ``tier``."""
+def star_costs(asked: DataFrame, catalogue: DataFrame, hot_rows: int = 1_000_000, parts: int | None = None) -> DataFrame:
+    """(…, item, n) for rows with ``tag``, ``base_tier`` and ``tier``. ``parts`` is the number of tasks where it must follow the rows."""
     levels = catalogue.select("tag", star_levels(F.col("upgrade_costs")).alias("__levels"))
-    priced = hot_join(asked, levels, ["tag"], "inner", hot_rows=hot_rows)
-    parts = star_parts(F.col("__levels"), F.col("base_tier"), F.col("tier"))
-    return priced.select(*asked.columns, F.explode(parts).alias("p")).select(*asked.columns, "p.item", "p.n")
+    priced = hot_join(asked, levels, ["tag"], "inner", hot_rows=hot_rows, parts=parts)
+    items = star_parts(F.col("__levels"), F.col("base_tier"), F.col("tier"))
+    return priced.select(*asked.columns, F.explode(items).alias("p")).select(*asked.columns, "p.item", "p.n")
 
 
 def new_entries(rows: DataFrame, existing: str, result: str, out: str) -> DataFrame:

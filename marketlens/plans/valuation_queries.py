@@ -10,7 +10,7 @@ from marketlens.plans.listing_queries import values, words
 from marketlens.plans.registry import query
 from marketlens.rules import colors
 from marketlens.rules import items as irules
-from marketlens.session import stored
+from marketlens.session import HELD_ROWS, spread_tasks, stored
 from marketlens.sources import catalogue as c
 
 
@@ -73,7 +73,9 @@ def star_costs(spark, d):
     rows = t.enchantments(spark, d).select(
         "auction_id", "line", t.catalogue_tag(F.col("item_id")).alias("tag"), (F.col("line") - 1).cast("int").alias("base_tier"), F.col("level").alias("tier")
     )
-    costs = v.star_costs(rows, catalogue(spark, d))
+    # items of a row are seldom equal, so adding them up before the shuffle would only fill the memory of the tasks that read
+    parts = spread_tasks(rows, HELD_ROWS)
+    costs = v.star_costs(rows, catalogue(spark, d), parts=parts).repartition(parts, "auction_id", "line")
     return costs.groupBy("auction_id", "line", "item").agg(F.sum("n").alias("n"))
 
 
