@@ -234,9 +234,11 @@ def property_items(properties: DataFrame, catalogue: DataFrame, keys: list[str],
     whole attribute map of the item. Only star and slot attributes look at the catalogue.
     """
     key, value = F.col("key"), F.col("value")
-    by_catalogue = F.when(key.isin("upgrade_level", "unlocked_slots"), F.col("tag")).alias("__cat")
-    lookup = _slot_table(catalogue).withColumnRenamed("tag", "__cat")
-    joined = hot_join(properties.select("*", by_catalogue), lookup, ["__cat"], "left", hot_rows=hot_rows)
+    by_catalogue = F.coalesce(key.isin("upgrade_level", "unlocked_slots") & F.col("tag").isNotNull(), F.lit(False))
+    lookup = _slot_table(catalogue)
+    joined = hot_join(properties.filter(by_catalogue), lookup, ["tag"], "left", hot_rows=hot_rows)
+    # the rest, most of them, are not shuffled
+    joined = joined.unionByName(properties.filter(~by_catalogue), allowMissingColumns=True)
     tier = F.coalesce(value.try_cast("int"), F.lit(0))
     none = F.array().cast("array<string>")
     slots = slot_parts(F.col("__slots"), F.col("__starred"), F.col("__has_starred"), none, F.split(value, "[ ,]"))

@@ -69,3 +69,16 @@ def test_sized_star_costs_join_in_as_many_tasks(spark, rows_of):
     sized = v.star_costs(asked, catalogue, hot_rows=5, parts=6)
     assert rows_of(sized) == rows_of(v.star_costs(asked, catalogue))
     assert sized._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 2
+
+
+def test_only_star_and_slot_attributes_meet_the_catalogue(spark, rows_of):
+    properties = spark.createDataFrame(
+        [(1, "A", "upgrade_level", "1", "", {}), (2, "A", "hpc", "3", "", {}), (3, None, "upgrade_level", "1", "", {}), (4, "A", None, "1", "", {})],
+        "id long, tag string, key string, value string, base string, flat map<string,string>",
+    )
+    costs = "upgrade_costs array<array<struct<essence_type:string,amount:int,item_id:string,type:string>>>"
+    slots = "gemstone_slots array<struct<slot_type:string,costs:array<struct<type:string,coins:int,item_id:string,amount:int>>>>"
+    catalogue = spark.createDataFrame([("A", [[("WITHER", 10, None, "ESSENCE")]], [])], f"tag string, {costs}, {slots}")
+    found = v.property_items(properties, catalogue, ["id"])
+    assert rows_of(found, "id", "item", "n") == [(1, "ESSENCE_WITHER", 10), (2, "HOT_POTATO_BOOK", 3)]
+    assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
