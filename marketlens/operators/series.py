@@ -146,9 +146,9 @@ def dated_prices(prices: DataFrame, wanted: DataFrame, key: str, days: int = HIS
     return with_upper_median(found, values, "__price").select(key, "day", F.col("__price").alias("price"))
 
 
-def with_price(rows: DataFrame, dated: DataFrame, key: str, hot_rows: int = 1_000_000, parts: int | None = None) -> DataFrame:
+def with_price(rows: DataFrame, dated: DataFrame, key: str, hot_rows: int = 1_000_000, parts: int | None = None, few: int = 0) -> DataFrame:
     """Add the price from a table of dated prices to rows with ``key`` and ``day``; without any history it is 1."""
-    return hot_join(rows, dated, [key, "day"], "left", hot_rows=hot_rows, parts=parts).withColumn(
+    return hot_join(rows, dated, [key, "day"], "left", hot_rows=hot_rows, parts=parts, few=few).withColumn(
         "price", F.coalesce("price", F.lit(NO_HISTORY)).cast("bigint")
     )
 

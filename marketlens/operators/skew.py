@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
+FEW_ROWS = 250_000  # rows of a narrow table that every task may hold
 SALTS = 64
 NULL_PARTS = 2**31 - 1  # rows without a key have no partner to copy
 
@@ -21,6 +22,7 @@ def hot_join(
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
     parts: int | None = None,
+    few: int = 0,
 ) -> DataFrame:
     """Equi-join of a big ``left`` with a ``right`` whose keys repeat little.
 
@@ -30,7 +32,12 @@ def hot_join(
     such keys, so the broadcast list of hot keys is small by construction. Rows
     with a null key match nothing and are spread too. ``parts`` is the number of
     tasks where it must follow the rows; else the session's setting holds.
+
+    A right side of at most ``few`` rows goes to every task, and the left is neither counted nor
+    shuffled. It is counted first, so where ``few`` is given it should be a stored table.
     """
+    if few and right.count() <= few:
+        return left.join(F.broadcast(right), on, how)
     spread = spread or [name for name, kind in left.dtypes if "map<" not in kind and "variant" not in kind]
     hot = (
         left.groupBy(*on)

@@ -227,11 +227,12 @@ def gem_key(slot: Column, quality: Column, flat: Column) -> Column:
     return F.concat(quality, F.lit("_"), F.coalesce(type_, F.lit("")), F.lit("_GEM"))
 
 
-def property_items(properties: DataFrame, catalogue: DataFrame, keys: list[str], hot_rows: int = 1_000_000) -> DataFrame:
-    """(keys, key, value, item, n): everything the attributes of an item stand for, equal items counted together.
+def property_rows(properties: DataFrame, catalogue: DataFrame, keys: list[str], hot_rows: int = 1_000_000, whole: bool = False) -> DataFrame:
+    """(keys, key, value, item, n): everything the attributes of an item stand for, one row per listed item.
 
     ``properties`` has ``keys``, ``tag``, ``key``, ``value``, ``base`` and ``flat``, the
     whole attribute map of the item. Only star and slot attributes look at the catalogue.
+    ``whole`` keeps an attribute that stands for no items, as one row with a null item and ``n``.
     """
     key, value = F.col("key"), F.col("value")
     by_catalogue = F.coalesce(key.isin("upgrade_level", "unlocked_slots") & F.col("tag").isNotNull(), F.lit(False))
@@ -250,21 +251,33 @@ def property_items(properties: DataFrame, catalogue: DataFrame, keys: list[str],
         .when(value.isin(rules.GEM_QUALITIES), _parts((gem_key(key, value, F.col("flat")), 1)))
         .when((key == "unlocked_slots") & F.col("__known"), priced_slots)
     )
-    rows = property_ingredients(joined).select(*keys, "key", "value", F.explode(F.coalesce("ingredients", other)).alias("p"))
-    return rows.groupBy(*keys, "key", "value", "p.item").agg(F.sum("p.n").alias("n"))
+    each = F.explode_outer if whole else F.explode
+    rows = property_ingredients(joined).select(*keys, "key", "value", each(F.coalesce("ingredients", other)).alias("p"))
+    return rows.select(*keys, "key", "value", "p.item", "p.n")
+
+
+def property_items(properties: DataFrame, catalogue: DataFrame, keys: list[str], hot_rows: int = 1_000_000) -> DataFrame:
+    """The rows of :func:`property_rows` with equal items counted together."""
+    rows = property_rows(properties, catalogue, keys, hot_rows)
+    return rows.groupBy(*keys, "key", "value", "item").agg(F.sum("n").alias("n"))
 
 
 # Prices ------------------------------------------------------------------------
 
 
-def component_values(parts: DataFrame, dated: DataFrame, keys: list[str], hot_rows: int = 1_000_000) -> DataFrame:
-    """Value of each attribute: its items (``item``, ``n``) at the price of the ``day``.
+def _part_worth(parts: DataFrame, dated: DataFrame, of: list[str], hot_rows: int, few: int) -> DataFrame:
+    """(of, worth) of each part at the price of its day."""
+    worth = F.col("n") * F.when(F.col("item") == COIN, F.lit(1)).otherwise(F.col("price"))
+    return with_price(parts, dated, "item", hot_rows, few=few).select(*of, worth.alias("worth"))
 
-    ``dated`` has ``item``, ``day`` and ``price``, see :func:`dated_prices`.
+
+def component_values(parts: DataFrame, dated: DataFrame, keys: list[str], hot_rows: int = 1_000_000, few: int = 0) -> DataFrame:
+    """Value of each attribute: its items (``item``, ``n``), counted together or not, at the price of the ``day``.
+
+    ``dated`` has ``item``, ``day`` and ``price``, see :func:`dated_prices`; ``few`` as in :func:`hot_join`.
     """
-    priced = with_price(parts, dated, "item", hot_rows)
-    worth = F.col("n") * F.when(F.col("item") == COIN, F.lit(1)).otherwise(F.col("price"))
-    return priced.groupBy(*keys, "key", "value").agg(F.sum(worth).cast("bigint").alias("worth"))
+    of = [*keys, "key", "value"]
+    return _part_worth(parts, dated, of, hot_rows, few).groupBy(*of).agg(F.sum("worth").cast("bigint").alias("worth"))
 
 
 def reforge_costs(rows: DataFrame, stones: DataFrame | None = None) -> DataFrame:
@@ -302,12 +315,13 @@ def enchant_price_table(prices: DataFrame) -> DataFrame:
     return books.groupBy("__book", "day").agg(F.map_from_entries(F.collect_list(F.struct("level", "price"))).alias("__levels"))
 
 
-def enchant_values(enchants: DataFrame, prices: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
+def enchant_values(enchants: DataFrame, prices: DataFrame, hot_rows: int = 1_000_000, few: int = 0) -> DataFrame:
     """Add ``worth`` to rows with ``type``, ``level``, ``tag``, ``day`` and ``flat`` (attribute map, may be null).
 
     ``prices`` has ``tag``, ``day`` and ``price``. Worth is the market price of the
     level where there is a sane one, a special item for a few top levels, else scaled
     up from level 5 or level 1, or grown with an attribute; -1 if nothing applies.
+    ``few`` as in :func:`hot_join`, for maps of the levels of a book; ``prices`` should then be stored.
     """
     type_, level = F.col("type"), F.col("level")
     books = enchant_price_table(prices)
@@ -318,7 +332,7 @@ def enchant_values(enchants: DataFrame, prices: DataFrame, hot_rows: int = 1_000
         .agg(F.map_from_entries(F.collect_list(F.struct("tag", F.col("price").cast("double")))).alias("__extra"))
     )
     asked = enchants.withColumn("__book", F.when(type_ == "ultimate_duplex", "ultimate_reiterate").otherwise(F.lower(type_)))
-    joined = hot_join(asked, books, ["__book", "day"], "left", hot_rows=hot_rows).join(F.broadcast(extras), ["day"], "left")
+    joined = hot_join(asked, books, ["__book", "day"], "left", hot_rows=hot_rows, few=few).join(F.broadcast(extras), ["day"], "left")
 
     def at(n: Column) -> Column:
         return F.try_element_at("__levels", n).cast("double")
@@ -370,24 +384,33 @@ def observed_prices(sales: DataFrame) -> DataFrame:
 
 
 def value_columns(
-    properties: DataFrame, parts: DataFrame, enchants: DataFrame, reforges: DataFrame, ingredients: DataFrame, dated: DataFrame, keys: list[str], hot_rows: int = 1_000_000
+    properties: DataFrame,
+    parts: DataFrame,
+    enchants: DataFrame,
+    reforges: DataFrame,
+    ingredients: DataFrame,
+    dated: DataFrame,
+    keys: list[str],
+    hot_rows: int = 1_000_000,
+    few: int = 0,
 ) -> DataFrame:
     """Everything that adds to the value of an auction as (keys, column, worth) rows.
 
-    Every attribute of ``properties`` (keys, ``key``, ``value``) has a column, 0 where it
-    stands for no items. Attribute parts and ingredients have ``item`` and ``day``, reforges
+    Every attribute of ``properties`` (keys, ``key``, ``value``) and of ``parts`` has a column, 0 where it
+    stands for no items; ``properties`` need not hold those that have parts. Attribute parts (counted
+    together or not) and ingredients have ``item`` and ``day``, reforges
     ``stone``, ``apply_cost`` (at the default tier) and ``day``; they are priced from the table
     of dated prices. Enchantments come with their ``worth``, see :func:`enchant_values`
-    with :func:`observed_prices`.
+    with :func:`observed_prices`. ``few`` as in :func:`hot_join`, for the table of dated prices.
     """
     of = [*keys, "key", "value"]
     nothing = properties.select(*of, F.lit(0).cast("bigint").alias("worth"))
-    attributes = component_values(parts, dated, keys, hot_rows).unionByName(nothing).groupBy(*of).agg(F.sum("worth").alias("worth"))
+    attributes = _part_worth(parts, dated, of, hot_rows, few).unionByName(nothing).groupBy(*of).agg(F.sum("worth").cast("bigint").alias("worth"))
     attribute_rows = attributes.select(*keys, F.concat_ws(":", "key", "value").alias("column"), "worth")
     enchant_rows = enchants.select(*keys, F.concat(F.lit("!ench"), "type", F.lit(":"), F.col("level").cast("string")).alias("column"), "worth")
-    stones = with_price(reforges.withColumnRenamed("stone", "item"), dated, "item", hot_rows)
+    stones = with_price(reforges.withColumnRenamed("stone", "item"), dated, "item", hot_rows, few=few)
     reforge_rows = stones.select(*keys, F.col("reforge").alias("column"), (F.col("apply_cost") + F.col("price")).alias("worth"))
-    ingredient_rows = with_price(ingredients, dated, "item", hot_rows).select(*keys, F.col("item").alias("column"), F.col("price").alias("worth"))
+    ingredient_rows = with_price(ingredients, dated, "item", hot_rows, few=few).select(*keys, F.col("item").alias("column"), F.col("price").alias("worth"))
     return attribute_rows.unionByName(enchant_rows).unionByName(reforge_rows).unionByName(ingredient_rows)
 
 

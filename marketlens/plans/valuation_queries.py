@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 
 from marketlens import tables as t
 from marketlens.operators import series, valuation as v
+from marketlens.operators.skew import FEW_ROWS
 from marketlens.plans.listing_queries import values, words
 from marketlens.plans.registry import query
 from marketlens.rules import colors
 from marketlens.rules import items as irules
-from marketlens.session import HELD_ROWS, spread_tasks, stored
+from marketlens.session import HELD_ROWS, spread, spread_tasks, stored
 from marketlens.sources import catalogue as c
 
 
@@ -203,7 +204,7 @@ def stones(spark, d):
     name = t.pick(REFORGE_WORDS, F.col("id"))
     stone = F.struct(name.alias("reforgeName"), F.lit("no-such").alias("internalName"), costs.alias("reforgeCosts"))
     key = F.concat(F.lit("STONE_"), F.col("id").cast("string"))
-    documents = t.items(spark, d).filter(name.isin(STONE_WORDS)).select(F.to_json(F.create_map(key, stone)).alias("document"))
+    documents = spread(t.items(spark, d)).filter(name.isin(STONE_WORDS)).select(F.to_json(F.create_map(key, stone)).alias("document"))
     return c.reforge_stones(documents, "document")
 
 
@@ -215,7 +216,7 @@ def reforged(spark, d, tier=None):
         (t.pick(TIER_WORDS, F.col("seller_id")) if tier is None else F.lit(tier)).alias("tier"),
         series.day_number(F.col("end")).alias("day"),
     )
-    return v.reforge_costs(rows, stones(spark, d))
+    return v.reforge_costs(rows, stored(stones(spark, d), "stones"))
 
 
 @query("reforge_cost", f"SELECT auction_id, line, reforge, tier, stone, apply_cost FROM {REFORGED}")
@@ -284,6 +285,11 @@ def property_parts(spark, d):
     return v.property_items(rows, stored(catalogue(spark, d), "catalogue"), ["auction_id", "line", "day"])
 
 
+def property_rows(spark, d, whole=False):
+    rows = with_day(t.properties(spark, d))
+    return v.property_rows(rows, stored(catalogue(spark, d), "catalogue"), ["auction_id", "line", "day"], whole=whole)
+
+
 def dated(prices: str, asked: str, key: str) -> str:
     """CTEs that give dated(key, day, price) for the asked keys and days, by the definition of a dated price."""
     return f"""pr AS ({prices}), ask AS (SELECT DISTINCT {key}, day FROM ({asked})),
@@ -309,8 +315,9 @@ SELECT auction_id, line, key, value, sum(n * CASE WHEN parts.item = 'SKYBLOCK_CO
 
 @query("component_value", COMPONENT)
 def component_value(spark, d):
-    parts = stored(property_parts(spark, d), "parts")
-    return v.component_values(parts, v.prices_for(component_prices(spark, d), [parts]), ["auction_id", "line"])
+    parts = stored(property_rows(spark, d), "parts")
+    dated = stored(v.prices_for(component_prices(spark, d), [parts]), "prices")
+    return v.component_values(parts, dated, ["auction_id", "line"], few=FEW_ROWS)
 
 
 ENCHANT_TAGS = ["FUNGI_CUTTER", "HOE", "AXE"]
@@ -358,7 +365,7 @@ DAILY_ENCHANT_WORTH = enchant_worth_sql(
 
 
 def enchant_worth(spark, d, prices, days=1):
-    """Enchantments valued from ``prices``, whose days are spans of ``days`` days."""
+    """Enchantments valued from the stored ``prices``, whose days are spans of ``days`` days."""
     source = t.read(spark, d, "lineitem")
     supp, part = F.col("l_suppkey"), F.col("l_partkey")
     farmed = F.when(supp % 4 == 0, F.create_map(F.lit("farmed_cultivating"), part.cast("string"))).otherwise(F.create_map(F.lit("other"), F.lit("1")))
@@ -371,7 +378,7 @@ def enchant_worth(spark, d, prices, days=1):
         F.floor(series.day_number(F.col("l_shipdate")) / days).cast("int").alias("day"),
         F.when(supp % 2 == 0, farmed).alias("flat"),
     )
-    return v.enchant_values(rows, prices)
+    return v.enchant_values(rows, prices, few=FEW_ROWS // 10)  # a row holds all levels of a book
 
 
 def market_sales(spark, d):
@@ -383,7 +390,7 @@ def market_sales(spark, d):
 
 @query("enchant_value", ENCHANT_WORTH)
 def enchant_value(spark, d):
-    return enchant_worth(spark, d, t.book_prices(spark, d), 7).select("auction_id", "line", "type", "level", "worth")
+    return enchant_worth(spark, d, stored(t.book_prices(spark, d), "book-prices"), 7).select("auction_id", "line", "type", "level", "worth")
 
 
 INGREDIENTS = f"""WITH r AS (SELECT l_orderkey AS auction_id, l_linenumber AS line, item, date_diff('day', TIMESTAMP '1970-01-01', l_shipdate)::INT AS day
@@ -400,8 +407,8 @@ def ingredients(spark, d):
 
 @query("ingredient_price", INGREDIENTS)
 def ingredient_price(spark, d):
-    parts = ingredients(spark, d)
-    priced = series.with_price(parts, v.prices_for(component_prices(spark, d), [parts]), "item")
+    parts = stored(ingredients(spark, d), "ingredients")
+    priced = series.with_price(parts, stored(v.prices_for(component_prices(spark, d), [parts]), "prices"), "item", few=FEW_ROWS)
     return priced.select("auction_id", "line", "item", "price")
 
 
@@ -424,8 +431,9 @@ UNION ALL SELECT auction_id, line, item, price FROM ({INGREDIENTS})""",
 )
 def value_columns(spark, d):
     # The default tier, as no tier is handed on.
-    parts, made_of, reforges = stored(property_parts(spark, d), "parts"), ingredients(spark, d), reforged(spark, d, "LEGENDARY")
+    rows, made_of, reforges = stored(property_rows(spark, d, whole=True), "parts"), stored(ingredients(spark, d), "ingredients"), reforged(spark, d, "LEGENDARY")
+    parts, nothing = rows.filter("n is not null"), rows.filter("n is null")
     asked = [parts, made_of, reforges.withColumnRenamed("stone", "item")]
     dated = stored(v.prices_for(component_prices(spark, d), asked), "prices")
     enchants = enchant_worth(spark, d, stored(v.observed_prices(market_sales(spark, d)), "observed-prices"))
-    return v.value_columns(t.properties(spark, d), parts, enchants, reforges, made_of, dated, ["auction_id", "line"])
+    return v.value_columns(nothing, parts, enchants, reforges, made_of, dated, ["auction_id", "line"], few=FEW_ROWS)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.session import configure, spread
+from marketlens.session import HELD_ROWS, configure, spread
 
 # Fixed values of the role mapping.
 BOOK_TYPES = ["efficiency", "scavenger", "venomous", "ender_slayer", "cultivating", "ultimate_wise", "growth"]
@@ -239,7 +239,7 @@ def catalogue_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One attribute per lineitem row: the kind by line number, the value by quantity, the base by supplier."""
-    line = spread(read(spark, sf_dir, "lineitem"))
+    line = spread(read(spark, sf_dir, "lineitem"), HELD_ROWS)
     n, q, supp, part = F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.col("l_suppkey"), F.col("l_partkey")
     tenth = F.ceil(F.col("l_quantity") / 5).cast("int")
     last = F.when(supp % 3 == 0, "farming_for_dummies_count").when(supp % 3 == 1, "COMBAT_0").otherwise("unlocked_slots")

@@ -82,3 +82,35 @@ def test_only_star_and_slot_attributes_meet_the_catalogue(spark, rows_of):
     found = v.property_items(properties, catalogue, ["id"])
     assert rows_of(found, "id", "item", "n") == [(1, "ESSENCE_WITHER", 10), (2, "HOT_POTATO_BOOK", 3)]
     assert "Union" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_prices_go_to_every_task(spark, rows_of):
+    rows = spark.createDataFrame([(1, "A", 5), (2, "A", 6), (3, None, 5), (4, "B", 5), (5, "A", 5)], "id long, item string, day int")
+    dated = spark.createDataFrame([("A", 5, 40), ("B", 5, 7), (None, 5, 9)], "item string, day int, price long")
+    salted = s.with_price(rows, dated, "item", hot_rows=2)
+    for few in (2, 3):  # one too few for the table, and just enough
+        found = s.with_price(rows, dated, "item", hot_rows=2, few=few)
+        assert found.columns == salted.columns and rows_of(found) == rows_of(salted)
+        assert ("__salt" in found._jdf.queryExecution().optimizedPlan().toString()) == (few == 2)
+    assert rows_of(found, "id", "price") == [(1, 40), (2, 1), (3, 1), (4, 7), (5, 40)]
+
+
+def test_parts_listed_one_by_one_are_worth_the_same(spark, rows_of):
+    properties = spark.createDataFrame(
+        [(1, "A", "hpc", "12", "", {}, 5), (1, "A", "hpc", "12", "", {}, 5), (2, "A", "skin_color", "x", "", {}, 5), (3, "A", "unlocked_slots", "", "", {}, 5), (4, None, None, None, "", {}, 5)],
+        "id long, tag string, key string, value string, base string, flat map<string,string>, day int",
+    )
+    costs = "upgrade_costs array<array<struct<essence_type:string,amount:int,item_id:string,type:string>>>"
+    slots = "gemstone_slots array<struct<slot_type:string,costs:array<struct<type:string,coins:int,item_id:string,amount:int>>>>"
+    catalogue = spark.createDataFrame([("A", None, [])], f"tag string, {costs}, {slots}")
+    dated = spark.createDataFrame([("FUMING_POTATO_BOOK", 5, 40)], "item string, day int, price long")
+    rows = v.property_rows(properties, catalogue, ["id", "day"], whole=True)
+    assert rows_of(rows.select("id").distinct()) == [(1,), (2,), (3,), (4,)]
+    parts, nothing = rows.filter("n is not null"), rows.filter("n is null")
+    assert rows_of(nothing, "id") == [(2,), (3,), (4,)]
+    none = [spark.createDataFrame([], schema) for schema in (
+        "id long, type string, level int, worth long", "id long, reforge string, stone string, apply_cost long, day int", "id long, item string, day int")]
+    before = v.value_columns(properties, v.property_items(properties, catalogue, ["id", "day"]), *none, dated, ["id"])
+    now = v.value_columns(nothing, parts, *none, dated, ["id"], few=10)
+    assert now.schema == before.schema and rows_of(now) == rows_of(before)
+    assert (1, "hpc:12", 80) in rows_of(now) and (2, "skin_color:x", 0) in rows_of(now)
