@@ -9,7 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -46,7 +49,7 @@ def keyed(stream: DataFrame, keys: list[str], processor: StatefulProcessor, sche
     return run(processor, schema, "append", "eventTime" if event_time else "none")
 
 
-def paged(*keys: str, pages: int = PAGES) -> Column:
+def paged(*keys: str | Column, pages: int = PAGES) -> Column:
     """The page that holds a key's state; it must not change while a checkpoint lives."""
     return F.pmod(F.xxhash64(*keys), F.lit(pages)).cast("int").alias("page")
 
@@ -124,44 +127,116 @@ def active_now(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 POINT = "at long, avg double, max double, min double, volume long"
 CLOSED = "hour long, n long, priced long, total double, max double, min double, volume long, first long"
+ITEM = "item_id string"
+#: Points of a chunk of the running list.
+CHUNK_ROWS = 10_000
+
+_ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64()}
+#: How two rows of the same item and hour become one.
+_FOLDS = [("n", "sum"), ("priced", "sum"), ("total", "sum"), ("max", "max"), ("min", "min"), ("volume", "sum"), ("first", "min")]
+
+
+def _arrow(columns: str) -> pa.Schema:
+    return pa.schema([(name, _ARROW[kind]) for name, kind in (c.split() for c in columns.split(", "))])
+
+
+POINT_ROWS, CLOSED_ROWS = _arrow(f"{ITEM}, {POINT}"), _arrow(f"{ITEM}, {CLOSED}")
+
+
+def packed(rows: pa.Table) -> bytes:
+    """Rows as one value of the state store."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(value: bytes | pa.Buffer) -> pa.Table:
+    return pa.ipc.open_stream(value).read_all()
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for value in batch.column(0):
+            yield from unpacked(value.as_buffer()).to_batches()
+
+
+def hours_of(points: pa.Table) -> np.ndarray:
+    """The hour each point falls in, by its start."""
+    return points["at"].to_numpy() // HOUR * HOUR
+
+
+def closed_hours(points: pa.Table) -> pa.Table:
+    """One mergeable row per item and hour of points; those without a price count for the divisor only."""
+    priced = pc.fill_null(pc.greater(points["avg"], 0.0), False)
+
+    def only(column: str) -> pa.ChunkedArray:
+        return pc.if_else(priced, points[column], None)
+
+    one = pa.array(np.ones(len(points), "int64"))
+    columns = [points["item_id"], pa.array(hours_of(points)), one, pc.cast(priced, pa.int64()), pc.fill_null(only("avg"), 0.0), *[only(c) for c in ("max", "min", "volume", "at")]]
+    return merged_parts(pa.Table.from_arrays(columns, schema=CLOSED_ROWS))
+
+
+def merged_parts(hours: pa.Table) -> pa.Table:
+    """One row per item and hour."""
+    merged = hours.group_by(["item_id", "hour"], use_threads=False).aggregate(_FOLDS)
+    return merged.rename_columns([c.removesuffix(f"_{fold}") for c, fold in zip(merged.column_names, [""] * 2 + [f for _, f in _FOLDS])]).select(CLOSED_ROWS.names)
 
 
 class LiveLists(StatefulProcessor):
-    """The points of the running hour and, folded to one each, the closed hours of the last day."""
+    """The points of the running hour and, folded to one each, the closed hours of the last day, of the items of a page.
+
+    The points of a batch are appended in chunks, the hours that close lie in one value per hour. A page has
+    one timer at its next end of an hour in either list.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.points = handle.getListState("running", POINT)
-        self.hours = handle.getListState("day", CLOSED)
+        self.points = handle.getListState("running", "rows binary")
+        self.hours = handle.getListState("day", "hour long, rows binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        first = None
         for chunk in rows:
-            points = [tuple(p) for p in chunk[["at", "avg", "max", "min", "volume"]].astype(object).where(chunk[["at", "avg", "max", "min", "volume"]].notna(), None).values.tolist()]
-            self.points.appendList(points)
-            for hour in {p[0] // HOUR for p in points}:
-                self.handle.registerTimer((hour + 1) * HOUR // 1000)
+            points = pa.Table.from_pandas(chunk[POINT_ROWS.names], POINT_ROWS, preserve_index=False)
+            self._append(points)
+            hour = int(hours_of(points).min())
+            first = hour if first is None else min(first, hour)
+        self.handle.registerTimer((first + HOUR) // 1000)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000  # all that is over by now goes at once
-        running, over = [], {}
-        for p in self.points.get():
-            if p[0] // HOUR * HOUR + HOUR <= now:
-                over.setdefault(p[0] // HOUR * HOUR, []).append(p)
-            else:
-                running.append(tuple(p))
-        closed = [folded(hour, points) for hour, points in sorted(over.items())]
+        running, over = [], []
+        for (value,) in self.points.get():
+            points = unpacked(value)
+            is_over = hours_of(points) + HOUR <= now
+            running.append(points.filter(pa.array(~is_over)))
+            if is_over.any():
+                over.append(closed_hours(points.filter(pa.array(is_over))))
+        running = pa.concat_tables([POINT_ROWS.empty_table(), *running])
         if over:
-            _replace(self.points, running)
-        day = [tuple(h) for h in self.hours.get()]
-        left = [h for h in day + closed if h[0] + DAY > now]
-        if closed or len(left) < len(day):
+            self.points.clear()
+            self._append(running)
+        closed = merged_parts(pa.concat_tables(over)) if over else CLOSED_ROWS.empty_table()
+        starts = closed["hour"].to_numpy()
+        day = list(self.hours.get())
+        left = [h for h in day if h[0] + DAY > now]
+        left += [(int(hour), packed(closed.filter(pa.array(starts == hour)))) for hour in np.unique(starts[starts + DAY > now])]
+        if len(closed) or len(left) < len(day):
             _replace(self.hours, left)
-        for h in closed:
-            self.handle.registerTimer((h[0] + DAY) // 1000)  # the hour leaves the day list
-        if closed:
-            out = pd.DataFrame(closed, columns=[c.split()[0] for c in CLOSED.split(", ")])
-            yield out.assign(item_id=key[0], part=key[1])
+        ends = [h[0] + DAY for h in left]  # the hour leaves the day list
+        if len(running):
+            ends.append(int(hours_of(running).min()) + HOUR)
+        if ends:
+            self.handle.registerTimer(min(ends) // 1000)
+        if len(closed):
+            yield closed.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get).assign(part=key[1])
+
+    def _append(self, points: pa.Table) -> None:
+        for start in range(0, len(points), CHUNK_ROWS):
+            self.points.appendValue((packed(points.slice(start, CHUNK_ROWS)),))
 
 
 def _replace(state, rows: list) -> None:
@@ -172,32 +247,30 @@ def _replace(state, rows: list) -> None:
 
 
 def folded(hour: int, points: list) -> tuple:
-    """One mergeable row of an hour's points; those without a price count for the divisor only."""
-    priced = [p for p in points if p[1] is not None and p[1] > 0]
-
-    def fold(fn, i: int):
-        values = [p[i] for p in priced if p[i] is not None]
-        return fn(values) if values else None
+    """One mergeable row of an hour's points."""
+    table = pa.Table.from_pylist([dict(zip(POINT_ROWS.names, (None, *p))) for p in points], POINT_ROWS)
+    ((*_, row),) = [closed_hours(table).drop_columns("item_id").to_pylist()]
+    return tuple({**row, "hour": hour}.values())
 
-    return (hour, len(points), len(priced), float(sum(p[1] for p in priced)), fold(max, 2), fold(min, 3), fold(sum, 4), fold(min, 0))
 
-
-def live_lists(points: DataFrame, key: str, spread: Column, grace: str = HOUR_GRACE, parts: int = PARTS) -> DataFrame:
+def live_lists(points: DataFrame, key: str, spread: Column, grace: str = HOUR_GRACE, parts: int = PARTS, pages: int = PAGES) -> DataFrame:
     """Keep each item's running hour and day list; gives each closed hour's part once.
 
-    ``points`` has ``key``, ``date``, ``avg``, ``max``, ``min``, ``volume``. ``spread`` deals the points of an item to
-    ``parts`` states, which :func:`lists_now` puts together again. An hour closes when the watermark
+    ``points`` has ``key``, ``date``, ``avg``, ``max``, ``min``, ``volume``; those without a date are left out. ``spread`` deals
+    the points of an item to ``parts`` states, which :func:`lists_now` puts together again. The items of a part
+    are kept in its share of ``pages``. An hour closes when the watermark
     (newest date less ``grace``) reaches its end, and leaves the day list a day after its start.
     """
-    dealt = points.withWatermark("date", grace).select(
-        F.col(key).cast("string").alias("item_id"),
+    dealt = points.withWatermark("date", grace).filter(F.col("date").isNotNull()).select(
+        paged(F.col(key).cast("string"), pages=max(1, pages // parts)),
         F.pmod(F.xxhash64(spread), F.lit(parts)).cast("int").alias("part"),
         "date",
+        F.col(key).cast("string").alias("item_id"),
         micros("date").alias("at"),
         *[F.col(c).cast("double").alias(c) for c in ("avg", "max", "min")],
         F.col("volume").cast("long").alias("volume"),
     )
-    return keyed(dealt, ["item_id", "part"], LiveLists(), f"{CLOSED}, item_id string, part int", event_time=True)
+    return keyed(dealt, ["page", "part"], LiveLists(), f"{CLOSED}, {ITEM}, part int", event_time=True)
 
 
 def merged_hours(hours: DataFrame) -> DataFrame:
@@ -215,8 +288,9 @@ def merged_hours(hours: DataFrame) -> DataFrame:
 
 def lists_now(spark: SparkSession, checkpoint: str) -> tuple[DataFrame, DataFrame]:
     """Running points and day list of all items from the job's state."""
-    running = kept(spark, checkpoint, "running").select("item_id", F.timestamp_micros("at").alias("date"), "avg", "max", "min", "volume")
-    return running, merged_hours(kept(spark, checkpoint, "day"))
+    points = kept(spark, checkpoint, "running").select("rows").mapInArrow(_unpack, f"{ITEM}, {POINT}")
+    running = points.select("item_id", F.timestamp_micros("at").alias("date"), "avg", "max", "min", "volume")
+    return running, merged_hours(kept(spark, checkpoint, "day").select("rows").mapInArrow(_unpack, f"{ITEM}, {CLOSED}"))
 
 
 # Colour agreement -------------------------------------------------------------------

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marketlens.operators import events as e
@@ -44,3 +46,68 @@ def test_cool_downs_of_a_page_stay_apart(spark, tmp_path):
     got = {(int(x.id), x.day - day) for x in spark.read.parquet(str(tmp_path / "t")).collect()}
     assert got == {(n, d) for n in range(30) for d in range(n % 3, 8, 3)}
     assert "page" in state.kept(spark, str(tmp_path / "c"), "not_before").columns
+
+
+class FakeState(list):
+    """A list of the state store that counts its calls."""
+
+    calls = 0
+
+    def get(self):
+        return iter(list(self))
+
+    def appendValue(self, value):
+        self.calls += 1
+        self.append(value)
+
+    def put(self, values):
+        self.calls += 1
+        self[:] = values
+
+
+class FakeHandle(dict):
+    def __init__(self):
+        self.timers = set()
+
+    def getListState(self, name, schema):
+        return self.setdefault(name, FakeState())
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_a_page_of_live_lists_makes_few_calls(monkeypatch):
+    """A page of 400 items over 50 hours: a call per chunk, one timer at a time; hours leave a day after their start."""
+    monkeypatch.setattr(state, "CHUNK_ROWS", 150)
+    handle, job = FakeHandle(), state.LiveLists()
+    job.init(handle)
+    frame = pd.DataFrame({"item_id": [f"i{n % 400}" for n in range(500)], "at": [n * state.HOUR // 10 for n in range(500)]})
+    frame = frame.assign(avg=1.0, max=2.0, min=0.5, volume=[None if n % 10 == 1 else 3 for n in range(500)])
+    assert not list(job.handleInputRows((0, 1), iter([frame[:200], frame[200:]]), handle))
+    assert handle["running"].calls == 4 and handle.timers == {state.HOUR // 1000}
+    assert [len(state.unpacked(value)) for (value,) in handle["running"]] == [150, 50, 150, 150]
+
+    handle.now, handle.timers = 30 * state.HOUR // 1000 + 5, set()
+    (told,) = job.handleExpiredTimer((0, 1), handle, None)
+    assert len(told) == 300 and set(told["part"]) == {1} and told["volume"].isna().sum() == 30 and told["volume"].sum() == 810
+    assert sum(len(state.unpacked(value)) for (value,) in handle["running"]) == 200
+    assert [hour for hour, _ in handle["day"]] == [h * state.HOUR for h in range(7, 30)] and handle["day"].calls == 1
+    assert handle.timers == {31 * state.HOUR // 1000}
+
+    handle.now, handle.timers = 60 * state.HOUR // 1000, set()
+    (told,) = job.handleExpiredTimer((0, 1), handle, None)
+    assert len(told) == 200 and not handle["running"] and [hour for hour, _ in handle["day"]] == [h * state.HOUR for h in range(37, 50)]
+    assert handle.timers == {61 * state.HOUR // 1000}
+    assert not list(job.handleExpiredTimer((0, 1), handle, None)) and len(handle["day"]) == 13
+
+
+def test_chunks_of_an_hour_fold_to_the_same_row():
+    points = [(n, None if n % 7 == 0 else float(n % 5), 2.0 * n, -1.0 * n, None if n % 3 else n) for n in range(90)]
+    table = pa.Table.from_pylist([dict(zip(state.POINT_ROWS.names, ("a", *p))) for p in points], state.POINT_ROWS)
+    chunks = [state.unpacked(state.packed(table.slice(start, 7))) for start in range(0, 90, 7)]
+    whole = state.merged_parts(pa.concat_tables([state.closed_hours(c) for c in chunks]))
+    assert whole.schema == state.CLOSED_ROWS and whole.to_pylist() == state.closed_hours(table).to_pylist()
+    assert tuple(whole.drop_columns("item_id").to_pylist()[0].values()) == state.folded(0, points)
