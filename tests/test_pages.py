@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marketlens.operators import events as e
+from marketlens.operators import rollup as r
 from marketlens.streaming import live, state
 
 START = datetime(2024, 1, 1)
@@ -48,6 +49,39 @@ def test_cool_downs_of_a_page_stay_apart(spark, tmp_path):
     assert "page" in state.kept(spark, str(tmp_path / "c"), "not_before").columns
 
 
+def test_live_lists_of_many_items_in_eight_pages(spark, tmp_path, rows_of):
+    """Sales without a price, an item or a time too; the states are as many as the pages, not as the items."""
+    columns = ["item_id", "date", "avg", "max", "min", "volume"]
+    schema = "item_id int, highest_bid long, count long, end timestamp"
+    rows = [(n * 7 % 60 if n % 59 else None, n % 13 * 10 if n % 17 else None, n % 5 if n % 11 else None, START + timedelta(minutes=n * 8) if n % 50 else None) for n in range(480)]
+    for part in (rows[:300], rows[300:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = r.sale_points(live.file_events(spark, str(tmp_path / "in"), schema, files_per_batch=1))
+    query = live.file_sink(state.live_lists(stream, "item_id", F.col("date"), pages=8), str(tmp_path / "t"), str(tmp_path / "c"))
+    query.awaitTermination()
+    assert query.exception() is None
+
+    points = r.sale_points(spark.createDataFrame(rows, schema)).withColumn("item_id", F.col("item_id").cast("string"))
+    as_of = F.lit(points.agg(F.max("date")).first()[0] - timedelta(minutes=1))
+    hour = F.date_trunc("hour", "date")
+    over = hour + F.expr("INTERVAL 1 HOUR") <= as_of
+    typed = [F.col(c).cast("double") if c in ("avg", "max", "min") else F.col(c) for c in columns]
+    only = {c: F.when(F.col("avg") > 0, F.col(c)) for c in columns[1:]}
+    hours = points.filter(over).groupBy("item_id", hour.alias("hour")).agg(
+        F.min(only["date"]).alias("date"), (F.sum(only["avg"]) / F.count(F.lit(1))).alias("avg"), F.max(only["max"]).cast("double").alias("max"),
+        F.min(only["min"]).cast("double").alias("min"), F.sum(only["volume"]).alias("volume"), F.count(only["avg"]).alias("n")
+    ).filter("n > 0")
+    told = spark.read.parquet(str(tmp_path / "t"))
+    running, day = state.lists_now(spark, str(tmp_path / "c"))
+    assert rows_of(state.merged_hours(told), "hour", *columns) == rows_of(hours, "hour", *columns)
+    assert rows_of(day, *columns) == rows_of(hours.filter(F.col("hour") + F.expr("INTERVAL 24 HOURS") > as_of), *columns) != []
+    assert rows_of(running, *typed) == rows_of(points.filter(~over), *typed) != []
+    assert {x.item_id for x in told.collect()} >= {None, "0", "59"}
+    assert told.groupBy("item_id", "part", "hour").count().filter("count > 1").isEmpty()
+    held = state.kept(spark, str(tmp_path / "c"), "day").select("page", "part").distinct().collect()
+    assert {(x.page, x.part) for x in held} == {(page, part) for page in range(2) for part in range(4)}
+
+
 class FakeState(list):
     """A list of the state store that counts its calls."""
 
